@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, mixing, oph, token_store
 from .common import table
 
 
@@ -29,8 +29,41 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text", "source"])
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, number and checksum of every document's ids in a store that was written and read back."""
+    path = token_store.new_store(spark)
+    token_store.write(table(spark, sf_dir, "documents", ["doc_id", "text"]), path, tokenizer_file("word_bpe_49k.json"), end_id=1)
+    return token_store.read_checks(spark, path)
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likeness to each other and to the next document's."""
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"]).withColumn("text", F.coalesce("text", F.lit("")))
+    led = oph.with_next(oph.with_fingerprint(docs), {"text": "next_text", "fingerprint": "next_fingerprint"})
+    changed = led.withColumn("edited", oph.edited(F.col("text"), F.col("next_text"))).drop("next_text")
+    both = oph.with_fingerprint(changed, "edited", "edited_fingerprint")
+    return both.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        oph.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        oph.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+    )
+
+
 QUERIES = {
+    "op2_mix": op2_mix,
+    "op5_token_store": op5_token_store,
     "op6_bpe": op6_bpe,
+    "op9_fingerprints": op9_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {}
