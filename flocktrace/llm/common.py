@@ -1,54 +1,21 @@
-"""What the operators share: words, places for intermediate tables, columns that may be absent."""
+"""What the operators share: words, tables, and the core's intermediate storage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import dropped, new_dir, running_totals, shared_dir, staged
+
+__all__ = ["BLANK", "WORD", "dropped", "new_dir", "running_totals", "shared_dir", "staged", "table", "words"]
+
 #: A word: no space and none of the control characters from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='flocktrace-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_dir(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read back: its lineage ends there, and a lost executor costs no more than rereading."""
-    path = new_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._staged_path = path
-    return out
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Deletes staged tables that nothing reads any more."""
-    for table in tables:
-        path = getattr(table, "_staged_path", None)
-        if path:
-            jvm = table.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def words(text: Column) -> Column:
     """The words of a text in order; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANK), lambda w: w != "")
@@ -58,22 +25,3 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: Iterable[str] =
     """One of the given tables, pruned to the named columns."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
-
-
-def running_totals(df: DataFrame, order: list[Column], totals: dict[str, Column], name: str = "ordered") -> DataFrame:
-    """df with, for each name in totals, the sum of its column over all rows up to and including this one in the given order.
-
-    Rows are dealt into ranges of the order and written; one sum for each range goes to a window over ranges, whose
-    number is that of the shuffle partitions.  Rows that tie in the order get totals in an order of Spark's choosing.
-    Adds the column _range, the number of the row's range.
-    """
-    made = df.withColumns({f"_of_{k}": v for k, v in totals.items()})
-    # the number is counted by us, as boundaries are drawn once only where the rows are written
-    ranged = staged(made.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), name)
-    sums = ranged.groupBy("_range").agg(*(F.sum(f"_of_{k}").alias(f"_sum_{k}") for k in totals))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("_range", *(F.coalesce(F.sum(f"_sum_{k}").over(before), F.lit(0)).alias(f"_before_{k}") for k in totals))
-    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    # offsets has one row for each range: at most as many as shuffle partitions
-    joined = ranged.withColumns({f"_within_{k}": F.sum(f"_of_{k}").over(within) for k in totals}).join(F.broadcast(offsets), "_range")
-    return joined.withColumns({k: F.col(f"_within_{k}") + F.col(f"_before_{k}") for k in totals}).drop(*(f"{p}{k}" for k in totals for p in ("_of_", "_within_", "_before_")))

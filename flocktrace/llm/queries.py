@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, oph, token_store
+from . import bpe, jaccard, mixing, oph, token_store
 from .common import table
 
 
@@ -42,6 +42,11 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_checks(spark, path)
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and component of every document at 85 % of 4-word shingles."""
+    return jaccard.join(table(spark, sf_dir, "documents", ["doc_id", "text"]), shingle=4, percent=85)
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited text, and their likeness to each other and to the next document's."""
     docs = table(spark, sf_dir, "documents", ["doc_id", "text"]).withColumn("text", F.coalesce("text", F.lit("")))
@@ -63,6 +68,7 @@ QUERIES = {
     "op2_mix": op2_mix,
     "op5_token_store": op5_token_store,
     "op6_bpe": op6_bpe,
+    "op7_jaccard": op7_jaccard,
     "op9_fingerprints": op9_fingerprints,
 }
 
