@@ -9,8 +9,9 @@ As only connected components are asked for, links inside a component need not be
 list of groups that share a shingle, the pairs of its first group with the others; a second round takes those pairs of a
 list that the first left in different components.  Every link is in some list, so none between components is missed.
 
-The global order is that of hashes, but shingles found often in a first pass come last, and so seldom enter a prefix.
-Lists that are long all the same are not paired; their documents are joined on parts instead: hashing cuts the shingles
+The global order is that of hashes, but shingles found often in a first pass come last, the most frequent at the very end,
+and so seldom enter a prefix: a document with enough shingles of its own has no list in common with any other.  Lists that
+are long all the same are not paired; their documents are joined on parts instead: hashing cuts the shingles
 into more parts than two linked documents can differ in, so these agree in a whole part.
 """
 
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..components import connected_components
@@ -33,6 +34,8 @@ SHINGLE = 5
 PERCENT = 80
 #: Groups on a list up to which its pairs are taken; longer lists go by parts.
 LIST = 20
+#: Groups of a longer list that the first round pairs with all its others, besides its least.
+CENTRES = 5
 #: Shingles that may be put last, and rows of a table that is broadcast.  Both only choose the way, never the result.
 MOST_LAST = 200_000
 MOST_BROADCAST = 500_000
@@ -57,12 +60,13 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-def _ordered(hashes: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """The shingles as numbers in the global order: the hash without its low bit, after a bit for those that come last."""
+def _ordered(hashes: np.ndarray, last: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The shingles as sorted numbers in the global order: hashes without their low bit, then those that come last by rank."""
     keys = hashes >> np.uint64(1)
-    if len(last):
-        at = np.minimum(np.searchsorted(last, hashes), len(last) - 1)
-        keys = np.sort(keys | ((last[at] == hashes).astype(np.uint64) << np.uint64(63)))
+    known, ranks = last
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        keys = np.sort(np.where(known[at] == hashes, ranks[at], keys))
     return keys
 
 
@@ -71,8 +75,12 @@ def _small(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
-def _frequent(docs: DataFrame, size: int, percent: int, fold: bool) -> np.ndarray:
-    """Hashes of shingles that some parts of the table hold more than once in prefixes, the most frequent MOST_LAST of them."""
+def _frequent(docs: DataFrame, size: int, fold: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that come often, and their places at the end of the global order, the most frequent last.
+
+    Counted are shingles that come twice or more among some thousand documents of one task, in sums over tasks; the
+    MOST_LAST most frequent of these are taken.  Any order gives right results; this one keeps lists short.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -86,9 +94,9 @@ def _frequent(docs: DataFrame, size: int, percent: int, fold: bool) -> np.ndarra
         for whole in batches:
             for batch in _small(whole):
                 for hashes in shingle_sets(batch.column(0), size, fold):
-                    held.append(hashes[: prefix_length(len(hashes), percent)].copy())
-                    n += len(held[-1])
-                if n > 2_000_000:
+                    held.append(hashes)
+                    n += len(hashes)
+                if n > 3_000_000:
                     yield from flush()
                     held, n = [], 0
         if held:
@@ -96,7 +104,10 @@ def _frequent(docs: DataFrame, size: int, percent: int, fold: bool) -> np.ndarra
 
     counted = docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") > LIST)
     found = [r["h"] for r in counted.orderBy(F.col("c").desc(), "h").limit(MOST_LAST).collect()]  # at most MOST_LAST numbers
-    return np.sort(np.array(found, dtype=np.int64).view(np.uint64))
+    hashes = np.array(found, dtype=np.int64).view(np.uint64)
+    ranks = np.uint64(1 << 63) + np.arange(len(found), dtype=np.uint64)[::-1]
+    order = np.argsort(hashes)
+    return hashes[order], ranks[order]
 
 
 def _checked(small: DataFrame) -> DataFrame:
@@ -104,7 +115,13 @@ def _checked(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.count() <= MOST_BROADCAST else small
 
 
-def _survivors(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+def _can_link(percent: int, x: str, y: str) -> Column:
+    """Whether sets of sizes n_x and n_y that share no more than most_x and most_y can link."""
+    small, large, most = F.least(f"n_{x}", f"n_{y}"), F.greatest(f"n_{x}", f"n_{y}"), F.least(f"most_{x}", f"most_{y}")
+    return (100 * small >= percent * large) & ((100 + percent) * most >= percent * (small + large))
+
+
+def _survivors(pairs: DataFrame, groups: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of groups whose members can link, by their sizes and prefixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +139,8 @@ def _survivors(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     of = lambda side: groups.select(F.col("gid").alias(side), F.col("n").alias(f"n_{side}"), F.col("prefix").alias(f"p_{side}"))
-    sized = pairs.join(of("a").drop("p_a"), "a").join(of("b").drop("p_b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    size = lambda side: sizes.select(F.col("gid").alias(side), F.col("n").alias(f"n_{side}"), F.col("most").alias(f"most_{side}"))
+    sized = pairs.join(size("a"), "a").join(size("b"), "b").where(_can_link(percent, "a", "b"))
     full = sized.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "p_a", "p_b")
     return full.mapInArrow(run, "a long, b long")
 
@@ -215,11 +233,11 @@ def _by_parts(docs: DataFrame, wanted: DataFrame, states: DataFrame, size: int,
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), _lists(rows)], names=["sid", "parts"])
 
     made = docs.select("text").mapInArrow(run, "sid long, parts array<long>").join(_checked(wanted), "sid", "left_semi").dropDuplicates(["sid"])
-    parts = staged(made.select("sid", F.explode("parts").alias("part")).join(states.select("sid", "n", "comp"), "sid"), "parts")
+    parts = staged(made.select("sid", F.explode("parts").alias("part")).join(states.select("sid", "n", "most", "comp"), "sid"), "parts")
     split = parts.groupBy("part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("part")
     rows = staged(parts.join(_checked(staged(split, "split")), "part"), "rows")
-    x, y = (rows.select("part", *(F.col(c).alias(f"{c}_{s}") for c in ("sid", "n", "comp"))) for s in ("x", "y"))
-    near = (F.col("sid_x") < F.col("sid_y")) & (F.col("comp_x") != F.col("comp_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
+    x, y = (rows.select("part", *(F.col(c).alias(f"{c}_{s}") for c in ("sid", "n", "most", "comp"))) for s in ("x", "y"))
+    near = (F.col("sid_x") < F.col("sid_y")) & (F.col("comp_x") != F.col("comp_y")) & _can_link(percent, "x", "y")
     return x.join(y, "part").where(near).select(F.col("sid_x").alias("x"), F.col("sid_y").alias("y")).distinct()
 
 
@@ -236,7 +254,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
         raise ValueError("percent is over 50 and at most 100")
     id_type = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    last = docs.sparkSession.sparkContext.broadcast(_frequent(docs, shingle, percent, fold))  # at most MOST_LAST numbers
+    last = docs.sparkSession.sparkContext.broadcast(_frequent(docs, shingle, fold))  # at most MOST_LAST numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -264,9 +282,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     twos = shared.where("c = 2").select("a", "b")
     lists = staged(tokens.join(_checked(shared.where("c > 2").select("token", "c", F.col("a").alias("first"))), "token"), "lists")
 
-    # first round: the first group of a list with the others, the representative of a group with its other members
+    # shingles of a prefix that no other group's prefix has cannot be shared, so a group shares `most` at most
+    listed_twice = twos.select(F.explode(F.array("a", "b")).alias("gid")).unionByName(lists.select("gid")).groupBy("gid").agg(F.count("*").alias("k"))
+    sizes = staged(groups.join(listed_twice, "gid").select("gid", "n", (F.col("n") - F.size("prefix") + F.col("k")).alias("most")), "sizes")
+
+    # first round: some groups of a list with the others, the representative of a group with its other members
     stars = lists.where("gid <> first").select(F.col("first").alias("a"), F.col("gid").alias("b"))
-    first = staged(_survivors(twos.unionByName(stars).distinct(), groups, percent), "first")
+    of_long = lists.where(F.col("c") > LIST)
+    centres = of_long.groupBy("token").agg(F.array(*(F.min_by("gid", F.xxhash64("gid", F.lit(k))) for k in range(CENTRES))).alias("a")).select("token", F.explode("a").alias("a"))
+    more_stars = of_long.join(centres, "token").where("a <> gid").select(F.least("a", "gid").alias("a"), F.greatest("a", "gid").alias("b"))
+    first = staged(_survivors(twos.unionByName(stars).unionByName(more_stars).distinct(), groups, sizes, percent), "first")
     rep = lambda side, to: groups.select(F.col("gid").alias(side), F.col("rep").alias(to))
     between = first.join(rep("a", "ra"), "a").join(rep("b", "rb"), "b").select(F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y"))
     inside = sets.join(groups.select("gid", "rep"), "gid").where("sid <> rep").select(F.col("rep").alias("x"), F.col("sid").alias("y"))
@@ -288,16 +313,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     paired = short.select("token", F.col("gid").alias("a")).join(short.select("token", F.col("gid").alias("b")), "token").where("a < b").select("a", "b").distinct()
     paired = paired.join(of("a"), "a").join(of("b"), "b").where(apart).select("a", "b")
     own = group.where("lo <> hi").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
-    pairs = staged(_survivors(again.unionByName(paired).distinct(), groups, percent).unionByName(own), "pairs")
+    pairs = staged(_survivors(again.unionByName(paired).distinct(), groups, sizes, percent).unionByName(own), "pairs")
     members = lambda side, to: states.select(F.col("gid").alias(side), F.col("sid").alias(to), F.col("comp").alias(f"c{to}"))
     expanded = pairs.join(members("a", "x"), "a").join(members("b", "y"), "b").where("cx <> cy").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     long_lists = open_lists.where(F.col("c") > LIST).select("gid").distinct()
     hot = staged(states.join(long_lists, "gid", "left_semi").select("sid"), "hot")
     if not hot.isEmpty():
-        by_parts = _by_parts(docs, hot, states, shingle, percent, fold)
+        by_parts = _by_parts(docs, hot, states.join(sizes.select("gid", "most"), "gid"), shingle, percent, fold)
         gid_of = lambda side, to: states.select(F.col("sid").alias(side), F.col("gid").alias(to))
         located = staged(by_parts.join(gid_of("x", "a"), "x").join(gid_of("y", "b"), "y"), "by_parts")
-        kept = _survivors(located.where("a <> b").select("a", "b").distinct(), groups, percent)
+        kept = _survivors(located.where("a <> b").select("a", "b").distinct(), groups, sizes, percent)
         expanded = expanded.unionByName(located.join(kept, ["a", "b"], "left_semi").select("x", "y"))
     left = staged(expanded.distinct().join(tried, ["x", "y"], "left_anti"), "left")
     if not left.isEmpty():
