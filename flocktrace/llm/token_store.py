@@ -16,7 +16,6 @@ every recipe against its root.
 from __future__ import annotations
 
 import hashlib
-import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -29,53 +28,14 @@ from pyspark.sql import functions as F
 
 from .bpe import small
 from .common import dropped, new_dir, running_totals, staged
+from .wordids import WordEncoder
 
-#: Words that a worker remembers with their ids, and the longest such word; they bound memory, not results.
+#: Chunks that a task knows it has sent already; this bounds memory and spares rows only.
 REMEMBERED = 400_000
-REMEMBERED_CHARS = 40
 #: Ids that the rolling hash looks back on.
 WINDOW = 16
 
 
-class WordEncoder:
-    """The tokenizers library, asked once for each distinct word where the file drops white space and so cannot join words."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.no_truncation()
-        self._tokenizer.no_padding()
-        self.width = 2 if self._tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        split = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
-        # kept apart by spaces: pieces are runs without white space and all else is dropped
-        self._by_word = split.get("type") == "Split" and split["behavior"] == "Removed" and split["invert"] and "\\s\\p" in split["pattern"].get("Regex", "")
-        self._code = {2: "<u2", 4: "<u4"}[self.width]
-        self._known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype=self._code).tobytes() for x in self._tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as packed integers of self.width bytes."""
-        if not self._by_word:
-            return self._ids([x or "" for x in texts])
-        parts = [(x or "").replace("\n", " ").split(" ") for x in texts]
-        new = set().union(*parts) - self._known.keys()
-        if len(self._known) + len(new) > REMEMBERED:
-            self._known.clear()
-            new = set().union(*parts)
-        once = list(new)
-        self._known.update(zip(once, self._ids(once), strict=True))
-        out = [b"".join(map(self._known.__getitem__, x)) for x in parts]
-        for word in once:
-            if len(word) > REMEMBERED_CHARS:
-                del self._known[word]
-        return out
-
-
 def cuts(ids: np.ndarray, least: int, usual: int, most: int) -> list[int]:
     """Where chunks end: after an id at which a hash of the last WINDOW ids hits one of about `usual` values, at least `least` and at most `most` ids after the last end."""
     n = len(ids)
@@ -133,15 +93,16 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, sent = _encoder(tokenizer), set()
-        width, code = encoder.width, encoder._code
-        end = b"" if end_id is None else np.array([end_id], dtype=code).tobytes()
+        width, code = encoder.width, encoder.code
+        end = np.array([] if end_id is None else [end_id], dtype=code)
         for whole in batches:
             for batch in small(whole):
                 ends, keys, counts, payloads, lengths, roots = array("i", [0]), [], [], [], [], []
-                for packed in encoder.encode(batch.column(1).to_pylist()):
-                    packed += end
-                    at, own = 0, []
-                    for stop in cuts(np.frombuffer(packed, dtype=code), least, usual, most):
+                flat, bounds = encoder.encode(batch.column(1))
+                for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    ids = np.concatenate([flat[lo:hi], end])
+                    packed, at, own = ids.tobytes(), 0, []
+                    for stop in cuts(ids, least, usual, most):
                         payload = packed[at * width : stop * width]
                         key = digest(payload)
                         own.append(key)
@@ -162,10 +123,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None,
     cut = staged(
         docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {id_type}, n_tokens long, width int, chunks array<struct<chunk_id:binary,n_ids:int,payload:binary>>, root binary"),
         "cut",
+        "zstd",
     )
+    light = staged(cut.select("doc_id", "n_tokens", "width", F.col("chunks.chunk_id").alias("chunk_ids"), "root"), "light")
     each = cut.select(F.explode("chunks").alias("c")).where("c.payload is not null").select("c.*")
-    each.groupBy("chunk_id").agg(F.first("n_ids").alias("n_ids"), F.first("payload").alias("payload")).write.parquet(f"{path}/chunks")
-    light = cut.select("doc_id", "n_tokens", "width", F.col("chunks.chunk_id").alias("chunk_ids"), "root")
+    each.groupBy("chunk_id").agg(F.first("n_ids").alias("n_ids"), F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/chunks")
+    dropped(cut)
     ordered = running_totals(light, [F.col("doc_id").asc_nulls_first(), F.col("root")], {"end": F.col("n_tokens")}, "recipes")
     numbered = ordered.withColumn("start", F.col("end") - F.col("n_tokens"))
     recipes = numbered.select("doc_id", "start", "n_tokens", "width", "chunk_ids", "root", "_range")
@@ -176,7 +139,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None,
         return pa.table({"number": [key[0].as_py()], "documents": [rows.num_rows], "ids": [sum(rows["n_tokens"].to_pylist())], "root": pa.array([merkle(rows["root"].to_pylist())], pa.binary())})
 
     read_recipes(spark, path).select("_range", "start", "n_tokens", "root").groupBy("_range").applyInArrow(seal, "number long, documents long, ids long, root binary").write.parquet(f"{path}/manifest")
-    dropped(cut)
+    dropped(light)
 
 
 def read_recipes(spark: SparkSession, path: str) -> DataFrame:
@@ -192,7 +155,7 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
             for key, n, payload in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if digest(payload) != key:
                     raise ValueError(f"chunk {key.hex()} is damaged")
-                crcs.append(zlib.crc32(np.frombuffer(payload, dtype=f"<u{len(payload) // n}").astype("<u4").tobytes()))
+                crcs.append(zlib.crc32(np.frombuffer(payload, dtype=f"<u{len(payload) // n}").astype("<u4")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(crcs, pa.int64())], names=["chunk_id", "n_ids", "payload", "crc"])
 
     return spark.read.parquet(f"{path}/chunks").select("chunk_id", "n_ids", "payload").mapInArrow(run, "chunk_id binary, n_ids int, payload binary, crc long")
@@ -238,14 +201,23 @@ def _times(a: int, b: int) -> int:
     return out
 
 
-@lru_cache(maxsize=1 << 16)
-def _shift(n_bytes: int) -> int:
-    """x to the power of 8 n_bytes."""
-    out, square, n = 1 << 31, 1 << 23, n_bytes
-    while n:
-        if n & 1:
-            out = _times(square, out)
-        square, n = _times(square, square), n >> 1
+@lru_cache(maxsize=64)
+def _doubling(k: int) -> np.ndarray:
+    """What multiplying by x to the power of 8 * 2**k does to each value of each of the four bytes of a CRC."""
+    power = 1 << 23
+    for _ in range(k):
+        power = _times(power, power)
+    return np.array([[_times(power, value << 8 * byte) for value in range(256)] for byte in range(4)], dtype=np.uint32)
+
+
+def followed(crcs: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
+    """Each CRC as it enters that of its data followed by so many more bytes; what follows then adds its own."""
+    out, k = crcs.astype(np.uint32), 0
+    while len(n_bytes) and int(n_bytes.max()) >> k:
+        rows = np.flatnonzero(n_bytes >> k & 1)
+        table, own = _doubling(k), out[rows]
+        out[rows] = table[0][own & 255] ^ table[1][own >> 8 & 255] ^ table[2][own >> 16 & 255] ^ table[3][own >> 24]
+        k += 1
     return out
 
 
@@ -253,23 +225,29 @@ def read_checks(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files alone.
 
     Every payload is read, checked against its chunk id and summed where it lies; documents then join the sums of their
-    chunks, in the recipe's order, which gives the CRC of their whole id sequence without moving payloads.
+    chunks, in the recipe's order, which gives the CRC of their whole id sequence without moving payloads.  Raises where
+    a chunk is damaged or missing, or chunks do not fit their document's root.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            crcs = []
-            for row in batch.to_pylist():
-                crc, n, parts = 0, 0, row["parts"] or []
-                if merkle([p["chunk_id"] for p in parts]) != row["root"] or any(p["crc"] is None for p in parts):
-                    raise ValueError(f"document {row['doc_id']} cannot be put together")
-                for part in parts:
-                    crc = _times(_shift(4 * part["n_ids"]), crc) ^ part["crc"]
-                    n += part["n_ids"]
-                if n != row["n_tokens"]:
-                    raise ValueError(f"document {row['doc_id']} has {n} ids, not {row['n_tokens']}")
-                crcs.append(crc)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            lists = batch.column(4).fill_null([])
+            parts, counts = lists.flatten(), np.array([len(x) for x in lists], dtype=np.int64)
+            keys, roots = parts.field("chunk_id").to_pylist(), batch.column(3).to_pylist()
+            if parts.field("crc").null_count:
+                raise ValueError("a chunk is missing")
+            sizes, crcs = parts.field("n_ids").to_numpy().astype(np.int64), parts.field("crc").to_numpy()
+            ends = np.cumsum(counts)
+            upto = np.concatenate([[0], np.cumsum(sizes)])
+            if not np.array_equal(upto[ends] - upto[ends - counts], batch.column(2).to_numpy()):
+                raise ValueError("a document has another number of ids than its recipe says")
+            for root, a, b in zip(roots, (ends - counts).tolist(), ends.tolist(), strict=True):
+                if merkle(keys[a:b]) != root:
+                    raise ValueError("a document cannot be put together")
+            after = np.repeat(upto[ends], counts) - upto[1:]
+            moved = np.concatenate([followed(crcs, 4 * after), np.zeros(1, dtype=np.uint32)])
+            total = np.where(counts > 0, np.bitwise_xor.reduceat(moved, np.minimum(ends - counts, len(moved) - 1)), 0) if len(counts) else np.empty(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(total.astype(np.int64))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     sums = staged(read_chunks(spark, path).drop("payload"), "sums")
     joined = _joined(spark, path, sums)
