@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, mixing, oph, token_store
-from .common import table
+from . import bpe, cotrain, jaccard, mixing, oph, repeats, rollups, rules, token_store, url_alias
+from .common import new_dir, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -29,12 +29,51 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Host, path and action of each rule.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op1_url_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
+    known = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    return url_alias.judge(table(spark, sf_dir, "pages", ["page_id", "url", "html"]), known)
+
+
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     docs = table(spark, sf_dir, "documents", ["doc_id", "text", "source"])
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the bytes of strings of 100 bytes that start earlier too."""
+    spanned = repeats.spans(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    return repeats.without(spanned).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by source, language and tokenizer version after four batches over all documents.
+
+    load: every document, by words and by bytes; toxic: documents that labels call toxic go; recount: words of French
+    documents are counted anew, with hyphens between words; toxic is then committed once more and changes nothing.
+    """
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text", "source", "lang"])
+    n_words = lambda blank: F.size(F.filter(F.split(F.coalesce("text", F.lit("")), blank), lambda w: w != ""))
+    words = n_words(r"[\x20\x09-\x0D]+")
+    first = rollups.counted(docs, {"words-1": words, "bytes-1": F.octet_length(F.coalesce("text", F.lit("")))}, keep=("doc_id",))
+    toxic = table(spark, sf_dir, "labels", ["doc_id", "toxic"]).where("toxic = 1").select("doc_id").distinct()
+    root = new_dir(spark, "rollups")
+    none = F.lit(None).cast("long")
+    rollups.commit(root, "load", first.withColumns({"before": none, "after": F.col("tokens")}))
+    gone = first.join(toxic, "doc_id", "left_semi").withColumns({"before": F.col("tokens"), "after": none})
+    rollups.commit(root, "toxic", gone)
+    left = docs.where("lang = 'fr'").join(toxic, "doc_id", "left_anti")
+    recounted = left.select("source", "lang", F.lit("words-1").alias("version"), words.alias("before"), n_words(r"[\x20\x09-\x0D\-]+").alias("after"))
+    rollups.commit(root, "recount", recounted)
+    rollups.commit(root, "toxic", gone)
+    return rollups.totals(spark, root)
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, number and checksum of every document's ids in a store that was written and read back."""
     path = token_store.new_store(spark)
@@ -47,6 +86,12 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents", ["doc_id", "text"]), shingle=4, percent=85)
 
 
+def op8_cotrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated quality of every document by its text, its metadata and both."""
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
+    return cotrain.score(docs, cotrain.fit(docs, table(spark, sf_dir, "labels", ["doc_id", "quality"])))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited text, and their likeness to each other and to the next document's."""
     docs = table(spark, sf_dir, "documents", ["doc_id", "text"]).withColumn("text", F.coalesce("text", F.lit("")))
@@ -64,12 +109,53 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document, and whether the base rules and the learned list keep it."""
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    found = rules.judged(docs, rules.fit(docs, table(spark, sf_dir, "labels", ["doc_id", "quality"])))
+    return found.select("doc_id", *(F.col("stats")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept")
+
+
 QUERIES = {
+    "op1_url_alias": op1_url_alias,
     "op2_mix": op2_mix,
+    "op3_repeats": op3_repeats,
+    "op4_token_rollups": op4_token_rollups,
     "op5_token_store": op5_token_store,
     "op6_bpe": op6_bpe,
     "op7_jaccard": op7_jaccard,
+    "op8_cotrain": op8_cotrain,
     "op9_fingerprints": op9_fingerprints,
+    "op10_rules": op10_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_ROLLUPS_SQL = r"""
+WITH gone AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
+d AS (SELECT source, lang, coalesce(text, '') AS text FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM gone WHERE doc_id IS NOT NULL)),
+c AS (
+  SELECT source, lang, 'bytes-1' AS version, strlen(text) AS tokens FROM d
+  UNION ALL
+  SELECT source, lang, 'words-1', CASE WHEN lang = 'fr' THEN len(regexp_extract_all(text, '[^\x20\x09-\x0D\-]+')) ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END FROM d
+)
+SELECT source, lang, version, count(*)::BIGINT AS documents, sum(tokens)::BIGINT AS tokens FROM c GROUP BY ALL
+"""
+
+_URL_SQL = r"""
+WITH p AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), q AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p
+), r(rule_host, rule_path, action) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), f AS (
+  SELECT page_id, host, path, rule_host || rule_path AS rule, action,
+         row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC NULLS LAST) AS k
+  FROM q LEFT JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+)
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM f WHERE k = 1
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_alias": _URL_SQL,
+    "op4_token_rollups": _ROLLUPS_SQL,
+}

@@ -274,3 +274,36 @@ def _merged(found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["doc_id", "tag", "found"])
 
     return found.mapInArrow(run, found.schema)
+
+
+def without(spanned: DataFrame, whole_characters: bool = False) -> DataFrame:
+    """doc_id, tag, n_bytes, n_removed, n_spans and kept, the bytes outside the spans, for each row of spans().
+
+    whole_characters gives up the bytes at the ends of spans that would cut a character, so that kept is UTF-8.
+    """
+    id_type = spanned.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                sizes, removed, counts, kept = [], [], [], []
+                for i in range(batch.num_rows):
+                    text, parts = batch.column(2)[i].as_buffer().to_pybytes(), batch.column(3)[i].as_py()
+                    at, out, gone = 0, [], 0
+                    for part in parts:
+                        a, b = part["from"], part["to"]
+                        if whole_characters:
+                            while a < b and text[a] & 0xC0 == 0x80:
+                                a += 1
+                            while b > a and b < len(text) and text[b] & 0xC0 == 0x80:
+                                b -= 1
+                        out.append(text[at:a])
+                        gone, at = gone + b - a, b
+                    sizes.append(len(text))
+                    removed.append(gone)
+                    counts.append(len(parts))
+                    kept.append(b"".join([*out, text[at:]]))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (sizes, removed, counts)), pa.array(kept, pa.binary())], names=["doc_id", "tag", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    return spanned.select("doc_id", "tag", "text", "spans").mapInArrow(run, f"doc_id {id_type}, tag long, n_bytes long, n_removed long, n_spans long, kept binary")
