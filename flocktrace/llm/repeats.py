@@ -140,8 +140,8 @@ def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _pieces(texts: DataFrame, least: int, anchor: int) -> DataFrame:
     """doc_id, tag, h, at, piece and before for every piece whose anchor is picked more than once in texts."""
-    id_type = texts.schema["doc_id"].dataType.simpleString()
-    key = _KEY.format(id_type)
+    texts = texts.select("doc_id", "tag", "text")
+    key = _KEY.format(texts.schema["doc_id"].dataType.simpleString())
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

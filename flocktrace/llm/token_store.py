@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ from .wordids import WordEncoder
 
 #: Chunks that a task knows it has sent already; this bounds memory and spares rows only.
 REMEMBERED = 400_000
+#: Rows of a table that is broadcast; larger ones are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 #: Ids that the rolling hash looks back on.
 WINDOW = 16
 
@@ -82,7 +85,7 @@ def _encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text", least: int = 64, usual: int = 256, most: int = 1024) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text", least: int = 128, usual: int = 512, most: int = 2048) -> None:
     """Encodes every whole text and writes a store at path.
 
     Null texts count as empty.  end_id, where given, follows each document's ids.  Rows with equal ids are kept, in the
@@ -93,11 +96,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, sent = _encoder(tokenizer), set()
+        place = TaskContext.get().partitionId() << 32
         width, code = encoder.width, encoder.code
         end = np.array([] if end_id is None else [end_id], dtype=code)
         for whole in batches:
             for batch in small(whole):
-                ends, keys, counts, payloads, lengths, roots = array("i", [0]), [], [], [], [], []
+                ends, keys, counts, places, payloads, lengths, roots = array("i", [0]), [], [], [], [], [], []
                 flat, bounds = encoder.encode(batch.column(1))
                 for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     ids = np.concatenate([flat[lo:hi], end])
@@ -107,7 +111,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None,
                         key = digest(payload)
                         own.append(key)
                         counts.append(stop - at)
-                        payloads.append(None if key in sent else payload)
+                        new = key not in sent
+                        places.append(place if new else None)
+                        payloads.append(payload if new else None)
+                        place += new
                         sent.add(key)
                         at = stop
                     if len(sent) > REMEMBERED:
@@ -116,18 +123,21 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None,
                     lengths.append(at)
                     roots.append(merkle(own))
                     ends.append(len(keys))
-                chunks = pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(counts, pa.int32()), pa.array(payloads, pa.binary())], names=["chunk_id", "n_ids", "payload"])
+                chunks = pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(counts, pa.int32()), pa.array(places, pa.int64()), pa.array(payloads, pa.binary())], names=["chunk_id", "n_ids", "place", "payload"])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), chunks)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), pa.array([width] * len(lengths), pa.int32()), lists, pa.array(roots, pa.binary())], names=["doc_id", "n_tokens", "width", "chunks", "root"])
 
-    cut = staged(
-        docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {id_type}, n_tokens long, width int, chunks array<struct<chunk_id:binary,n_ids:int,payload:binary>>, root binary"),
-        "cut",
-        "zstd",
-    )
+    schema = f"doc_id {id_type}, n_tokens long, width int, chunks array<struct<chunk_id:binary,n_ids:int,place:bigint,payload:binary>>, root binary"
+    cut = staged(docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema), "cut")
     light = staged(cut.select("doc_id", "n_tokens", "width", F.col("chunks.chunk_id").alias("chunk_ids"), "root"), "light")
-    each = cut.select(F.explode("chunks").alias("c")).where("c.payload is not null").select("c.*")
-    each.groupBy("chunk_id").agg(F.first("n_ids").alias("n_ids"), F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/chunks")
+    # only chunks that several tasks cut are dealt anew, by their ids; of these the first place stays
+    each = cut.select(F.explode("chunks").alias("c")).where("c.place is not null")
+    again = each.select("c.chunk_id", "c.place").groupBy("chunk_id").agg(F.count("*").alias("n"), F.min("place").alias("kept")).where("n > 1").select("chunk_id", "kept")
+    again = staged(again, "again")
+    if again.count() <= MOST_BROADCAST:
+        again = F.broadcast(again)
+    unique = each.select("c.*").join(again, "chunk_id", "left").where("kept is null or kept = place").select("chunk_id", "n_ids", "payload")
+    unique.write.parquet(f"{path}/chunks")
     dropped(cut)
     ordered = running_totals(light, [F.col("doc_id").asc_nulls_first(), F.col("root")], {"end": F.col("n_tokens")}, "recipes")
     numbered = ordered.withColumn("start", F.col("end") - F.col("n_tokens"))
