@@ -1,6 +1,90 @@
-"""A corpus in five stages, from raw documents to token ids."""
+"""A corpus in five stages, from raw documents to token ids.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept.  All but the last return the
+columns of documents, whatever these are besides doc_id, text and source.  Stages are written and read again between.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from flocktrace.llm import bpe, jaccard, mixing, repeats, rules
+from flocktrace.llm.common import staged
+from flocktrace.llm.queries import tokenizer_file
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the decision list learned from labels keep.
+
+    The list is learned from the labelled ones of docs.  Rows are judged each on its own text.
+    """
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return rules.passed(docs, rules.fit(docs, labels))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the least id, of each component of near copies (5-word shingles, similarity 0.8).
+
+    Documents without words link with nothing and stay.
+    """
+    found = staged(jaccard.join(docs), "classes")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without what repeats an earlier string of 100 bytes; documents of which no word is left go.
+
+    Characters are kept whole, so up to three bytes at an end of a passage may stay.  n_chars, where it is a column,
+    follows the text.
+    """
+    spanned = repeats.spans(docs)
+    left = repeats.without(spanned, whole_characters=True).where("n_removed > 0").select("doc_id", "tag", F.col("kept").cast("string").alias("left"))
+    left = staged(left, "left").dropDuplicates(["doc_id", "tag"])
+    tagged = docs.withColumn("_tag", F.xxhash64(F.coalesce("text", F.lit("")))).alias("d")
+    changed = tagged.join(left.alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("d._tag") == F.col("l.tag")), "left")
+    text = F.when(F.col("l.tag").isNotNull(), F.col("l.left")).otherwise(F.col("d.text"))
+    columns = {c: F.col(f"d.{c}") for c in docs.columns} | {"text": text}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("l.tag").isNotNull(), F.char_length("l.left")).otherwise(F.col("d.n_chars")).cast(docs.schema["n_chars"].dataType)
+    gone = F.col("l.tag").isNotNull() & ~F.col("l.left").rlike(r"[^\x20\x09-\x0D]")
+    return changed.where(~gone).select(*(columns[c].alias(c) for c in docs.columns))
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: whole epochs of its source, and one more time for those drawn first.
+
+    The document at a target's edge comes whole if at least half of it fits.
+    """
+    tagged = docs.withColumn("_tag", F.xxhash64(F.coalesce("text", F.lit(""))))
+    taken = mixing.mix(tagged, whole=True, row_col="_tag").where("size > 0")
+    copies = staged(taken.groupBy("doc_id", "_tag").agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("copies")).where("copies > 0"), "copies")
+    once = tagged.dropDuplicates(["doc_id", "_tag"]).alias("d")
+    both = once.join(copies.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d._tag") == F.col("c._tag")))
+    return both.select("d.*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_tag", "_copy")
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids of every row, by the byte-level tokenizer."""
+    return bpe.encode(docs, tokenizer_file("byte_bpe_50k.json")).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("mixing sources to target weights", mixed_sources),
+    ("BPE encoding and decoding", token_ids),
+]
+
+#: Learned rules, suffix arrays and BPE cannot be said in SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -118,7 +118,9 @@ def _checked(small: DataFrame) -> DataFrame:
 def _can_link(percent: int, x: str, y: str) -> Column:
     """Whether sets of sizes n_x and n_y that share no more than most_x and most_y can link."""
     small, large, most = F.least(f"n_{x}", f"n_{y}"), F.greatest(f"n_{x}", f"n_{y}"), F.least(f"most_{x}", f"most_{y}")
-    return (100 * small >= percent * large) & ((100 + percent) * most >= percent * (small + large))
+    # what each has alone is in the union only
+    alone = F.col(f"n_{x}") - F.col(f"most_{x}") + F.col(f"n_{y}") - F.col(f"most_{y}")
+    return (100 * small >= percent * large) & ((100 + percent) * most >= percent * (small + large)) & (100 * most >= percent * (most + alone))
 
 
 def _survivors(pairs: DataFrame, groups: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -288,8 +290,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
 
     # first round: some groups of a list with the others, the representative of a group with its other members
     stars = lists.where("gid <> first").select(F.col("first").alias("a"), F.col("gid").alias("b"))
+    # in a long list the centres are those with the fewest shingles of their own: near copies are nearest to what they are copies of
     of_long = lists.where(F.col("c") > LIST)
-    centres = of_long.groupBy("token").agg(F.array(*(F.min_by("gid", F.xxhash64("gid", F.lit(k))) for k in range(CENTRES))).alias("a")).select("token", F.explode("a").alias("a"))
+    draw = F.pmod(F.xxhash64("gid"), F.lit(CENTRES))
+    ranked = of_long.join(sizes, "gid").withColumn("rank", F.struct(((F.col("n") - F.col("most")) / F.col("n")).alias("own"), F.xxhash64("gid", F.lit(1)).alias("h")))
+    centres = ranked.groupBy("token").agg(F.array_compact(F.array(*(F.min_by("gid", F.when(draw == k, F.col("rank"))) for k in range(CENTRES)))).alias("a")).select("token", F.explode("a").alias("a"))
     more_stars = of_long.join(centres, "token").where("a <> gid").select(F.least("a", "gid").alias("a"), F.greatest("a", "gid").alias("b"))
     first = staged(_survivors(twos.unionByName(stars).unionByName(more_stars).distinct(), groups, sizes, percent), "first")
     rep = lambda side, to: groups.select(F.col("gid").alias(side), F.col("rep").alias(to))

@@ -116,7 +116,15 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(F.col("stats")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages of corpus_pipeline over all documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_url_alias": op1_url_alias,
     "op2_mix": op2_mix,
     "op3_repeats": op3_repeats,
