@@ -141,8 +141,8 @@ def _survivors(pairs: DataFrame, groups: DataFrame, sizes: DataFrame, percent: i
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     of = lambda side: groups.select(F.col("gid").alias(side), F.col("n").alias(f"n_{side}"), F.col("prefix").alias(f"p_{side}"))
-    size = lambda side: sizes.select(F.col("gid").alias(side), F.col("n").alias(f"n_{side}"), F.col("most").alias(f"most_{side}"))
-    sized = pairs.join(size("a"), "a").join(size("b"), "b").where(_can_link(percent, "a", "b"))
+    size = lambda side: sizes.select(F.col("gid").alias(side), F.col("n").alias(f"n_{side}"))
+    sized = pairs.join(size("a"), "a").join(size("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     full = sized.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "p_a", "p_b")
     return full.mapInArrow(run, "a long, b long")
 
@@ -226,16 +226,22 @@ def _by_parts(docs: DataFrame, wanted: DataFrame, states: DataFrame, size: int,
         seen: set[int] = set()
         for whole in batches:
             for batch in _small(whole):
-                keys, rows = [], []
+                keys, rows, sets = [], [], []
                 for hashes in shingle_sets(batch.column(0), size, fold):
                     if len(hashes) and (key := _key(hashes)) not in seen:
                         seen.add(key)
                         keys.append(key)
                         rows.append(part_keys(hashes, percent))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), _lists(rows)], names=["sid", "parts"])
-
-    made = docs.select("text").mapInArrow(run, "sid long, parts array<long>").join(_checked(wanted), "sid", "left_semi").dropDuplicates(["sid"])
-    parts = staged(made.select("sid", F.explode("parts").alias("part")).join(states.select("sid", "n", "most", "comp"), "sid"), "parts")
+                        sets.append(hashes)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), _lists(rows), _lists(sets)], names=["sid", "parts", "shingles"])
+
+    made = docs.select("text").mapInArrow(run, "sid long, parts array<long>, shingles array<long>").join(_checked(wanted), "sid", "left_semi").dropDuplicates(["sid"])
+    made = staged(made, "made")
+    # shingles that no other of these sets has are shared with none of them, so a set shares `most` at most
+    once = made.select("sid", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("sid").alias("sid")).where("c = 1")
+    alone = once.groupBy("sid").agg(F.count("*").alias("alone"))
+    known = states.select("sid", "n", "comp").join(alone, "sid", "left").select("sid", "n", "comp", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
+    parts = staged(made.select("sid", F.explode("parts").alias("part")).join(known, "sid"), "parts")
     split = parts.groupBy("part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("part")
     rows = staged(parts.join(_checked(staged(split, "split")), "part"), "rows")
     x, y = (rows.select("part", *(F.col(c).alias(f"{c}_{s}") for c in ("sid", "n", "most", "comp"))) for s in ("x", "y"))
@@ -284,16 +290,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     twos = shared.where("c = 2").select("a", "b")
     lists = staged(tokens.join(_checked(shared.where("c > 2").select("token", "c", F.col("a").alias("first"))), "token"), "lists")
 
-    # shingles of a prefix that no other group's prefix has cannot be shared, so a group shares `most` at most
+    # own: the share of shingles in a group's prefix that no other prefix has
     listed_twice = twos.select(F.explode(F.array("a", "b")).alias("gid")).unionByName(lists.select("gid")).groupBy("gid").agg(F.count("*").alias("k"))
-    sizes = staged(groups.join(listed_twice, "gid").select("gid", "n", (F.col("n") - F.size("prefix") + F.col("k")).alias("most")), "sizes")
+    sizes = staged(groups.join(listed_twice, "gid").select("gid", "n", ((F.size("prefix") - F.col("k")) / F.col("n")).alias("own")), "sizes")
 
     # first round: some groups of a list with the others, the representative of a group with its other members
     stars = lists.where("gid <> first").select(F.col("first").alias("a"), F.col("gid").alias("b"))
     # in a long list the centres are those with the fewest shingles of their own: near copies are nearest to what they are copies of
     of_long = lists.where(F.col("c") > LIST)
     draw = F.pmod(F.xxhash64("gid"), F.lit(CENTRES))
-    ranked = of_long.join(sizes, "gid").withColumn("rank", F.struct(((F.col("n") - F.col("most")) / F.col("n")).alias("own"), F.xxhash64("gid", F.lit(1)).alias("h")))
+    ranked = of_long.join(sizes, "gid").withColumn("rank", F.struct("own", F.xxhash64("gid", F.lit(1)).alias("h")))
     centres = ranked.groupBy("token").agg(F.array_compact(F.array(*(F.min_by("gid", F.when(draw == k, F.col("rank"))) for k in range(CENTRES)))).alias("a")).select("token", F.explode("a").alias("a"))
     more_stars = of_long.join(centres, "token").where("a <> gid").select(F.least("a", "gid").alias("a"), F.greatest("a", "gid").alias("b"))
     first = staged(_survivors(twos.unionByName(stars).unionByName(more_stars).distinct(), groups, sizes, percent), "first")
@@ -324,7 +330,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     long_lists = open_lists.where(F.col("c") > LIST).select("gid").distinct()
     hot = staged(states.join(long_lists, "gid", "left_semi").select("sid"), "hot")
     if not hot.isEmpty():
-        by_parts = _by_parts(docs, hot, states.join(sizes.select("gid", "most"), "gid"), shingle, percent, fold)
+        by_parts = _by_parts(docs, hot, states, shingle, percent, fold)
         gid_of = lambda side, to: states.select(F.col("sid").alias(side), F.col("gid").alias(to))
         located = staged(by_parts.join(gid_of("x", "a"), "x").join(gid_of("y", "b"), "y"), "by_parts")
         kept = _survivors(located.where("a <> b").select("a", "b").distinct(), groups, sizes, percent)
