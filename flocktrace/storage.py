@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,13 +28,26 @@ def new_dir(spark: SparkSession, name: str) -> str:
 
 def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """df written as a table in the shared folder and read back: its lineage ends there, and a lost executor costs no more than rereading."""
-    path = new_dir(df.sparkSession, name)
+    spark, path = df.sparkSession, new_dir(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
+    del df
+    _release(spark)
     return out
 
 
+_released = 0.0
+
+
+def _release(spark: SparkSession, every: float = 4.0) -> None:
+    """Has the driver collect its garbage, at most every few seconds: Spark keeps shuffle files until their plan is collected."""
+    global _released
+    if time.monotonic() - _released >= every:
+        spark._jvm.System.gc()
+        _released = time.monotonic()
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes staged tables that nothing reads any more."""
     for table in tables:
