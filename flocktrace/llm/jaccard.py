@@ -284,6 +284,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     rows = staged(docs.mapInArrow(run, f"doc_id {id_type}, n long, sid long, gid long, prefix array<long>"), "rows")
     sets = staged(rows.where("n > 0").groupBy("sid").agg(F.min("n").alias("n"), F.min("gid").alias("gid")), "sets")
     groups = staged(rows.where("n > 0").groupBy("gid").agg(F.min("n").alias("n"), F.min("sid").alias("rep"), F.first("prefix").alias("prefix")), "groups")
+    placed_rows = staged(rows.select("doc_id", "n", "sid"), "documents")
+    dropped(rows)
 
     tokens = groups.select("gid", F.explode("prefix").alias("token"))
     shared = staged(tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("gid").alias("a"), F.max("gid").alias("b")).where("c > 1"), "shared")
@@ -342,7 +344,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
         links = links.unionByName(_verified(left, everything, percent))
         found = staged(connected_components(links, "x", "y"), "components")
 
-    placed = staged(rows.select("doc_id", "n", "sid").join(found.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "n", F.coalesce("component", "sid").alias("comp")), "placed")
-    dropped(rows, groups, lists, shared, vectors)
+    placed = staged(placed_rows.join(found.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "n", F.coalesce("component", "sid").alias("comp")), "placed")
+    dropped(placed_rows, groups, lists, shared, vectors)
     least = placed.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
