@@ -33,7 +33,7 @@ from .shingles import mixed, shingle_sets
 SHINGLE = 5
 PERCENT = 80
 #: Groups on a list up to which its pairs are taken; longer lists go by parts.
-LIST = 20
+LIST = 48
 #: Groups of a longer list that the first round pairs with all its others, besides its least.
 CENTRES = 5
 #: Shingles that may be put last, and rows of a table that is broadcast.  Both only choose the way, never the result.
@@ -102,7 +102,7 @@ def _frequent(docs: DataFrame, size: int, fold: bool) -> tuple[np.ndarray, np.nd
         if held:
             yield from flush()
 
-    counted = docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") > LIST)
+    counted = docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") > LIST // 4)
     found = [r["h"] for r in counted.orderBy(F.col("c").desc(), "h").limit(MOST_LAST).collect()]  # at most MOST_LAST numbers
     hashes = np.array(found, dtype=np.int64).view(np.uint64)
     ranks = np.uint64(1 << 63) + np.arange(len(found), dtype=np.uint64)[::-1]
@@ -147,7 +147,13 @@ def _survivors(pairs: DataFrame, groups: DataFrame, sizes: DataFrame, percent: i
     return full.mapInArrow(run, "a long, b long")
 
 
-def _vectors(docs: DataFrame, wanted: DataFrame, size: int, fold: bool) -> DataFrame:
+def _texts_of(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts, copies among them, of the wanted sets, found by the tag of a text that has the set."""
+    tags = staged(sets.join(_checked(wanted), "sid", "left_semi").select("tag").distinct(), "tags")
+    return docs.join(_checked(tags), "tag", "left_semi").select("text")
+
+
+def _vectors(docs: DataFrame, sets: DataFrame, wanted: DataFrame, size: int, fold: bool) -> DataFrame:
     """sid and the packed sorted hashes of each wanted set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,8 +168,7 @@ def _vectors(docs: DataFrame, wanted: DataFrame, size: int, fold: bool) -> DataF
                         packed.append(hashes.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(packed, pa.binary())], names=["sid", "packed"])
 
-    made = docs.select("text").mapInArrow(run, "sid long, packed binary")
-    return made.join(_checked(wanted), "sid", "left_semi").dropDuplicates(["sid"])
+    return _texts_of(docs, sets, wanted).mapInArrow(run, "sid long, packed binary").dropDuplicates(["sid"])
 
 
 def _verified(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
@@ -219,7 +224,7 @@ def part_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _by_parts(docs: DataFrame, wanted: DataFrame, states: DataFrame, size: int, percent: int, fold: bool) -> DataFrame:
+def _by_parts(docs: DataFrame, sets: DataFrame, wanted: DataFrame, states: DataFrame, size: int, percent: int, fold: bool) -> DataFrame:
     """Pairs (x, y) of wanted sets in different components that agree in a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,8 +240,7 @@ def _by_parts(docs: DataFrame, wanted: DataFrame, states: DataFrame, size: int,
                         sets.append(hashes)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), _lists(rows), _lists(sets)], names=["sid", "parts", "shingles"])
 
-    made = docs.select("text").mapInArrow(run, "sid long, parts array<long>, shingles array<long>").join(_checked(wanted), "sid", "left_semi").dropDuplicates(["sid"])
-    made = staged(made, "made")
+    made = staged(_texts_of(docs, sets, wanted).mapInArrow(run, "sid long, parts array<long>, shingles array<long>").dropDuplicates(["sid"]), "made")
     # shingles that no other of these sets has are shared with none of them, so a set shares `most` at most
     once = made.select("sid", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("sid").alias("sid")).where("c = 1")
     alone = once.groupBy("sid").agg(F.count("*").alias("alone"))
@@ -261,7 +265,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     if not 50 < percent <= 100:
         raise ValueError("percent is over 50 and at most 100")
     id_type = docs.schema[id_col].dataType.simpleString()
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("tag", F.xxhash64("text"))
     last = docs.sparkSession.sparkContext.broadcast(_frequent(docs, shingle, fold))  # at most MOST_LAST numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,10 +283,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
                         sids.append(None)
                         gids.append(None)
                         prefixes.append(np.empty(0, dtype=np.uint64))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sids, pa.int64()), pa.array(gids, pa.int64()), _lists(prefixes)], names=["doc_id", "n", "sid", "gid", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sids, pa.int64()), pa.array(gids, pa.int64()), _lists(prefixes), batch.column(2)], names=["doc_id", "n", "sid", "gid", "prefix", "tag"])
 
-    rows = staged(docs.mapInArrow(run, f"doc_id {id_type}, n long, sid long, gid long, prefix array<long>"), "rows")
-    sets = staged(rows.where("n > 0").groupBy("sid").agg(F.min("n").alias("n"), F.min("gid").alias("gid")), "sets")
+    rows = staged(docs.mapInArrow(run, f"doc_id {id_type}, n long, sid long, gid long, prefix array<long>, tag long"), "rows")
+    sets = staged(rows.where("n > 0").groupBy("sid").agg(F.min("n").alias("n"), F.min("gid").alias("gid"), F.min("tag").alias("tag")), "sets")
     groups = staged(rows.where("n > 0").groupBy("gid").agg(F.min("n").alias("n"), F.min("sid").alias("rep"), F.first("prefix").alias("prefix")), "groups")
     placed_rows = staged(rows.select("doc_id", "n", "sid"), "documents")
     dropped(rows)
@@ -309,7 +313,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     between = first.join(rep("a", "ra"), "a").join(rep("b", "rb"), "b").select(F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y"))
     inside = sets.join(groups.select("gid", "rep"), "gid").where("sid <> rep").select(F.col("rep").alias("x"), F.col("sid").alias("y"))
     tried = staged(between.unionByName(inside).distinct(), "tried")
-    vectors = staged(_vectors(docs, staged(tried.select(F.explode(F.array("x", "y")).alias("sid")).distinct(), "wanted"), shingle, fold), "vectors")
+    vectors = staged(_vectors(docs, sets, staged(tried.select(F.explode(F.array("x", "y")).alias("sid")).distinct(), "wanted"), shingle, fold), "vectors")
     links = staged(_verified(tried, vectors, percent), "links")
     found = staged(connected_components(links, "x", "y"), "components")
 
@@ -332,7 +336,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     long_lists = open_lists.where(F.col("c") > LIST).select("gid").distinct()
     hot = staged(states.join(long_lists, "gid", "left_semi").select("sid"), "hot")
     if not hot.isEmpty():
-        by_parts = _by_parts(docs, hot, states, shingle, percent, fold)
+        by_parts = _by_parts(docs, sets, hot, states, shingle, percent, fold)
         gid_of = lambda side, to: states.select(F.col("sid").alias(side), F.col("gid").alias(to))
         located = staged(by_parts.join(gid_of("x", "a"), "x").join(gid_of("y", "b"), "y"), "by_parts")
         kept = _survivors(located.where("a <> b").select("a", "b").distinct(), groups, sizes, percent)
@@ -340,7 +344,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     left = staged(expanded.distinct().join(tried, ["x", "y"], "left_anti"), "left")
     if not left.isEmpty():
         more = staged(left.select(F.explode(F.array("x", "y")).alias("sid")).distinct().join(vectors.select("sid"), "sid", "left_anti"), "more")
-        everything = vectors.unionByName(_vectors(docs, more, shingle, fold))
+        everything = vectors.unionByName(_vectors(docs, sets, more, shingle, fold))
         links = links.unionByName(_verified(left, everything, percent))
         found = staged(connected_components(links, "x", "y"), "components")
 
