@@ -1,6 +1,5 @@
 """All registered queries of the engine and their SQL twins."""
 
-from __future__ import annotations
+from .queries import ORACLE_SQL, QUERIES
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
