@@ -247,10 +247,14 @@ def _by_parts(docs: DataFrame, sets: DataFrame, wanted: DataFrame, states: DataF
     known = states.select("sid", "n", "comp").join(alone, "sid", "left").select("sid", "n", "comp", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
     parts = staged(made.select("sid", F.explode("parts").alias("part")).join(known, "sid"), "parts")
     split = parts.groupBy("part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("part")
-    rows = staged(parts.join(_checked(staged(split, "split")), "part"), "rows")
-    x, y = (rows.select("part", *(F.col(c).alias(f"{c}_{s}") for c in ("sid", "n", "most", "comp"))) for s in ("x", "y"))
+    open_parts = staged(parts.join(_checked(staged(split, "split")), "part"), "open_parts")
+    every = open_parts.groupBy("sid").agg(F.collect_list("part").alias("own"))  # as many as a set has parts
+    rows = staged(open_parts.join(every, "sid"), "rows")
+    x, y = (rows.select("part", *(F.col(c).alias(f"{c}_{s}") for c in ("sid", "n", "most", "comp", "own"))) for s in ("x", "y"))
     near = (F.col("sid_x") < F.col("sid_y")) & (F.col("comp_x") != F.col("comp_y")) & _can_link(percent, "x", "y")
-    return x.join(y, "part").where(near).select(F.col("sid_x").alias("x"), F.col("sid_y").alias("y")).distinct()
+    # of all parts that two sets share, the least alone makes the pair
+    once = F.array_min(F.array_intersect("own_x", "own_y")) == F.col("part")
+    return x.join(y, "part").where(near & once).select(F.col("sid_x").alias("x"), F.col("sid_y").alias("y"))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, fold: bool = True) -> DataFrame:
