@@ -1,4 +1,4 @@
-"""What the operators share: words, tables, and the core's intermediate storage."""
+"""What the operators share: words, tables, batches for Python, and the core's intermediate storage."""
 
 from __future__ import annotations
 
@@ -9,13 +9,25 @@ from pyspark.sql import functions as F
 
 from ..storage import dropped, new_dir, running_totals, shared_dir, staged
 
-__all__ = ["BLANK", "WORD", "dropped", "new_dir", "running_totals", "shared_dir", "staged", "table", "words"]
+__all__ = ["BLANK", "WORD", "bounded", "dropped", "new_dir", "running_totals", "shared_dir", "staged", "table", "words"]
 
 #: A word: no space and none of the control characters from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
 
 
+#: Rows of text that go to Python in one batch.
+BATCH = 1000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, after seeing to it that the session sends at most BATCH rows to Python at once: batches are counted in rows, and texts can be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH:
+        df.sparkSession.conf.set(key, str(BATCH))
+    return df
+
+
 def words(text: Column) -> Column:
     """The words of a text in order; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANK), lambda w: w != "")

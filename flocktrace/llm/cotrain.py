@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
+from .common import bounded
 from .wordids import hashes, spans
 
 #: Bounds of what the classifiers are fitted on: labelled documents, and unlabelled ones that may get pseudo-labels; in
@@ -179,7 +180,7 @@ def train(text: list[tuple[np.ndarray, np.ndarray]], meta: np.ndarray, y: np.nda
 
 
 def _views(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"))
+    return bounded(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality", most_labelled: int = MOST_LABELLED, most_pool: int = MOST_POOL) -> Model:

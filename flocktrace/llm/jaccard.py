@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..components import connected_components
-from .common import dropped, staged
+from .common import bounded, dropped, staged
 from .shingles import mixed, shingle_sets
 
 SHINGLE = 5
@@ -269,7 +269,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     if not 50 < percent <= 100:
         raise ValueError("percent is over 50 and at most 100")
     id_type = docs.schema[id_col].dataType.simpleString()
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("tag", F.xxhash64("text"))
+    docs = bounded(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("tag", F.xxhash64("text"))
     last = docs.sparkSession.sparkContext.broadcast(_frequent(docs, shingle, fold))  # at most MOST_LAST numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, staged
+from .common import bounded, staged
 from .shingles import mixed
 
 LEAST = 100
@@ -230,7 +230,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     `least` bytes.  Null and empty texts lose nothing.  Offsets are in UTF-8 bytes.  An empty table gives no rows.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    identified = _identified(docs, id_col, text_col)
+    identified = _identified(bounded(docs), id_col, text_col)
     firsts = staged(identified.groupBy("tag", F.md5("text").alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")), "firsts")
     # texts with one row need no join; of the others the row with the least id stays
     several = staged(firsts.where("n > 1").select("tag", "doc_id", F.lit(True).alias("again")), "several")

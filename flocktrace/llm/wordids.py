@@ -17,7 +17,7 @@ from . import shingles
 from .bpe import _byte_alphabet
 
 #: Words that a worker remembers; beyond them it starts anew.  This bounds memory and does not change results.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
 
 #: What a file says of itself when a run of letters, and a run of marks, is one piece in lower case.
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -80,7 +80,7 @@ class WordEncoder:
         if ids is None:
             mapped = piece if piece.isascii() else "".join([self._alphabet[b] for b in piece.encode()])
             ids = [t.id for t in self._model.tokenize(mapped)]
-            if len(self._pieces) >= 200_000:
+            if len(self._pieces) >= 50_000:
                 self._pieces = {"": []}
             self._pieces[piece] = ids
         return ids
