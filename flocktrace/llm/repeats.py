@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, staged
+from .common import bounded, dropped, staged
 from .shingles import mixed
 
 LEAST = 100
@@ -68,60 +68,86 @@ def anchors(data: np.ndarray, least: int = LEAST, anchor: int = ANCHOR) -> tuple
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def intervals(lcp: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
-    """The common-prefix intervals (length, first, last) of at least `least` bytes, children before parents.
+def intervals(lcp: np.ndarray, least: int, rank: np.ndarray) -> Iterator[tuple[int, int, int, list[int]]]:
+    """The common-prefix intervals of at least `least` bytes, children before parents: length, first, last and outdone.
 
-    lcp[i] is what suffix i shares with suffix i - 1.
+    lcp[i] is what suffix i shares with suffix i - 1, rank[i] its place in the corpus.  outdone: the suffixes that are
+    earliest in a child, or in no child, but not in this interval.  A suffix is outdone once, at the longest prefix that it
+    shares with an earlier one.
     """
-    stack: list[tuple[int, int]] = []
+    places = rank.tolist()
+    stack: list[tuple[int, int, list[int]]] = []
     for i, shared in enumerate([*lcp[1:].tolist(), 0], 1):
-        left = i - 1
+        left, open_ones = i - 1, [i - 1]
         while stack and stack[-1][0] > shared:
-            length, left = stack.pop()
-            yield length, left, i - 1
-        if shared >= least and (not stack or stack[-1][0] < shared):
-            stack.append((shared, left))
+            length, left, members = stack.pop()
+            members += open_ones
+            best = min(members, key=places.__getitem__)
+            yield length, left, i - 1, [m for m in members if m != best]
+            open_ones = [best]
+        if shared >= least:
+            if stack and stack[-1][0] == shared:
+                stack[-1][2].extend(open_ones)
+            else:
+                stack.append((shared, left, open_ones))
+
+
+class SuffixArray:
+    """The sorted suffixes of a share's pieces that start at a repeated window, with their common prefixes.
+
+    before: the byte before each piece, -1 at the start of a text.  A repeat that begins with a piece counts as maximal to
+    the left, as what lies before is in another share.  rank: the place of each piece in the corpus.
+    """
 
+    def __init__(self, pieces: list[bytes], before: list[int], rank: list, least: int = LEAST):
+        self.least = least
+        lengths = np.array([len(p) for p in pieces], dtype=np.int64)
+        data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        windows = np.maximum(lengths - least + 1, 0)
+        piece = np.repeat(np.arange(len(pieces)), windows)
+        offset = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+        starts = begins[piece] + offset
+        if len(starts):
+            # only suffixes whose first bytes come twice can share enough
+            _, inverse, counts = np.unique(_rolling(data, least)[starts], return_inverse=True, return_counts=True)
+            twice = counts[inverse] > 1
+            piece, offset, starts = piece[twice], offset[twice], starts[twice]
+        width = int(lengths.max()) if len(lengths) else 0
+        rest = lengths[piece] - offset
+        padded = np.concatenate([data, np.zeros(width, dtype=np.uint8)])
+        rows = np.lib.stride_tricks.as_strided(padded, (len(data), width), (1, 1))[starts] if len(starts) else np.empty((0, 1), dtype=np.uint8)
+        rows[np.arange(rows.shape[1]) >= rest[:, None]] = 0
+        order = np.argsort(np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").ravel(), kind="stable")
+        rows, rest = rows[order], rest[order]
+        self.piece, self.offset = piece[order], offset[order]
+        lcp = np.zeros(len(rows), dtype=np.int64)
+        for at in range(1, len(rows), 1 << 16):
+            to = min(len(rows), at + (1 << 16))
+            differ = rows[at:to] != rows[at - 1 : to - 1]
+            lcp[at:to] = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+        lcp[1:] = np.minimum(lcp[1:], np.minimum(rest[1:], rest[:-1]))
+        self.lcp = lcp
+        left = np.where(self.offset > 0, data[np.maximum(begins[self.piece] + self.offset - 1, 0)].astype(np.int64), -1 - np.arange(len(self.offset))) if len(rows) else np.empty(0, dtype=np.int64)
+        # two suffixes of a run follow different bytes where this counter differs
+        self._changes = np.concatenate([[0], np.cumsum(left[1:] != left[:-1])]).tolist()
+        # pieces in the order of the corpus; within one, offsets
+        by_rank = np.empty(len(pieces), dtype=np.int64)
+        by_rank[sorted(range(len(pieces)), key=rank.__getitem__)] = np.arange(len(pieces))
+        self._rank = by_rank[self.piece] * (width + 1) + self.offset
+
+    def maximal(self) -> Iterator[tuple[int, int, int, list[int]]]:
+        """Intervals whose suffixes do not all follow the same byte."""
+        for length, first, last, outdone in intervals(self.lcp, self.least, self._rank):
+            if self._changes[first] != self._changes[last]:
+                yield length, first, last, outdone
 
-def maximal_repeats(pieces: list[bytes], before: list[int], least: int = LEAST) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """The maximal repeats of a share: length and all occurrences (piece, offset).
 
-    before: the byte before each piece, -1 at the start of a text.  A repeat that begins with a piece counts as maximal
-    to the left, as what lies before is in another share.
-    """
-    lengths = np.array([len(p) for p in pieces], dtype=np.int64)
-    data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-    begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    windows = np.maximum(lengths - least + 1, 0)
-    piece = np.repeat(np.arange(len(pieces)), windows)
-    offset = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    if not len(piece):
-        return
-    starts = begins[piece] + offset
-    # only suffixes whose first bytes come twice can share enough
-    _, inverse, counts = np.unique(_rolling(data, least)[starts], return_inverse=True, return_counts=True)
-    twice = counts[inverse] > 1
-    piece, offset, starts = piece[twice], offset[twice], starts[twice]
-    if not len(piece):
-        return
-    width = int(lengths.max())
-    rest = (lengths[piece] - offset).astype(np.int64)
-    padded = np.concatenate([data, np.zeros(width, dtype=np.uint8)])
-    rows = np.lib.stride_tricks.as_strided(padded, (len(data), width), (1, 1))[starts]
-    rows[np.arange(width) >= rest[:, None]] = 0
-    order = np.argsort(np.ascontiguousarray(rows).view(f"V{width}").ravel(), kind="stable")
-    rows, piece, offset, rest = rows[order], piece[order], offset[order], rest[order]
-    lcp = np.zeros(len(rows), dtype=np.int64)
-    for at in range(1, len(rows), 1 << 16):
-        to = min(len(rows), at + (1 << 16))
-        differ = rows[at:to] != rows[at - 1 : to - 1]
-        lcp[at:to] = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
-    lcp[1:] = np.minimum(lcp[1:], np.minimum(rest[1:], rest[:-1]))
-    left = np.where(offset > 0, data[np.maximum(begins[piece] + offset - 1, 0)].astype(np.int64), -1 - np.arange(len(offset)))
-    changes = np.concatenate([[0], np.cumsum(left[1:] != left[:-1])])
-    for length, a, b in intervals(lcp, least):
-        if changes[a] != changes[b]:
-            yield length, list(zip(piece[a : b + 1].tolist(), offset[a : b + 1].tolist(), strict=True))
+def maximal_repeats(pieces: list[bytes], before: list[int], least: int = LEAST) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """The maximal repeats of a share: length and all occurrences (piece, offset)."""
+    array = SuffixArray(pieces, before, list(range(len(pieces))), least)
+    for length, first, last, _ in array.maximal():
+        yield length, list(zip(array.piece[first : last + 1].tolist(), array.offset[first : last + 1].tolist(), strict=True))
 
 
 def _checked(small: DataFrame) -> DataFrame:
@@ -172,49 +198,93 @@ def _same(column: pa.Array, i: int, n: int) -> pa.Array:
     return pa.repeat(column[i], n)
 
 
-def repeat_groups(texts: DataFrame, least: int = LEAST, anchor: int = ANCHOR, most_pieces: int = MOST_PIECES) -> tuple[DataFrame, DataFrame]:
-    """Groups of repeats of at least `least` bytes among texts (doc_id, tag, text; distinct texts).
+def _place(doc_id, tag, at) -> tuple:
+    """Sorts as the corpus does, null ids last."""
+    return doc_id is None, 0 if doc_id is None else doc_id, tag, at
 
-    The first table has a row for each group: length and occurrences, an array of (doc_id, tag, at), earliest first.
-    Together the groups cover every byte that a repeat covers, but a repeat that is longer than a piece is told in
-    several groups, and a group of identical pieces is one of the second table: doc_id, tag, at, length and, of the
-    earliest with the same content, first_id, first_tag and first_at, one row for each occurrence but the earliest.
-    """
-    id_type = texts.schema["doc_id"].dataType.simpleString()
+
+def _shares(texts: DataFrame, least: int, anchor: int, most_pieces: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Distinct pieces with their share; copies of pieces; pieces of anchors with very many different ones."""
     pieces = staged(_pieces(texts, least, anchor), "pieces")
     same = pieces.groupBy("h", "piece").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "at", "before")).alias("f"))
     distinct = staged(same.select("h", "piece", F.col("f.doc_id").alias("doc_id"), F.col("f.tag").alias("tag"), F.col("f.at").alias("at"), F.col("f.before").alias("before"), F.xxhash64("piece", F.lit(1)).alias("p1"), F.xxhash64("piece", F.lit(2)).alias("p2")), "distinct")
     light = pieces.select("doc_id", "tag", "at", "h", F.octet_length("piece").alias("length"), F.xxhash64("piece", F.lit(1)).alias("p1"), F.xxhash64("piece", F.lit(2)).alias("p2"))
     firsts = distinct.select("h", "p1", "p2", F.col("doc_id").alias("first_id"), F.col("tag").alias("first_tag"), F.col("at").alias("first_at"))
-    is_first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("tag") == F.col("first_tag")) & (F.col("at") == F.col("first_at"))
-    copies = staged(light.join(firsts, ["h", "p1", "p2"]).where(~is_first).drop("h", "p1", "p2"), "copies")
-
-    counts = distinct.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-    often = staged(counts, "often")
+    copies = staged(light.join(firsts, ["h", "p1", "p2"]).where(~_is_first()).drop("h", "p1", "p2"), "copies")
+    dropped(pieces)
+    often = staged(distinct.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "often")
     total = often.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     shares = max(1, -(-total // SHARE))
     ordinary = distinct.join(_checked(often.where(F.col("c") <= most_pieces).select("h")), "h", "left_semi").withColumn("share", F.pmod(F.xxhash64("h", F.lit(3)), F.lit(shares)))
-    schema = f"length int, occurrences array<struct<doc_id:{id_type},tag:long,at:int>>"
+    crowded = distinct.join(_checked(often.where(F.col("c") > most_pieces).select("h")), "h", "left_semi")
+    return ordinary.select("share", "doc_id", "tag", "at", "piece", "before"), copies, crowded
+
+
+def _is_first():
+    return F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("tag") == F.col("first_tag")) & (F.col("at") == F.col("first_at"))
+
+
+def repeat_groups(texts: DataFrame, least: int = LEAST, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
+    """Groups of repeats of at least `least` bytes among texts (doc_id, tag, text; distinct texts).
+
+    The first table has a row for each group of maximal repeats: length and occurrences, an array of (doc_id, tag, at),
+    earliest first.  Together the groups cover every byte that a repeat covers, but a repeat that is longer than a piece is
+    told in several groups, and identical pieces are one occurrence; the second table tells them: doc_id, tag, at, length
+    and, of the earliest with the same content, first_id, first_tag and first_at, one row for each but the earliest.
+    """
+    texts = bounded(texts)
+    ordinary, copies, _ = _shares(texts, least, anchor, 1 << 62)
+    id_type = texts.schema["doc_id"].dataType.simpleString()
 
     def share(rows: pa.Table) -> pa.Table:
         ids, tags, ats = rows["doc_id"].to_pylist(), rows["tag"].to_pylist(), rows["at"].to_pylist()
         lengths, lists = [], []
         for length, found in maximal_repeats(rows["piece"].to_pylist(), rows["before"].to_pylist(), least):
-            places = sorted(((ids[p], tags[p], ats[p] + o) for p, o in found), key=lambda x: (x[0] is None, x[0] if x[0] is not None else 0, x[1], x[2]))
+            places = sorted(((ids[p], tags[p], ats[p] + o) for p, o in found), key=lambda x: _place(*x))
             lengths.append(length)
             lists.append([{"doc_id": d, "tag": t, "at": a} for d, t, a in places])
         return pa.table({"length": pa.array(lengths, pa.int32()), "occurrences": pa.array(lists, pa.list_(pa.struct([("doc_id", _arrow(id_type)), ("tag", pa.int64()), ("at", pa.int32())])))})
 
-    groups = ordinary.select("share", "doc_id", "tag", "at", "piece", "before").groupBy("share").applyInArrow(share, schema)
+    return ordinary.groupBy("share").applyInArrow(share, f"length int, occurrences array<struct<doc_id:{id_type},tag:long,at:int>>"), copies
+
+
+def later_spans(texts: DataFrame, least: int = LEAST, anchor: int = ANCHOR, most_pieces: int = MOST_PIECES) -> DataFrame:
+    """doc_id, tag, at and length of what repeats something earlier: of every group of maximal repeats all occurrences but the earliest.
+
+    A suffix is told once, at the longest prefix that it shares with an earlier one, which covers what it has in shorter
+    groups; what touches within a piece is one row.
+    """
+    id_type = texts.schema["doc_id"].dataType.simpleString()
+    ordinary, copies, crowded = _shares(texts, least, anchor, most_pieces)
+
+    def share(rows: pa.Table) -> pa.Table:
+        ids, tags, ats = rows["doc_id"].to_pylist(), rows["tag"].to_pylist(), rows["at"].to_pylist()
+        places = [_place(*x) for x in zip(ids, tags, ats, strict=True)]
+        array = SuffixArray(rows["piece"].to_pylist(), rows["before"].to_pylist(), places, least)
+        which, spans_to = [], []
+        for length, _, _, outdone in array.maximal():
+            which += outdone
+            spans_to += [length] * len(outdone)
+        at = np.array(which, dtype=np.int64)
+        piece, begin = array.piece[at], array.offset[at]
+        end = begin + np.array(spans_to, dtype=np.int64)
+        order = np.lexsort((begin, piece))
+        out: list[list[int]] = []
+        for p, a, b in zip(piece[order].tolist(), begin[order].tolist(), end[order].tolist(), strict=True):
+            if out and out[-1][0] == p and a <= out[-1][2]:
+                out[-1][2] = max(out[-1][2], b)
+            else:
+                out.append([p, a, b])
+        return pa.table({"doc_id": pa.array([ids[p] for p, _, _ in out], rows["doc_id"].type), "tag": pa.array([tags[p] for p, _, _ in out], pa.int64()), "at": pa.array([ats[p] + a for p, a, _ in out], pa.int32()), "length": pa.array([b - a for _, a, b in out], pa.int32())})
+
+    found = ordinary.groupBy("share").applyInArrow(share, f"doc_id {id_type}, tag long, at int, length int")
     # anchors with very many different pieces: their windows one by one, combined before the shuffle
-    crowded = distinct.join(_checked(often.where(F.col("c") > most_pieces).select("h")), "h", "left_semi")
     each = crowded.select("doc_id", "tag", "at", "piece", F.explode(F.sequence(F.lit(0), F.octet_length("piece") - least)).alias("o"))
     windows = each.select("doc_id", "tag", (F.col("at") + F.col("o")).alias("at"), F.expr(f"substring(piece, o + 1, {least})").alias("w"))
     windows = windows.select("doc_id", "tag", "at", F.xxhash64("w", F.lit(1)).alias("p1"), F.xxhash64("w", F.lit(2)).alias("p2"))
     least_of = windows.groupBy("p1", "p2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "at")).alias("f"))
-    pairs = windows.join(least_of.select("p1", "p2", F.col("f.doc_id").alias("first_id"), F.col("f.tag").alias("first_tag"), F.col("f.at").alias("first_at")), ["p1", "p2"]).where(~is_first)
-    copies = copies.unionByName(pairs.select("doc_id", "tag", "at", F.lit(least).alias("length"), "first_id", "first_tag", "first_at"))
-    return groups, copies
+    pairs = windows.join(least_of.select("p1", "p2", F.col("f.doc_id").alias("first_id"), F.col("f.tag").alias("first_tag"), F.col("f.at").alias("first_at")), ["p1", "p2"]).where(~_is_first())
+    return found.unionByName(copies.select("doc_id", "tag", "at", "length")).unionByName(pairs.select("doc_id", "tag", "at", F.lit(least).alias("length")))
 
 
 def _arrow(id_type: str) -> pa.DataType:
@@ -239,10 +309,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     distinct = marked.withColumn("copy", copy).drop("again", "least_id")
     once = distinct.where(~F.col("copy")).drop("copy")
     own = once.where(F.octet_length("text") >= least)
-    groups, copies = repeat_groups(own, least, anchor, most_pieces)
-    # of each group all but the earliest occurrence
-    later = groups.select("length", F.explode(F.slice("occurrences", 2, F.size("occurrences"))).alias("o")).select("o.doc_id", "o.tag", "o.at", "length")
-    found = later.unionByName(copies.select("doc_id", "tag", "at", "length"))
+    found = later_spans(own, least, anchor, most_pieces)
     merged = staged(_merged(found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct(F.col("at").alias("from"), (F.col("at") + F.col("length")).alias("to"))).alias("found"))), "found")
     ids = _checked(merged.select("doc_id", "tag"))
     same = ["doc_id", "tag"]
