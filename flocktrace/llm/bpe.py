@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded
+from .common import bounded, cache, lean
 
 #: Entries in a worker's memory of segments, and the longest segment that is remembered.  They bound memory; beyond
 #: them the work is done again, so results do not depend on them.
@@ -188,7 +188,7 @@ def _token_bytes(vocab: dict[str, int], added: dict[str, int]) -> dict[int, byte
     return out | {number: token.encode() for token, number in added.items()}
 
 
-_loaded: dict[str, PrefixBpe] = {}
+_loaded: dict[str, PrefixBpe] = cache("bpe")
 
 
 def load(path: str) -> PrefixBpe:
@@ -219,7 +219,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 ids = pa.Array.from_buffers(pa.list_(pa.field("element", pa.int32(), False)), len(made), [None, pa.py_buffer(ends)], children=[flat])
                 yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[id_col, ids_col])
 
-    return bounded(docs).select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return bounded(docs).select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(lean(run, "bpe"), schema)
 
 
 def small(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -242,4 +242,4 @@ def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col:
                 texts = [bpe.decode(x.values.to_numpy().tolist() if x.values is not None else []) for x in batch.column(1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=[id_col, ids_col, text_col])
 
-    return bounded(encoded).select(id_col, ids_col).mapInArrow(run, schema)
+    return bounded(encoded).select(id_col, ids_col).mapInArrow(lean(run, "bpe"), schema)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import dropped, new_dir, running_totals, shared_dir, staged
 
-__all__ = ["BLANK", "WORD", "bounded", "dropped", "new_dir", "running_totals", "shared_dir", "staged", "table", "words"]
+__all__ = ["BLANK", "WORD", "bounded", "cache", "dropped", "lean", "new_dir", "running_totals", "shared_dir", "staged", "table", "words"]
 
 #: A word: no space and none of the control characters from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,6 +30,44 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+_caches: dict[str, dict] = {}
+
+
+def cache(name: str) -> dict:
+    """A memory of a Python worker that is emptied when the worker turns to another operator."""
+    return _caches.setdefault(name, {})
+
+
+def release() -> None:
+    """Gives freed memory back to the system; workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def within(run: Callable[[Iterator], Iterator], batches: Iterator, keeps: str) -> Iterator:
+    """run over batches in a worker that has first forgotten all memories but `keeps`."""
+    for name, known in _caches.items():
+        if name != keeps:
+            known.clear()
+    try:
+        yield from run(batches)
+    finally:
+        release()
+
+
+def lean(run: Callable[[Iterator], Iterator], keeps: str = "") -> Callable[[Iterator], Iterator]:
+    """run as a function for mapInArrow that keeps no memory of other operators, and of its own only the one named."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        # by its name, so that it is the worker's own module that forgets
+        return within(run, batches, keeps)
+
+    return wrapped
+
+
 def words(text: Column) -> Column:
     """The words of a text in order; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANK), lambda w: w != "")

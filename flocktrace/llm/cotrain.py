@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import bounded
+from .common import bounded, lean
 from .wordids import hashes, spans
 
 #: Bounds of what the classifiers are fitted on: labelled documents, and unlabelled ones that may get pseudo-labels; in
@@ -204,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     views = _views(docs, id_col, text_col, lang_col, source_col).join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text", "lang", "source")
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, y int, index array<int>, value array<float>, meta array<double>"
-    table = views.mapInArrow(run, schema).toPandas()  # at most the sample's rows, but for repeated ids
+    table = views.mapInArrow(lean(run), schema).toPandas()  # at most the sample's rows, but for repeated ids
     table = table.sort_values(["doc_id"], kind="stable").drop_duplicates("doc_id").reset_index(drop=True)
     y = table["y"].fillna(-1).to_numpy(dtype=np.int64)
     meta = np.stack(table["meta"].to_list()) if len(table) else np.empty((0, len(_NUMBERS) + 2))
@@ -239,4 +239,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in p), pa.array(p[2] >= least)], names=["doc_id", "p_text", "p_meta", "score", "kept"])
 
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, p_text double, p_meta double, score double, kept boolean"
-    return _views(docs, id_col, text_col, lang_col, source_col).mapInArrow(run, schema)
+    return _views(docs, id_col, text_col, lang_col, source_col).mapInArrow(lean(run), schema)

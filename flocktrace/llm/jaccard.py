@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..components import connected_components
-from .common import bounded, dropped, staged
+from .common import bounded, dropped, lean, staged
 from .shingles import mixed, shingle_sets
 
 SHINGLE = 5
@@ -96,13 +96,13 @@ def _frequent(docs: DataFrame, size: int, fold: bool) -> tuple[np.ndarray, np.nd
                 for hashes in shingle_sets(batch.column(0), size, fold):
                     held.append(hashes)
                     n += len(hashes)
-                if n > 3_000_000:
+                if n > 2_000_000:
                     yield from flush()
                     held, n = [], 0
         if held:
             yield from flush()
 
-    counted = docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") > LIST // 4)
+    counted = docs.select("text").mapInArrow(lean(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") > LIST // 4)
     found = [r["h"] for r in counted.orderBy(F.col("c").desc(), "h").limit(MOST_LAST).collect()]  # at most MOST_LAST numbers
     hashes = np.array(found, dtype=np.int64).view(np.uint64)
     ranks = np.uint64(1 << 63) + np.arange(len(found), dtype=np.uint64)[::-1]
@@ -144,7 +144,7 @@ def _survivors(pairs: DataFrame, groups: DataFrame, sizes: DataFrame, percent: i
     size = lambda side: sizes.select(F.col("gid").alias(side), F.col("n").alias(f"n_{side}"))
     sized = pairs.join(size("a"), "a").join(size("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     full = sized.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "p_a", "p_b")
-    return full.mapInArrow(run, "a long, b long")
+    return full.mapInArrow(lean(run), "a long, b long")
 
 
 def _texts_of(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def _vectors(docs: DataFrame, sets: DataFrame, wanted: DataFrame, size: int, fol
                         packed.append(hashes.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(packed, pa.binary())], names=["sid", "packed"])
 
-    return _texts_of(docs, sets, wanted).mapInArrow(run, "sid long, packed binary").dropDuplicates(["sid"])
+    return _texts_of(docs, sets, wanted).mapInArrow(lean(run), "sid long, packed binary").dropDuplicates(["sid"])
 
 
 def _verified(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
@@ -187,7 +187,7 @@ def _verified(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     of = lambda side: vectors.select(F.col("sid").alias(side), F.col("packed").alias(f"v_{side}"))
-    return pairs.join(of("x"), "x").join(of("y"), "y").select("x", "y", "v_x", "v_y").mapInArrow(run, "x long, y long")
+    return pairs.join(of("x"), "x").join(of("y"), "y").select("x", "y", "v_x", "v_y").mapInArrow(lean(run), "x long, y long")
 
 
 def _classes(percent: int, n: int) -> tuple[list[int], int]:
@@ -240,7 +240,7 @@ def _by_parts(docs: DataFrame, sets: DataFrame, wanted: DataFrame, states: DataF
                         sets.append(hashes)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), _lists(rows), _lists(sets)], names=["sid", "parts", "shingles"])
 
-    made = staged(_texts_of(docs, sets, wanted).mapInArrow(run, "sid long, parts array<long>, shingles array<long>").dropDuplicates(["sid"]), "made")
+    made = staged(_texts_of(docs, sets, wanted).mapInArrow(lean(run), "sid long, parts array<long>, shingles array<long>").dropDuplicates(["sid"]), "made")
     # shingles that no other of these sets has are shared with none of them, so a set shares `most` at most
     once = made.select("sid", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("sid").alias("sid")).where("c = 1")
     alone = once.groupBy("sid").agg(F.count("*").alias("alone"))
@@ -289,7 +289,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
                         prefixes.append(np.empty(0, dtype=np.uint64))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sids, pa.int64()), pa.array(gids, pa.int64()), _lists(prefixes), batch.column(2)], names=["doc_id", "n", "sid", "gid", "prefix", "tag"])
 
-    rows = staged(docs.mapInArrow(run, f"doc_id {id_type}, n long, sid long, gid long, prefix array<long>, tag long"), "rows")
+    rows = staged(docs.mapInArrow(lean(run), f"doc_id {id_type}, n long, sid long, gid long, prefix array<long>, tag long"), "rows")
     sets = staged(rows.where("n > 0").groupBy("sid").agg(F.min("n").alias("n"), F.min("gid").alias("gid"), F.min("tag").alias("tag")), "sets")
     groups = staged(rows.where("n > 0").groupBy("gid").agg(F.min("n").alias("n"), F.min("sid").alias("rep"), F.first("prefix").alias("prefix")), "groups")
     placed_rows = staged(rows.select("doc_id", "n", "sid"), "documents")

@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, dropped, staged
+from .common import bounded, dropped, lean, staged
 from .shingles import mixed
 
 LEAST = 100
 ANCHOR = 32
 #: Pieces that one suffix array takes, about; pieces of one anchor beyond which its windows are grouped one by one.
-SHARE = 8_000
+SHARE = 2_500
 MOST_PIECES = 8_000
 #: Positions that anchors are picked from together, and rows of a table that is broadcast; they do not change results.
 BLOCK = 1 << 20
@@ -186,12 +186,12 @@ def _pieces(texts: DataFrame, least: int, anchor: int) -> DataFrame:
                 n = len(los)
                 yield pa.RecordBatch.from_arrays([_same(batch.column(0), i, n), _same(batch.column(1), i, n), h, lo, pa.array([text[a : b + least] for a, b in zip(los, his, strict=True)], pa.binary()), pa.array([text[a - 1] if a else -1 for a in los], pa.int32())], names=["doc_id", "tag", "h", "at", "piece", "before"])
 
-    picked = texts.mapInArrow(pick, f"{key}, h long, lo int, hi int")
+    picked = texts.mapInArrow(lean(pick), f"{key}, h long, lo int, hi int")
     often = staged(picked.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "often")
     kept = staged(picked.join(_checked(often), "h", "left_semi").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("parts")), "kept")
     some = texts.join(_checked(kept.select("doc_id", "tag")), ["doc_id", "tag"], "left_semi")
     joined = some.join(kept, ["doc_id", "tag"]).select("doc_id", "tag", "text", "parts")
-    return joined.mapInArrow(cut, f"{key}, h long, at int, piece binary, before int")
+    return joined.mapInArrow(lean(cut), f"{key}, h long, at int, piece binary, before int")
 
 
 def _same(column: pa.Array, i: int, n: int) -> pa.Array:
@@ -340,7 +340,7 @@ def _merged(found: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(flat, names=["from", "to"]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["doc_id", "tag", "found"])
 
-    return found.mapInArrow(run, found.schema)
+    return found.mapInArrow(lean(run), found.schema)
 
 
 def without(spanned: DataFrame, whole_characters: bool = False) -> DataFrame:
@@ -373,4 +373,4 @@ def without(spanned: DataFrame, whole_characters: bool = False) -> DataFrame:
                     kept.append(b"".join([*out, text[at:]]))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (sizes, removed, counts)), pa.array(kept, pa.binary())], names=["doc_id", "tag", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return spanned.select("doc_id", "tag", "text", "spans").mapInArrow(run, f"doc_id {id_type}, tag long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return spanned.select("doc_id", "tag", "text", "spans").mapInArrow(lean(run), f"doc_id {id_type}, tag long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import shingles
-from .common import bounded
+from .common import bounded, lean
 from .wordids import hashes, spans
 
 #: Labelled rows that a list is learned from, those with the least hash of their id.  The bound of the sample.
@@ -130,7 +130,7 @@ def with_statistics(docs: DataFrame, out: str = "stats", text_col: str = "text")
                 struct = pa.StructArray.from_arrays([pa.array(made[c].astype(np.int64)) for c in COUNTS], names=COUNTS)
                 yield pa.RecordBatch.from_arrays([*batch.columns, struct], names=[*names, out])
 
-    return bounded(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T._parse_datatype_string(f"struct<{fields}>"))]))
+    return bounded(docs).mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField(out, T._parse_datatype_string(f"struct<{fields}>"))]))
 
 
 def base_failed(stats: str = "stats") -> Column:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import small
-from .common import bounded, dropped, new_dir, running_totals, staged
+from .common import bounded, cache, dropped, lean, new_dir, running_totals, staged
 from .wordids import WordEncoder
 
 #: Chunks that a task knows it has sent already; this bounds memory and spares rows only.
@@ -76,7 +76,7 @@ def merkle(leaves: list[bytes]) -> bytes:
     return leaves[0]
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, WordEncoder] = cache("wordids")
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -128,7 +128,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None,
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), pa.array([width] * len(lengths), pa.int32()), lists, pa.array(roots, pa.binary())], names=["doc_id", "n_tokens", "width", "chunks", "root"])
 
     schema = f"doc_id {id_type}, n_tokens long, width int, chunks array<struct<chunk_id:binary,n_ids:int,place:bigint,payload:binary>>, root binary"
-    cut = staged(bounded(docs).select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema), "cut")
+    cut = staged(bounded(docs).select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(lean(run, "wordids"), schema), "cut")
     light = staged(cut.select("doc_id", "n_tokens", "width", F.col("chunks.chunk_id").alias("chunk_ids"), "root"), "light")
     # only chunks that several tasks cut are dealt anew, by their ids; of these the first place stays
     each = cut.select(F.explode("chunks").alias("c")).where("c.place is not null")
@@ -168,7 +168,7 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
                 crcs.append(zlib.crc32(np.frombuffer(payload, dtype=f"<u{len(payload) // n}").astype("<u4")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(crcs, pa.int64())], names=["chunk_id", "n_ids", "payload", "crc"])
 
-    return bounded(spark.read.parquet(f"{path}/chunks")).select("chunk_id", "n_ids", "payload").mapInArrow(run, "chunk_id binary, n_ids int, payload binary, crc long")
+    return bounded(spark.read.parquet(f"{path}/chunks")).select("chunk_id", "n_ids", "payload").mapInArrow(lean(run), "chunk_id binary, n_ids int, payload binary, crc long")
 
 
 def _joined(spark: SparkSession, path: str, chunks: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
     joined = _joined(spark, path, read_chunks(spark, path).drop("crc"))
     schema = f"doc_id {joined.schema['doc_id'].dataType.simpleString()}, start long, ids array<long>"
-    return joined.select("doc_id", "start", "width", "root", "parts").mapInArrow(run, schema)
+    return joined.select("doc_id", "start", "width", "root", "parts").mapInArrow(lean(run), schema)
 
 
 #: CRC-32 as in zlib: the reflected polynomial.
@@ -262,7 +262,7 @@ def read_checks(spark: SparkSession, path: str) -> DataFrame:
     sums = staged(read_chunks(spark, path).drop("payload"), "sums")
     joined = _joined(spark, path, sums)
     schema = f"doc_id {joined.schema['doc_id'].dataType.simpleString()}, start long, n_tokens long, ids_crc32 long"
-    return joined.select("doc_id", "start", "n_tokens", "root", "parts").mapInArrow(run, schema)
+    return joined.select("doc_id", "start", "n_tokens", "root", "parts").mapInArrow(lean(run), schema)
 
 
 def new_store(spark: SparkSession) -> str:
