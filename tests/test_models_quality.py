@@ -83,7 +83,7 @@ def runner(spark):
     scans = [(t, 1, 2, -70) for t in (0, 90000)] + [(t, 2, 3, -85) for t in (0, 90000)] + [(t, 3, 4, -70) for t in (90000,)]
     df = prepare.classify(spark.createDataFrame(scans, "timestamp long, user_a long, user_b long, rssi long"))
     friends = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (5, 6)], "user_a long, user_b long")
-    calls = spark.createDataFrame([(4000, 1, 2, 30)], "timestamp long, caller long, callee long, duration long")
+    calls = spark.createDataFrame([(2000, 1, 2, 30)], "timestamp long, caller long, callee long, duration long")
     sms = spark.createDataFrame([], "timestamp long, sender long, recipient long")
     return engine.Engine(df, friends, calls, sms, least_support=1)
 
@@ -109,3 +109,16 @@ def test_jobs_keep_a_record(runner, tmp_path):
     assert jobs.artifact(second, "summary.json").is_file()
     with pytest.raises(KeyError):
         jobs.artifact(first, "../metadata.json")
+
+
+def test_entry_imports_without_the_training_data_part():
+    """The rest stands alone: nothing in it imports the subpackage."""
+    import ast
+    from pathlib import Path
+
+    import flocktrace
+
+    for path in Path(flocktrace.__file__).parent.glob("*.py"):
+        for node in ast.walk(ast.parse(path.read_text())):
+            names = [a.name for a in node.names] + [getattr(node, "module", "") or ""] if isinstance(node, (ast.Import, ast.ImportFrom)) else []
+            assert not any("llm" in n.split(".") or n == "corpus_pipeline" for n in names)
