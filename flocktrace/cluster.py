@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from itertools import combinations
+from pathlib import Path
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
@@ -105,5 +107,35 @@ def assignments(features: DataFrame, labelled: DataFrame, key: str = "episode_id
     return joined.withColumn("status", F.when(F.col("cluster_id").isNull(), "incomplete_history").otherwise("assigned"))
 
 
-def save(model, path: str) -> None:
-    model.write().overwrite().save(path)
+def fit_bundle(df: DataFrame, columns: list[str], k: int, seed: int = 42, n_init: int = 20) -> dict:
+    """What is needed to label new rows: columns with centre and spread, the best centres, and the settings."""
+    kept = varying(require_finite(df, columns), columns)
+    scaled, scaler = scale(df, kept, "standard", "_z")
+    names = [f"{c}_z" for c in kept]
+    vectors = VectorAssembler(inputCols=names, outputCol="vector").transform(scaled)
+    best = None
+    for start in range(n_init):
+        model = KMeans(k=k, seed=seed + start, featuresCol="vector", predictionCol="cluster_id").fit(vectors)
+        if best is None or model.summary.trainingCost < best[0]:
+            best = (model.summary.trainingCost, model.clusterCenters())
+    return {"columns": kept, "scaler": {c: list(scaler[c]) for c in kept}, "centres": [[float(x) for x in c] for c in best[1]], "inertia": best[0], "k": k, "seed": seed, "n_init": n_init}
+
+
+def predict(df: DataFrame, bundle: dict) -> DataFrame:
+    """df with cluster_id, the nearest centre of a bundle."""
+    z = [(F.col(c) - F.lit(bundle["scaler"][c][0])) / F.lit(bundle["scaler"][c][1]) for c in bundle["columns"]]
+    squares = []
+    for i, centre in enumerate(bundle["centres"]):
+        total = F.lit(0.0)
+        for x, y in zip(z, centre, strict=True):
+            total = total + (x - y) * (x - y)
+        squares.append(F.struct(total.alias("d"), F.lit(i).alias("i")))
+    return df.withColumn("cluster_id", F.array_min(F.array(*squares))["i"])
+
+
+def save_bundle(bundle: dict, path: str | Path) -> None:
+    Path(path).write_text(json.dumps(bundle, indent=2))
+
+
+def load_bundle(path: str | Path) -> dict:
+    return json.loads(Path(path).read_text())

@@ -165,3 +165,15 @@ def gap_silence(rows: DataFrame, accepted: DataFrame, seen: DataFrame) -> DataFr
     each = gaps.select(F.explode(F.array_intersect("pa", "pb")).alias("user"), "from_slot", "to_slot").select("user", F.explode(F.sequence(F.col("from_slot") + 1, F.col("to_slot") - 1)).alias("slot_id"))
     marked = each.join(seen.withColumn("there", F.lit(1)), ["user", "slot_id"], "left")
     return marked.agg(F.count("*").alias("n_member_slots"), F.count_if(F.col("there").isNull()).alias("n_silent"))
+
+
+def long_episode_hours(found: DataFrame, least_slots: int, slot: int = 300) -> DataFrame:
+    """How long episodes of at least least_slots slots spread over the hours of the day: covered slots by hour, and the episodes in each."""
+    covered = found.where(F.col("n_slots") >= least_slots).select("episode_id", F.explode(F.sequence("first_slot", "last_slot")).alias("s"))
+    hour = F.pmod(F.floor(F.col("s") * slot / F.lit(3600)), F.lit(24))
+    return covered.groupBy(hour.alias("hour")).agg(F.count("*").alias("n_slots"), F.countDistinct("episode_id").alias("n_episodes"))
+
+
+def one_slot_profile(found: DataFrame) -> DataFrame:
+    """Episodes and medians of size and strength of one-slot and longer episodes."""
+    return found.groupBy((F.col("n_slots") == 1).alias("one_slot")).agg(F.count("*").alias("n_episodes"), F.expr("percentile(median_size, 0.5)").alias("median_size"), F.expr("percentile(median_rssi, 0.5)").alias("median_rssi"))

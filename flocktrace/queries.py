@@ -660,3 +660,45 @@ def top_k(spark, d):
 @query("SELECT event_id FROM events WHERE contains(lower(event_type), 'purch') OR contains(lower(props), 'purch')")
 def text_search(spark, d):
     return reports.search(spark.read.parquet(f"{d}/events.parquet").select("event_id", "event_type", "props"), "purch").select("event_id")
+
+
+@query(f"WITH {_SCANS} SELECT rssi, count(*) AS contact_records FROM ct GROUP BY 1")
+def rssi_histogram(spark, d):
+    return reports.rssi_histogram(_contacts(spark, d))
+
+
+@query(f"WITH RECURSIVE {_GATH} SELECT gathering_id, n AS participants FROM gath WHERE n BETWEEN 3 AND 5")
+def gatherings_by_size(spark, d):
+    return reports.size_between(_gatherings(spark, d), 3, 5).select("gathering_id", F.size("participant_set").cast("long").alias("participants"))
+
+
+@query(f"WITH RECURSIVE {_EPIS}, e AS (SELECT episode_id, unnest(range(first_slot, last_slot + 1)) AS s FROM ep WHERE n_slots >= 2) SELECT CAST(floor(s * {SLOT} / 3600.0) AS BIGINT) % 24 AS hour, count(*) AS n_slots, count(DISTINCT episode_id) AS n_episodes FROM e GROUP BY 1")
+def long_episode_hours(spark, d):
+    return episodes.long_episode_hours(_episodes(spark, d), 2, SLOT)
+
+
+@query(f"WITH RECURSIVE {_EPIS} SELECT n_slots = 1 AS one_slot, count(*) AS n_episodes, {_rs('quantile_cont(median_size, 0.5) AS median_size', 'quantile_cont(median_rssi, 0.5) AS median_rssi')} FROM ep GROUP BY 1")
+def one_slot_profile(spark, d):
+    return episodes.one_slot_profile(_episodes(spark, d)).select("one_slot", "n_episodes", *_r("median_size", "median_rssi"))
+
+
+@query("SELECT quantile_cont(value, 0.0) AS q0, quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS q50, quantile_cont(value, 0.75) AS q75, quantile_cont(value, 1.0) AS q100 FROM events")
+def quantile_vector(spark, d):
+    return reports.quantile_vector(spark.read.parquet(f"{d}/events.parquet"), "value")
+
+
+@query(f"WITH {_FRIENDS} SELECT DISTINCT id FROM (SELECT user_a AS id FROM friends UNION ALL SELECT user_b FROM friends UNION ALL SELECT user_id FROM ev WHERE event_type = 'view')")
+def id_universe(spark, d):
+    f = sources.friends(spark, d)
+    return reports.id_universe([(f, "user_a"), (f, "user_b"), (sources.events(spark, d).where("event_type = 'view'"), "user_id")])
+
+
+@query("SELECT 'event_type' AS \"column\", count(*) FILTER (event_type IS NOT NULL AND TRY_CAST(event_type AS BIGINT) IS NULL) AS n_failed FROM events UNION ALL SELECT 'user_id', count(*) FILTER (user_id IS NOT NULL AND TRY_CAST(user_id AS BIGINT) IS NULL) FROM events")
+def coercion_failures(spark, d):
+    return prepare.coercion_failures(spark.read.parquet(f"{d}/events.parquet"), ["event_type", "user_id"])
+
+
+@query()
+def cluster_bundle(spark, d):
+    df = _features4(spark, d)
+    return cluster.predict(df, cluster.fit_bundle(df, X4, 3, n_init=2)).groupBy("cluster_id").agg(F.count("*").alias("n_rows"))

@@ -63,3 +63,27 @@ def compare_partitions(a: DataFrame, b: DataFrame, key: str = "episode_id") -> D
     from .metrics import adjusted_rand
 
     return adjusted_rand(a, b, key, "cluster_id", "cluster_id")
+
+
+def rssi_histogram(contacts: DataFrame) -> DataFrame:
+    """Contacts by whole dBm."""
+    return contacts.groupBy(F.round("rssi").cast("long").alias("rssi")).agg(F.count("*").alias("contact_records"))
+
+
+def size_between(gatherings: DataFrame, least: int, most: int) -> DataFrame:
+    """Gatherings of least to most members, both included."""
+    return gatherings.where(F.size("participant_set").between(least, most))
+
+
+def quantile_vector(df: DataFrame, column: str) -> DataFrame:
+    """Exact least, quartiles and greatest of a column, one row."""
+    return df.agg(*(F.expr(f"percentile({column}, {p})").alias(n) for n, p in (("q0", 0.0), ("q25", 0.25), ("q50", 0.5), ("q75", 0.75), ("q100", 1.0))))
+
+
+def id_universe(frames: list[tuple[DataFrame, str]]) -> DataFrame:
+    """Distinct ids of a column of each table."""
+    out = None
+    for df, column in frames:
+        ids = df.select(F.col(column).alias("id"))
+        out = ids if out is None else out.unionByName(ids)
+    return out.distinct()
