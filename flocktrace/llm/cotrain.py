@@ -23,8 +23,8 @@ from .wordids import hashes, spans
 
 #: Bounds of what the classifiers are fitted on: labelled documents, and unlabelled ones that may get pseudo-labels; in
 #: both cases those with the least hash of their id.
-MOST_LABELLED = 6_000
-MOST_POOL = 6_000
+MOST_LABELLED = 4_000
+MOST_POOL = 4_000
 ROUNDS = 4
 #: Share of the pool that each classifier hands over in a round, and how sure it must be.
 GIVEN = 0.05
