@@ -40,8 +40,8 @@ def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
 _released = 0.0
 
 
-def _release(spark: SparkSession, every: float = 4.0) -> None:
-    """Has the driver collect its garbage, at most every few seconds: Spark keeps shuffle files until their plan is collected."""
+def _release(spark: SparkSession, every: float = 1.0) -> None:
+    """Has the driver collect its garbage, at most every second: Spark keeps shuffle files until their plan is collected."""
     global _released
     if time.monotonic() - _released >= every:
         spark._jvm.System.gc()
