@@ -191,7 +191,9 @@ def _pieces(texts: DataFrame, least: int, anchor: int) -> DataFrame:
     kept = staged(picked.join(_checked(often), "h", "left_semi").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("parts")), "kept")
     some = texts.join(_checked(kept.select("doc_id", "tag")), ["doc_id", "tag"], "left_semi")
     joined = some.join(kept, ["doc_id", "tag"]).select("doc_id", "tag", "text", "parts")
-    return joined.mapInArrow(lean(cut), f"{key}, h long, at int, piece binary, before int")
+    pieces = staged(joined.mapInArrow(lean(cut), f"{key}, h long, at int, piece binary, before int"), "pieces")
+    dropped(often, kept)
+    return pieces
 
 
 def _same(column: pa.Array, i: int, n: int) -> pa.Array:
@@ -205,7 +207,7 @@ def _place(doc_id, tag, at) -> tuple:
 
 def _shares(texts: DataFrame, least: int, anchor: int, most_pieces: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Distinct pieces with their share; copies of pieces; pieces of anchors with very many different ones."""
-    pieces = staged(_pieces(texts, least, anchor), "pieces")
+    pieces = _pieces(texts, least, anchor)
     same = pieces.groupBy("h", "piece").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "at", "before")).alias("f"))
     distinct = staged(same.select("h", "piece", F.col("f.doc_id").alias("doc_id"), F.col("f.tag").alias("tag"), F.col("f.at").alias("at"), F.col("f.before").alias("before"), F.xxhash64("piece", F.lit(1)).alias("p1"), F.xxhash64("piece", F.lit(2)).alias("p2")), "distinct")
     light = pieces.select("doc_id", "tag", "at", "h", F.octet_length("piece").alias("length"), F.xxhash64("piece", F.lit(1)).alias("p1"), F.xxhash64("piece", F.lit(2)).alias("p2"))
