@@ -49,6 +49,17 @@ def hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarra
     return shingles.mixed((sums[stops] - sums[starts]) * shingles._inverse[starts] + (stops - starts).astype(np.uint64))
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values in order, a place of each, and for every value the number of its distinct one."""
+    order = np.argsort(values)  # need not be stable, and so is faster than what np.unique does
+    ordered = values[order]
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    inverse = np.empty(len(values), dtype=np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], inverse
+
+
 class WordEncoder:
     """A tokenizer file of any kind; ids come as unsigned integers of `width` bytes."""
 
@@ -134,7 +145,7 @@ class WordEncoder:
             return np.fromiter((t for x in made for t in x), dtype=self.code, count=int(ends[-1])), ends
         data, ends = shingles.texts_of(column)
         starts, stops = spans(data, ends)
-        distinct, first, inverse = np.unique(hashes(data, starts, stops), return_index=True, return_inverse=True)
+        distinct, first, inverse = _distinct(hashes(data, starts, stops))
         if len(self._main[0]) + len(self._recent[0]) > REMEMBERED:
             self._forget()
         missing = np.flatnonzero((self._find(self._main, distinct) < 0) & (self._find(self._recent, distinct) < 0))
