@@ -8,25 +8,26 @@ labelled.  Both are then calibrated on held-out labels, and all documents are sc
 
 from __future__ import annotations
 
+import copy
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import bounded, lean
+from .common import bounded, dropped, lean, staged
 from .wordids import hashes, spans
 
-#: Bounds of what the classifiers are fitted on: labelled documents, and unlabelled ones that may get pseudo-labels; in
-#: both cases those with the least hash of their id.
+#: Bound of the labelled documents that the classifiers are fitted on, those with the least hash of their id.
 MOST_LABELLED = 4_000
-MOST_POOL = 4_000
 ROUNDS = 4
-#: Share of the pool that each classifier hands over in a round, and how sure it must be.
+#: Share of all unlabelled documents that each classifier hands over in a round, and how sure it must be.
 GIVEN = 0.05
 SURE = 0.95
 
@@ -88,19 +89,10 @@ class Logistic:
     def logit(self, *rows) -> np.ndarray:
         return np.clip(self.scale * self.raw(*rows) + self.shift, -30, 30)
 
-    def fit(self, index, value, row, y, n: int, steps: int = 80, penalty: float = 1e-4) -> None:
-        """Full-batch descent with Adam's steps; classes weigh alike."""
-        if self.weights is None:
-            self.weights = np.zeros(self.width)
-        good = max(1, int(y.sum()))
-        cost = np.where(y > 0, 0.5 / good, 0.5 / max(1, n - good))
-        m, v = np.zeros(self.width + 1), np.zeros(self.width + 1)
-        for t in range(1, steps + 1):
-            error = cost * (1 / (1 + np.exp(-np.clip(self.raw(index, value, row, n), -30, 30))) - y)
-            slope = np.append(np.bincount(index, value * error[row], minlength=self.width) + penalty * self.weights, error.sum())
-            m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope * slope
-            step = 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-            self.weights, self.bias = self.weights - step[:-1], self.bias - step[-1]
+    def slope(self, index, value, row, n: int, y, costs: tuple[float, float]) -> np.ndarray:
+        """Of the loss by each weight and, last, the bias; costs are those of a bad and of a good row."""
+        error = np.where(y > 0, costs[1], costs[0]) * (1 / (1 + np.exp(-np.clip(self.raw(index, value, row, n), -30, 30))) - y)
+        return np.append(np.bincount(index, value * error[row], minlength=self.width), error.sum())
 
     def calibrate(self, index, value, row, y, n: int) -> None:
         """Newton's method for the scale and shift under which scores are log-odds of the held-out labels."""
@@ -144,37 +136,202 @@ def _rows(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return np.concatenate([p[0] for p in parts]).astype(np.int64), np.concatenate([p[1] for p in parts]), np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts]), len(parts)
 
 
-def train(text: list[tuple[np.ndarray, np.ndarray]], meta: np.ndarray, y: np.ndarray, held_out: np.ndarray, rounds: int = ROUNDS, given: float = GIVEN, sure: float = SURE) -> Model:
-    """Co-trains on documents given by both views; y is 1, 0, or -1 where there is no label."""
+#: A block of unlabelled documents: a hash of each id, how many features each text has, these and their values, and metadata.
+Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+#: View that hands over, and view that gets.
+_TO = (("text", "meta"), ("meta", "text"))
+
+
+def _block_rows(block: Block, edges: list[np.ndarray], at: np.ndarray | None = None) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """A block's rows, or those of some of its documents, for both views."""
+    _, sizes, index, value, meta = block
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    if at is None:
+        return {"text": (index.astype(np.int64), value.astype(float), row, len(sizes)), "meta": _binned(meta, edges)}
+    mine = np.isin(row, at)
+    return {"text": (index[mine].astype(np.int64), value[mine].astype(float), np.searchsorted(at, row[mine]), len(at)), "meta": _binned(meta[at], edges)}
+
+
+def _keys(classifier: Logistic, rows: tuple, ids: np.ndarray, sure: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For bad and for good: which documents the classifier is sure of, and keys that put the surest first, and then the least hash."""
+    z = classifier.logit(*rows)
+    p = 1 / (1 + np.exp(-z))
+    place = np.round((z + 30) * (1 << 20)).astype(np.uint64)
+    tie = ids >> np.uint64(26)
+    return p <= 1 - sure, place << np.uint64(38) | tie, p >= sure, (np.uint64((1 << 26) - 1) - place) << np.uint64(38) | tie
+
+
+def _handed(block: Block, rows: dict[str, tuple], turns: list[tuple[dict[str, Logistic], dict[tuple[str, int], int]]], sure: float) -> dict[str, np.ndarray]:
+    """The pseudo-labels that a block's documents have got for each view after these turns, -1 for none."""
+    labels = {view: np.full(len(block[0]), -1) for view in rows}
+    for classifiers, cuts in turns:
+        for view, other in _TO:
+            is_bad, bad, is_good, good = _keys(classifiers[view], rows[view], block[0], sure)
+            free = labels[other] < 0
+            labels[other][free & is_bad & (bad <= np.uint64(cuts[view, 0]))] = 0
+            labels[other][free & is_good & (good <= np.uint64(cuts[view, 1]))] = 1
+    return labels
+
+
+class Pool:
+    """All unlabelled documents, in blocks that stay in executors.
+
+    What has been handed over follows from the classifiers and cut-offs of the turns so far, which are all that the
+    driver keeps.
+    """
+
+    def __init__(self, table: DataFrame, edges: list[np.ndarray], sure: float = SURE):
+        self.size = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        self.edges, self.sure = edges, sure
+        self.turns: list[tuple[dict[str, Logistic], dict[tuple[str, int], int]]] = []
+        self.blocks = table.select("block").rdd.map(lambda r: pickle.loads(r[0]))
+        self.tasks = table.sparkSession.sparkContext.defaultParallelism
+        self.kept: RDD | None = None
+        self.given: RDD | None = None
+        #: Good pseudo-labels, and all, of each view.
+        self.counts = {"text": (0, 0), "meta": (0, 0)}
+
+    def take(self, classifiers: dict[str, Logistic], bad: int, good: int) -> None:
+        """A turn: each classifier hands the bad and good documents that it is surest of, so many at most, to the other."""
+        edges, sure, turns = self.edges, self.sure, list(self.turns)
+        now = {k: copy.copy(c) for k, c in classifiers.items()}
+
+        def keys(block: Block) -> dict[tuple[str, int], np.ndarray]:
+            rows = _block_rows(block, edges)
+            had, out = _handed(block, rows, turns, sure), {}
+            for view, other in _TO:
+                is_bad, low, is_good, high = _keys(now[view], rows[view], block[0], sure)
+                free = had[other] < 0
+                out |= {(view, 0): low[free & is_bad], (view, 1): high[free & is_good]}
+            return out
+
+        found = self.blocks.map(keys).persist(StorageLevel.MEMORY_AND_DISK)
+        cuts = _cuts(found.coalesce(self.tasks), {(view, y): (bad, good)[y] for view, _ in _TO for y in (0, 1)})
+        found.unpersist()
+        self.turns.append((now, cuts))
+        self._gather()
+
+    def _gather(self) -> None:
+        edges, sure, turns = self.edges, self.sure, list(self.turns)
+
+        def chosen(blocks: Iterator[Block]) -> Iterator[dict[str, tuple]]:
+            held: dict[str, list] = {"text": [], "meta": []}
+            for block in blocks:
+                labels = _handed(block, _block_rows(block, edges), turns, sure)
+                for view, got in labels.items():
+                    if len(at := np.flatnonzero(got >= 0)):
+                        held[view].append((*_block_rows(block, edges, at)[view], got[at].astype(float)))
+                if max(sum(x[3] for x in parts) for parts in held.values()) >= 4096:
+                    yield {view: _merged(parts) for view, parts in held.items()}
+                    held = {"text": [], "meta": []}
+            yield {view: _merged(parts) for view, parts in held.items()}
+
+        self.close()
+        self.kept = self.blocks.mapPartitions(chosen).persist(StorageLevel.MEMORY_AND_DISK)
+        self.given = self.kept.coalesce(self.tasks)
+        told = self.given.map(lambda x: {view: (int(rows[4].sum()), rows[3]) for view, rows in x.items()}).collect()
+        self.counts = {view: (sum(x[view][0] for x in told), sum(x[view][1] for x in told)) for view in self.counts}
+
+    def slopes(self, classifiers: dict[str, Logistic], costs: dict[str, tuple[float, float]]) -> dict[str, np.ndarray] | None:
+        """The slopes of the loss of all that was handed over."""
+        if self.given is None:
+            return None
+
+        def run(parts: Iterator[dict[str, tuple]]) -> Iterator[dict[str, np.ndarray]]:
+            total = {view: np.zeros(c.width + 1) for view, c in classifiers.items()}
+            for part in parts:
+                for view, rows in part.items():
+                    total[view] += classifiers[view].slope(*rows, costs[view])
+            yield total
+
+        sums = self.given.mapPartitions(run).collect()
+        return {view: sum(x[view] for x in sums) for view in classifiers}
+
+    def close(self) -> None:
+        if self.kept is not None:
+            self.kept.unpersist()
+            self.kept = self.given = None
+
+
+def _merged(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray]:
+    if not parts:
+        return np.empty(0, dtype=np.int64), np.empty(0), np.empty(0, dtype=np.int64), 0, np.empty(0)
+    before = np.cumsum([0, *(p[3] for p in parts)])
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] + b for p, b in zip(parts, before[:-1].tolist(), strict=True)]), int(before[-1]), np.concatenate([p[4] for p in parts])
+
+
+def _cuts(keys: RDD, most: dict[tuple[str, int], int]) -> dict[tuple[str, int], int]:
+    """For each name the key that so many are not above; the greatest of all where there are fewer.  Counts 16 bits at a time."""
+    prefix, left, open_ = dict.fromkeys(most, 0), dict(most), set(most)
+    for shift in (48, 32, 16, 0):
+        known, names = dict(prefix), sorted(open_)
+
+        def run(blocks: Iterator[dict], known=known, names=names, shift=shift) -> Iterator[dict]:
+            total = {name: np.zeros(1 << 16, dtype=np.int64) for name in names}
+            for block in blocks:
+                for name in names:
+                    k = block[name]
+                    k = k if shift == 48 else k[k >> np.uint64(shift + 16) == np.uint64(known[name])]
+                    total[name] += np.bincount((k >> np.uint64(shift) & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16)
+            yield {name: (some := np.flatnonzero(c), c[some]) for name, c in total.items()}
+
+        told = keys.mapPartitions(run).collect()
+        for name in names:
+            count = np.zeros(1 << 16, dtype=np.int64)
+            for x in told:
+                count[x[name][0]] += x[name][1]
+            upto = np.cumsum(count)
+            at = int(np.searchsorted(upto, left[name]))
+            if at == 1 << 16:
+                prefix[name] = (1 << 64) - 1
+                open_.remove(name)
+                continue
+            left[name] -= int(upto[at] - count[at])
+            prefix[name] = prefix[name] << 16 | at
+    return prefix
+
+
+def _descend(classifiers: dict[str, Logistic], near: dict[str, tuple], pool: Pool | None, steps: int, penalty: float = 1e-4) -> None:
+    """Full-batch descent with Adam's steps on the labelled rows and all that the pool has handed over; classes weigh alike."""
+    costs, m, v = {}, {}, {}
+    for view, c in classifiers.items():
+        c.scale, c.shift = 1.0, 0.0
+        if c.weights is None:
+            c.weights = np.zeros(c.width)
+        more = pool.counts[view] if pool else (0, 0)
+        good = max(1, int(near[view][4].sum()) + more[0])
+        costs[view] = (0.5 / max(1, near[view][3] + more[1] - good), 0.5 / good)
+        m[view], v[view] = np.zeros(c.width + 1), np.zeros(c.width + 1)
+    for t in range(1, steps + 1):
+        far = pool.slopes(classifiers, costs) if pool else None
+        for view, c in classifiers.items():
+            slope = c.slope(*near[view], costs[view]) + np.append(penalty * c.weights, 0.0)
+            slope = slope if far is None else slope + far[view]
+            m[view], v[view] = 0.9 * m[view] + 0.1 * slope, 0.99 * v[view] + 0.01 * slope * slope
+            step = 0.3 * (m[view] / (1 - 0.9**t)) / (np.sqrt(v[view] / (1 - 0.99**t)) + 1e-8)
+            c.weights, c.bias = c.weights - step[:-1], c.bias - step[-1]
+
+
+def train(text: list[tuple[np.ndarray, np.ndarray]], meta: np.ndarray, y: np.ndarray, held_out: np.ndarray, blocks: DataFrame | None = None, rounds: int = ROUNDS, given: float = GIVEN, sure: float = SURE) -> Model:
+    """Co-trains on labelled documents given by both views, and on blocks of unlabelled ones."""
     edges = [np.unique(np.quantile(meta[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) if len(meta) else np.empty(0) for k in range(len(_NUMBERS))]
-    known = np.flatnonzero((y >= 0) & ~held_out)
-    good = float((y[y >= 0] == 1).mean()) if (y >= 0).any() else 0.5
-    good = min(max(good, 0.01), 0.99)
+    known = np.flatnonzero(~held_out)
+    good = min(max(float(y.mean()) if len(y) else 0.5, 0.01), 0.99)
     model = Model(Logistic(WORD_BUCKETS + SHAPE_BUCKETS), Logistic(len(edges) * BINS + 2 * _NAMES), edges, float(np.log(good / (1 - good))))
+    classifiers = {"text": model.text, "meta": model.meta}
     rows = {"text": lambda at: _rows([text[i] for i in at]), "meta": lambda at: _binned(meta[at], edges)}
-    labels = {view: dict(zip(known.tolist(), y[known].tolist(), strict=True)) for view in rows}
-    pool = np.flatnonzero(y < 0)
-    for turn in range(rounds + 1):
-        for view, classifier in (("text", model.text), ("meta", model.meta)):
-            at = np.array(sorted(labels[view]), dtype=np.int64)
-            index, value, row, n = rows[view](at)
-            classifier.scale, classifier.shift = 1.0, 0.0
-            classifier.fit(index, value, row, np.array([labels[view][i] for i in at.tolist()], dtype=float), n, steps=120 if turn == 0 else 40)
-        if turn == rounds or not len(pool):
-            break
-        count = max(1, int(given * len(pool)))
-        handed: dict[str, dict[int, int]] = {}
-        for view, classifier, other in (("text", model.text, "meta"), ("meta", model.meta, "text")):
-            free = np.array([i for i in pool.tolist() if i not in labels[other]], dtype=np.int64)
-            p = 1 / (1 + np.exp(-classifier.logit(*rows[view](free))))
-            order = np.argsort(p, kind="stable")
-            low, high = order[: max(1, int(count * (1 - good)))], order[::-1][: max(1, int(count * good))]
-            handed[other] = {int(free[i]): 0 for i in low if p[i] <= 1 - sure} | {int(free[i]): 1 for i in high if p[i] >= sure}
-        for view, more in handed.items():
-            labels[view] |= more
-    at = np.flatnonzero((y >= 0) & held_out)
+    near = {view: (*rows[view](known), y[known].astype(float)) for view in rows}
+    _descend(classifiers, near, None, 120)
+    pool = Pool(blocks, edges, sure) if blocks is not None and rounds else None
+    if pool and pool.size:
+        count = max(1, int(given * pool.size))
+        for _ in range(rounds):
+            pool.take(classifiers, max(1, int(count * (1 - good))), max(1, int(count * good)))
+            _descend(classifiers, near, pool, 40)
+        pool.close()
+    at = np.flatnonzero(held_out)
     if len(at) and 0 < y[at].sum() < len(at):
-        for view, classifier in (("text", model.text), ("meta", model.meta)):
+        for view, classifier in classifiers.items():
             classifier.calibrate(*rows[view](at)[:3], y[at].astype(float), len(at))
     return model
 
@@ -183,16 +340,43 @@ def _views(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_co
     return bounded(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality", most_labelled: int = MOST_LABELLED, most_pool: int = MOST_POOL) -> Model:
-    """Fits on at most most_labelled labelled and most_pool unlabelled documents, those with the least hash of their id.
+def _blocks(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    """Every unlabelled id's document in blocks, and their numbers of rows; of rows with one id that with the least features."""
 
-    Null labels and ids are left out.  A fifth of the labelled ones, by another hash, is held out for calibration.
-    Without labels of both classes scores say the share of good ones, and nothing else.
+    def view(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                index, value = zip(*_text_view(batch.column(1)), strict=True)
+                meta = _meta_view(batch.column(1), batch.column(2), batch.column(3))
+                packed = [[x.astype(np.uint16).tobytes() for x in index], [x.astype(np.float32).tobytes() for x in value], [x.tobytes() for x in meta]]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.binary()) for x in packed)], names=["doc_id", "index", "value", "meta"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ids, index, value, meta = (batch.column(i) for i in range(4))
+                index, value, meta = index.to_pylist(), b"".join(value.to_pylist()), b"".join(meta.to_pylist())
+                block = (ids.to_numpy().view(np.uint64), np.array([len(x) // 2 for x in index]), np.frombuffer(b"".join(index), dtype=np.uint16), np.frombuffer(value, dtype=np.float32), np.frombuffer(meta).reshape(batch.num_rows, -1))
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block)], pa.binary()), pa.array([batch.num_rows], pa.int64())], names=["block", "n"])
+
+    views = _views(docs.where(F.col(id_col).isNotNull()), id_col, text_col, lang_col, source_col)
+    each = views.mapInArrow(lean(view), f"doc_id {docs.schema[id_col].dataType.simpleString()}, index binary, value binary, meta binary")
+    free = each.join(known.select("doc_id"), "doc_id", "left_anti").groupBy("doc_id").agg(F.min(F.struct("index", "value", "meta")).alias("x"))
+    return staged(free.select(F.xxhash64("doc_id", F.lit(7)).alias("h"), "x.*").mapInArrow(lean(pack), "block binary, n long"), "unlabelled")
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality", most_labelled: int = MOST_LABELLED) -> Model:
+    """Fits on at most most_labelled labelled documents, those with the least hash of their id, and on pseudo-labels of any unlabelled ones.
+
+    In each round executors score all unlabelled documents, and the share GIVEN of them, the surest, gets labels; what is
+    fitted on these stays in executors, which send sums only.  Null labels and ids are left out.  A fifth of the labelled
+    ones, by another hash, is held out for calibration; bins of numbers are those of the labelled ones.  Without labels of
+    both classes scores say the share of good ones, and nothing else.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg((F.avg(F.col(label_col)) >= 0.5).cast("int").alias("y"))
-    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id")).join(known, "doc_id", "left")
-    pick = lambda df, n: df.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(n)
-    sample = pick(ids.where("y is not null").distinct(), most_labelled).unionByName(pick(ids.where("y is null").distinct(), most_pool))
+    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id")).join(known, "doc_id")
+    sample = ids.distinct().orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(most_labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -206,14 +390,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, y int, index array<int>, value array<float>, meta array<double>"
     table = views.mapInArrow(lean(run), schema).toPandas()  # at most the sample's rows, but for repeated ids
     table = table.sort_values(["doc_id"], kind="stable").drop_duplicates("doc_id").reset_index(drop=True)
-    y = table["y"].fillna(-1).to_numpy(dtype=np.int64)
+    y = table["y"].to_numpy(dtype=np.int64)
     meta = np.stack(table["meta"].to_list()) if len(table) else np.empty((0, len(_NUMBERS) + 2))
-    if len({*y[y >= 0].tolist()}) < 2:
+    if len({*y.tolist()}) < 2:
         model = train([], meta[:0], y[:0], y[:0] > 0, rounds=0)
         model.prior = 0.0
         return model
     held_out = shingles.mixed(table["doc_id"].to_numpy().astype(np.int64).view(np.uint64) + np.uint64(23)) % np.uint64(5) == 0
-    return train(list(zip(table["index"], table["value"], strict=True)), meta, y, held_out)
+    blocks = _blocks(docs, known, id_col, text_col, lang_col, source_col)
+    model = train(list(zip(table["index"], table["value"], strict=True)), meta, y, held_out, blocks)
+    dropped(blocks)
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: float = 0.5) -> DataFrame:

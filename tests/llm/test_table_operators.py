@@ -1,8 +1,10 @@
 """Operators on tables: url rules, mixing, rollups, co-training, the pipeline and the registered queries."""
 
+import pickle
 import random
 from pathlib import Path
 
+import numpy as np
 import oracle
 import pytest
 
@@ -108,6 +110,40 @@ def test_cotraining_on_held_out_labels(spark):
     assert cotrain.score(df.limit(0), cotrain.fit(df, labels.limit(0))).count() == 0
 
 
+def test_cotraining_takes_the_surest_of_all_unlabelled(spark):
+    r = random.Random(9)
+    n = 5000
+    rows = [(i, " ".join(("good" if r.random() < i / n else "BAD!") for _ in range(12)), "en", "s") for i in range(n)]
+    rows += [(7, rows[7][1], "en", "s"), (None, "good", "en", "s"), (n, "good", "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(6)
+    known = spark.createDataFrame([(n, 1)], "doc_id long, y int")
+    table = cotrain._blocks(docs, known, "doc_id", "text", "lang", "source")
+    edges = [np.array([0.5])] * len(cotrain._NUMBERS)
+    pool = cotrain.Pool(table, edges, sure=0.6)
+    assert pool.size == n
+    width = cotrain.WORD_BUCKETS + cotrain.SHAPE_BUCKETS
+    blocks = [pickle.loads(x.block) for x in table.collect()]
+    weights = np.random.default_rng(3).normal(size=width)
+    text, meta = cotrain.Logistic(width, weights), cotrain.Logistic(len(edges) * cotrain.BINS + 2 * cotrain._NAMES)
+    meta.weights = np.zeros(meta.width)
+    z = {int(h): x for b in blocks for h, x in zip(b[0], text.logit(*cotrain._block_rows(b, edges)["text"]), strict=True)}
+    order = sorted(z, key=lambda h: (round((z[h] + 30) * (1 << 20)), h >> 26))
+    surest = sorted(z, key=lambda h: (-round((z[h] + 30) * (1 << 20)), h >> 26))
+    cut = np.log(0.6 / 0.4)
+    bad, good = [h for h in order if z[h] <= -cut], [h for h in surest if z[h] >= cut]
+    assert len(bad) > 400 or len(good) > 400
+    pool.take({"text": text, "meta": meta}, 150, 100)
+    pool.take({"text": text, "meta": meta}, 150, 100)
+    wanted = dict.fromkeys(bad[:300], 0) | dict.fromkeys(good[:200], 1)
+    got = {int(h): int(y) for b in blocks for h, y in zip(b[0], cotrain._handed(b, cotrain._block_rows(b, edges), pool.turns, 0.6)["meta"], strict=True) if y >= 0}
+    assert got == wanted and pool.counts == {"text": (0, 0), "meta": (len(good[:200]), len(wanted))}
+    # sums made in executors are those of all handed rows at once
+    at = [np.array([i for i, h in enumerate(b[0]) if int(h) in wanted], dtype=np.int64) for b in blocks]
+    whole = sum(meta.slope(*cotrain._block_rows(b, edges, i)["meta"], np.array([wanted[int(h)] for h in b[0][i]], dtype=float), (0.1, 0.2)) for b, i in zip(blocks, at, strict=True))
+    assert np.allclose(pool.slopes({"text": text, "meta": meta}, {"text": (0.1, 0.2), "meta": (0.1, 0.2)})["meta"], whole)
+    pool.close()
+
+
 needs_tables = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 
 
