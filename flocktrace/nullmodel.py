@@ -35,16 +35,15 @@ def shuffled_sets(episodes: DataFrame, n_permutations: int, seed: int = 42) -> D
     """perm_id, txn_id and items: all places of all episodes are dealt anew to the same multiset of participants.
 
     Sizes and, but for repeats within a set, how often each participant comes are kept.  Places and participants are
-    numbered in two random orders and joined by number.
+    numbered in two random orders, for all permutations at once, and joined by number.
     """
-    each = episodes.select("episode_id", F.explode("participant_set").alias("member"))
-    out: DataFrame | None = None
-    for p in range(n_permutations):
-        a = running_totals(each.select("episode_id", "member"), [F.xxhash64("episode_id", "member", F.lit(2 * (seed + p))), F.col("episode_id"), F.col("member")], {"k": F.lit(1).cast("long")}, "places").select("k", "episode_id")
-        b = running_totals(each.select("episode_id", "member"), [F.xxhash64("member", "episode_id", F.lit(2 * (seed + p) + 1)), F.col("member"), F.col("episode_id")], {"k": F.lit(1).cast("long")}, "members").select("k", "member")
-        made = a.join(b, "k").groupBy("episode_id").agg(F.array_sort(F.collect_set("member")).alias("items")).select(F.lit(p).alias("perm_id"), F.col("episode_id").alias("txn_id"), "items")
-        out = made if out is None else out.unionByName(made)
-    return out
+    each = episodes.select("episode_id", F.explode("participant_set").alias("member")).withColumn("perm_id", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))))
+    salt = (F.col("perm_id") + seed) * 2
+    one = {"k": F.lit(1).cast("long")}
+    # every permutation has as many places as members, so numbers over all permutations stay within each
+    a = running_totals(each, [F.col("perm_id"), F.xxhash64("episode_id", "member", salt), F.col("episode_id"), F.col("member")], one, "places").select("k", "perm_id", "episode_id")
+    b = running_totals(each, [F.col("perm_id"), F.xxhash64("member", "episode_id", salt + 1), F.col("member"), F.col("episode_id")], one, "members").select("k", "member")
+    return a.join(b, "k").groupBy("perm_id", F.col("episode_id").alias("txn_id")).agg(F.array_sort(F.collect_set("member")).alias("items"))
 
 
 def equal_support(sets: DataFrame, cohorts: DataFrame) -> DataFrame:

@@ -426,12 +426,12 @@ def next_encounter(spark, d):
 
 @query()
 def null_support(spark, d):
-    return nullmodel.evaluate(staged(sources.basket_episodes(spark, d), "episodes"), _cohorts(spark, d), 20)
+    return nullmodel.evaluate(staged(sources.basket_episodes(spark, d), "episodes"), _cohorts(spark, d))
 
 
 @query()
 def null_support_shuffled(spark, d):
-    return nullmodel.evaluate(staged(sources.basket_episodes(spark, d), "episodes"), _cohorts(spark, d), 3, mode="shuffle")
+    return nullmodel.evaluate(staged(sources.basket_episodes(spark, d), "episodes"), _cohorts(spark, d), mode="shuffle")
 
 
 # scaling, partitions and anomalies ---------------------------------------------------------------------------------
@@ -484,7 +484,7 @@ def adjusted_rand(spark, d):
 @query()
 def kmeans_profiles(spark, d):
     vectors, _ = cluster.prepared(_features4(spark, d), X4)
-    labelled, _ = cluster.kmeans(vectors, 3, n_init=2)
+    labelled, _ = cluster.kmeans(vectors, 3)
     return cluster.profiles(labelled, X4)
 
 
@@ -517,7 +517,7 @@ def lof(spark, d):
 
 @query()
 def isolation_forest(spark, d):
-    return anomaly.isolation_forest(_features4(spark, d), "vec_id", X4, n_estimators=50).select("vec_id", "anomaly_score", "is_anomaly", "rank")
+    return anomaly.isolation_forest(_features4(spark, d), "vec_id", X4).select("vec_id", "anomaly_score", "is_anomaly", "rank")
 
 
 @query()
@@ -701,4 +701,4 @@ def coercion_failures(spark, d):
 @query()
 def cluster_bundle(spark, d):
     df = _features4(spark, d)
-    return cluster.predict(df, cluster.fit_bundle(df, X4, 3, n_init=2)).groupBy("cluster_id").agg(F.count("*").alias("n_rows"))
+    return cluster.predict(df, cluster.fit_bundle(df, X4, 3)).groupBy("cluster_id").agg(F.count("*").alias("n_rows"))

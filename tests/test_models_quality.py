@@ -1,8 +1,13 @@
 """Scores, partitions and reports on hand-made tables; the registry and the engine."""
 
+import inspect
+from pathlib import Path
+
 import pytest
 
-from flocktrace import anomaly, config, engine, metrics, prepare, quality, scaling
+from flocktrace import anomaly, cluster, config, engine, metrics, nullmodel, prepare, quality, registry, scaling
+
+SF = "/root/testdata/sf0.001"
 
 GRID = [(i * 5 + j, float(i), float(j)) for i in range(5) for j in range(5)] + [(99, 30.0, 30.0)]
 
@@ -122,3 +127,31 @@ def test_entry_imports_without_the_training_data_part():
         for node in ast.walk(ast.parse(path.read_text())):
             names = [a.name for a in node.names] + [getattr(node, "module", "") or ""] if isinstance(node, (ast.Import, ast.ImportFrom)) else []
             assert not any("llm" in n.split(".") or n == "corpus_pipeline" for n in names)
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
+@pytest.mark.parametrize(
+    ("name", "module", "function", "wanted"),
+    [("null_support", nullmodel, "evaluate", {"n_permutations": 100, "mode": "exhaust"}), ("null_support_shuffled", nullmodel, "evaluate", {"n_permutations": 100, "mode": "shuffle"}), ("isolation_forest", anomaly, "isolation_forest", {"n_estimators": 200}), ("kmeans_profiles", cluster, "kmeans", {"n_init": 20}), ("cluster_bundle", cluster, "fit_bundle", {"n_init": 20})],
+)
+def test_registered_with_production_settings(spark, monkeypatch, name, module, function, wanted):
+    class Seen(Exception):
+        pass
+
+    known = inspect.signature(getattr(module, function))
+
+    def spy(*a, **b):
+        got = known.bind(*a, **b)
+        got.apply_defaults()
+        assert {k: got.arguments[k] for k in wanted} == wanted
+        raise Seen
+
+    monkeypatch.setattr(module, function, spy)
+    with pytest.raises(Seen):
+        registry.QUERIES[name](spark, SF)
+
+
+def test_shuffles_are_those_made_one_by_one(spark):
+    eps = spark.createDataFrame([(0, [1, 2, 3]), (1, [2, 3, 4]), (2, [1, 3, 4]), (3, [5, 6])], "episode_id long, participant_set array<long>")
+    sets = lambda n, seed: {(r.perm_id, r.txn_id, tuple(r["items"])) for r in nullmodel.shuffled_sets(eps, n, seed).collect()}
+    assert sets(3, 42) == {(p, t, i) for p in range(3) for _, t, i in sets(1, 42 + p)}
