@@ -13,9 +13,9 @@ from .storage import staged
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-#: Parameters of the queries: slots of an hour, links of similarity 0.1, itemsets of at most three items.
+#: Parameters of the queries: slots of an hour, links of similarity 0.1.
 SLOT, RSSI, LEAST, THETA, GAP, DAY = 3600, -90, 3, 0.1, 1, 86400
-SUPPORT_SHARE, MOST_ITEMS, AS_OF, HALF = 0.0033, 3, 1_000_000_000, 10_000
+SUPPORT_SHARE, AS_OF, HALF = 0.0033, 1_000_000_000, 10_000
 
 
 def query(sql: str | None = None):
@@ -119,7 +119,7 @@ def _mined(spark, d):
     import math
 
     txns = _baskets(spark, d)
-    return mining.apriori(txns, math.ceil(SUPPORT_SHARE * txns.count()), MOST_ITEMS)
+    return mining.apriori(txns, math.ceil(SUPPORT_SHARE * txns.count()))
 
 
 def _text(df, column="itemset"):
@@ -370,7 +370,7 @@ def fp_growth(spark, d):
     import math
 
     txns = _baskets(spark, d)
-    return _text(mining.fp_growth(txns, math.ceil(SUPPORT_SHARE * txns.count())).where(F.col("k") <= MOST_ITEMS))
+    return _text(mining.fp_growth(txns, math.ceil(SUPPORT_SHARE * txns.count())))
 
 
 @query(f"WITH {_MEET} SELECT coh.cohort_id, count(start_time) AS support FROM coh LEFT JOIN met USING (cohort_id) GROUP BY 1")

@@ -44,6 +44,25 @@ def test_itemsets_condensed_and_rules(spark, txns):
     assert {tuple(r.itemset): r.support for r in mining.fp_growth(txns, 2).collect()} == sets
 
 
+def test_registered_mining_has_no_largest_size(spark, monkeypatch):
+    from itertools import combinations
+
+    from flocktrace import queries
+
+    baskets = [[1, 2, 3, 4, 5]] * 3 + [[1, 2, 3, 4], [2, 3, 4, 6], [1, 6]]
+    df = spark.createDataFrame(list(enumerate(baskets)), "txn_id long, items array<long>")
+    monkeypatch.setattr(queries, "_baskets", lambda *_: df)
+    monkeypatch.setattr(queries, "SUPPORT_SHARE", 0.5)
+    counts = {s: sum(set(s) <= set(b) for b in baskets) for k in range(1, 7) for s in combinations(range(1, 7), k)}
+    wanted = {" ".join(map(str, s)): n for s, n in counts.items() if n >= 3}
+    assert max(len(x.split()) for x in wanted) == 5
+    got = lambda name: {r.itemset: r.support for r in queries.QUERIES[name](spark, "").collect()}
+    assert got("frequent_itemsets") == got("fp_growth") == wanted
+    above = lambda s: [t for t in wanted if set(s.split()) < set(t.split())]
+    assert got("maximal_itemsets") == {s: n for s, n in wanted.items() if not above(s)}
+    assert got("closed_itemsets") == {s: n for s, n in wanted.items() if all(wanted[t] < n for t in above(s))}
+
+
 def test_transaction_numbers(txns):
     r = mining.transaction_stats(txns).first()
     assert (r.n_transactions, r.n_items, r.max_length, r.median_length) == (5, 6, 4, 3.0)
