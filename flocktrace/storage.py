@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or on a local master a folder of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='flocktrace-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -26,28 +29,36 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Has Spark delete the shuffle files of a query when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _no_shuffle_files_left(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside leave no shuffle files; the session's own setting comes back after them."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
+def written(df: DataFrame, path: str, codec: str = "snappy") -> None:
+    """Writes df as parquet files and leaves no shuffle files."""
+    with _no_shuffle_files_left(df.sparkSession):
+        df.write.option("compression", codec).parquet(path)
+
+
 def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """df written as a table in the shared folder and read back: its lineage ends there, and a lost executor costs no more than rereading."""
     spark, path = df.sparkSession, new_dir(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    written(df, path, codec)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
-    del df
-    _release(spark)
     return out
 
 
-_released = 0.0
-
-
-def _release(spark: SparkSession, every: float = 1.0) -> None:
-    """Has the driver collect its garbage, at most every second: Spark keeps shuffle files until their plan is collected."""
-    global _released
-    if time.monotonic() - _released >= every:
-        spark._jvm.System.gc()
-        _released = time.monotonic()
-
-
 def dropped(*tables: DataFrame) -> None:
     """Deletes staged tables that nothing reads any more."""
     for table in tables:
