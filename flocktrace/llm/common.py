@@ -8,10 +8,11 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..storage import dropped, new_dir, running_totals, shared_dir, staged
+from ..storage import dropped, new_dir, running_totals, shared_dir, staged, written
 
-__all__ = ["BLANK", "WORD", "bounded", "cache", "dropped", "lean", "new_dir", "running_totals", "shared_dir", "staged", "table", "words"]
+__all__ = ["BLANK", "WORD", "bounded", "cache", "checked", "dropped", "fresh", "lean", "new_dir", "running_totals", "shared_dir", "staged", "table", "words", "written"]
 
 #: A word: no space and none of the control characters from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,6 +31,33 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Bytes of values of a table that is broadcast; larger ones are joined by a shuffle.
+MOST_BROADCAST = 8 << 20
+
+
+def _width(kind: T.DataType, column: Column) -> Column:
+    """Bytes of a value, about."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        return F.greatest(F.size(column), F.lit(0)) * 16 + 16
+    return F.lit(8)
+
+
+def checked(small: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """small to be broadcast if its values take few bytes, which are counted here, else as it is."""
+    total = small.agg(F.sum(sum((_width(f.dataType, F.col(f.name)).cast("long") for f in small.schema), F.lit(16).cast("long")))).first()[0]
+    return F.broadcast(small) if (total or 0) <= most else small
+
+
+def fresh(name: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 _caches: dict[str, dict] = {}
 
 

@@ -5,8 +5,8 @@ stand.  A store is a folder with
 
   chunks/    chunk_id (BLAKE2b-128 of the payload), n_ids, payload (little-endian ids, 2 bytes each where the vocabulary
              fits, else 4); every distinct chunk once
-  recipes/   doc_id, start, n_tokens, width, chunk_ids in order, root; sorted by doc_id, files in that order too; start
-             counts the ids of all documents before, and so tells rows with the same doc_id apart
+  recipes/   doc_id, row, start, n_tokens, width, chunk_ids in order, root; sorted by doc_id, files in that order too; start
+             counts the ids of all documents before, row the documents up to this one
   manifest/  one row for each range of recipes: number, documents, ids, and the Merkle root over the documents' roots
 
 The root of a document is the Merkle root over its chunk ids.  Reading checks every payload against its chunk id and
@@ -28,13 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import small
-from .common import bounded, cache, dropped, lean, new_dir, running_totals, staged
+from .common import bounded, cache, checked, dropped, lean, new_dir, running_totals, staged, written
 from .wordids import WordEncoder
 
 #: Chunks that a task knows it has sent already; this bounds memory and spares rows only.
 REMEMBERED = 100_000
-#: Rows of a table that is broadcast; larger ones are joined by a shuffle.
-MOST_BROADCAST = 1_000_000
 #: Ids that the rolling hash looks back on.
 WINDOW = 16
 
@@ -100,7 +98,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None,
         width, code = encoder.width, encoder.code
         end = np.array([] if end_id is None else [end_id], dtype=code)
         for whole in batches:
-            for batch in small(whole):
+            for batch in small(whole, 1000):
                 ends, keys, counts, places, payloads, lengths, roots = array("i", [0]), [], [], [], [], [], []
                 flat, bounds = encoder.encode(batch.column(1))
                 for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -133,22 +131,21 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None,
     # only chunks that several tasks cut are dealt anew, by their ids; of these the first place stays
     each = cut.select(F.explode("chunks").alias("c")).where("c.place is not null")
     again = each.select("c.chunk_id", "c.place").groupBy("chunk_id").agg(F.count("*").alias("n"), F.min("place").alias("kept")).where("n > 1").select("chunk_id", "kept")
-    again = staged(again, "again")
-    if again.count() <= MOST_BROADCAST:
-        again = F.broadcast(again)
+    again = checked(staged(again, "again"))
     unique = each.select("c.*").join(again, "chunk_id", "left").where("kept is null or kept = place").select("chunk_id", "n_ids", "payload")
-    unique.write.parquet(f"{path}/chunks")
+    written(unique, f"{path}/chunks")
     dropped(cut)
-    ordered = running_totals(light, [F.col("doc_id").asc_nulls_first(), F.col("root")], {"end": F.col("n_tokens")}, "recipes")
+    ordered = running_totals(light, [F.col("doc_id").asc_nulls_first(), F.col("root")], {"end": F.col("n_tokens"), "row": F.lit(1).cast("long")}, "recipes")
     numbered = ordered.withColumn("start", F.col("end") - F.col("n_tokens"))
-    recipes = numbered.select("doc_id", "start", "n_tokens", "width", "chunk_ids", "root", "_range")
-    recipes.repartitionByRange("start").sortWithinPartitions("start").write.parquet(f"{path}/recipes")
+    recipes = numbered.select("doc_id", "row", "start", "n_tokens", "width", "chunk_ids", "root", "_range")
+    written(recipes.repartitionByRange("row").sortWithinPartitions("row"), f"{path}/recipes")
 
     def seal(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("start")
+        rows = rows.sort_by("row")
         return pa.table({"number": [key[0].as_py()], "documents": [rows.num_rows], "ids": [sum(rows["n_tokens"].to_pylist())], "root": pa.array([merkle(rows["root"].to_pylist())], pa.binary())})
 
-    read_recipes(spark, path).select("_range", "start", "n_tokens", "root").groupBy("_range").applyInArrow(seal, "number long, documents long, ids long, root binary").write.parquet(f"{path}/manifest")
+    sealed = read_recipes(spark, path).select("_range", "row", "n_tokens", "root").groupBy("_range").applyInArrow(seal, "number long, documents long, ids long, root binary")
+    written(sealed, f"{path}/manifest")
     dropped(light)
 
 
@@ -174,9 +171,9 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 def _joined(spark: SparkSession, path: str, chunks: DataFrame) -> DataFrame:
     """For each document its recipe and, in order, what chunks has on each of its chunks."""
     recipes = read_recipes(spark, path)
-    parts = recipes.select("start", F.posexplode("chunk_ids").alias("pos", "chunk_id")).join(chunks, "chunk_id", "left")
-    found = parts.groupBy("start").agg(F.array_sort(F.collect_list(F.struct("pos", *(c for c in chunks.columns)))).alias("parts"))
-    return recipes.join(found, "start", "left")
+    parts = recipes.select("row", F.posexplode("chunk_ids").alias("pos", "chunk_id")).join(chunks, "chunk_id", "left")
+    found = parts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", *(c for c in chunks.columns)))).alias("parts"))
+    return recipes.join(found, "row", "left")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
