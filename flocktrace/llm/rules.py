@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from . import shingles
 from .common import bounded, lean
-from .wordids import hashes, spans
+from .shingles import numbered, spans
 
 #: Labelled rows that a list is learned from, those with the least hash of their id.  The bound of the sample.
 MOST_LABELLED = 20_000
@@ -58,6 +58,21 @@ def _table(chars: str) -> np.ndarray:
 _SYMBOL, _MARK, _DIGIT = _table(SYMBOLS), _table(MARKS), _table("0123456789")
 
 
+def _twice(words: np.ndarray) -> np.ndarray:
+    """Whether each window of WINDOW words comes twice or more; words are numbers."""
+    h = shingles.runs(words, WINDOW)
+    order = np.argsort(h, kind="stable")
+    a, b = order[:-1], order[1:]
+    same = h[a] == h[b]
+    a, b = a[same], b[same]
+    if any((words[a + k] != words[b + k]).any() for k in range(WINDOW)):  # hashes alike, words not
+        _, inverse, counts = np.unique(np.lib.stride_tricks.sliding_window_view(words, WINDOW), axis=0, return_inverse=True, return_counts=True)
+        return counts[inverse.ravel()] > 1
+    out = np.zeros(len(h), dtype=bool)
+    out[a] = out[b] = True
+    return out
+
+
 def statistics_of(column: pa.Array) -> dict[str, np.ndarray]:
     """COUNTS for each text of a column; all 0 for null and empty texts.
 
@@ -78,7 +93,7 @@ def statistics_of(column: pa.Array) -> dict[str, np.ndarray]:
     out["n_upper"], out["n_letters"] = _per_text(upper, ends), _per_text(upper | lower, ends)
 
     starts, stops = spans(data, ends)
-    words = hashes(data, starts, stops)
+    words, _ = numbered(data, starts, stops)
     bounds = np.searchsorted(starts, ends)
     out["n_words"] = np.diff(bounds)
     n_texts = len(column)
@@ -90,20 +105,16 @@ def statistics_of(column: pa.Array) -> dict[str, np.ndarray]:
     worded = np.searchsorted(starts, line_stops) > np.searchsorted(starts, line_starts)
     line_starts, line_stops = line_starts[worded], line_stops[worded]
     ended = data[line_stops - 1] == 10 if len(line_stops) else np.empty(0, dtype=bool)
-    lines = hashes(data, line_starts, line_stops - ended) if len(line_starts) else np.empty(0, dtype=np.uint64)
+    lines, _ = numbered(data, line_starts, line_stops - ended)
     line_bounds = np.searchsorted(line_starts, ends)
     out["n_lines"] = np.diff(line_bounds)
 
-    runs = np.zeros(max(0, len(words) - WINDOW + 1), dtype=np.uint64)
-    for k in range(WINDOW):
-        runs = runs * np.uint64(0xD6E8FEB86659FD93) + words[k : k + len(runs)]
     distinct, repeated, dup_lines = (np.zeros(n_texts, dtype=np.int64) for _ in range(3))
     for i in range(n_texts):
         a, b = bounds[i], bounds[i + 1]
         distinct[i] = len(np.unique(words[a:b]))
         if b - a > WINDOW and distinct[i] < b - a:
-            _, inverse, counts = np.unique(runs[a : b - WINDOW + 1], return_inverse=True, return_counts=True)
-            twice = np.flatnonzero(counts[inverse] > 1)
+            twice = np.flatnonzero(_twice(words[a:b]))
             if len(twice):
                 edges = np.zeros(b - a + 1, dtype=np.int64)
                 np.add.at(edges, twice, 1)
@@ -223,8 +234,9 @@ def _best_condition(values: dict[str, np.ndarray], bad: np.ndarray, rows: np.nda
 def learn(values: dict[str, np.ndarray], bad: np.ndarray, held_out: np.ndarray, most_conditions: int = 4, most_rules: int = 12, least_precision: float = 0.95, least_covered: int = 5) -> DecisionList:
     """A list that rejects bad rows: rules grow on rows not held out and are pruned and accepted on those that are.
 
-    values: ratios by name; bad, held_out: flags.  A rule is kept if, of the held-out rows that it covers (all rows where
-    it covers none of those), at least least_precision are bad.  One class only gives an empty list.
+    values: ratios by name; bad, held_out: flags.  A rule is kept if it covers held-out rows and at least least_precision
+    of them are bad; the first that is not ends the list.  Of equal gains the first ratio's, and there the lower threshold,
+    is taken.  One class only gives an empty list.
     """
     left = np.ones(len(bad), dtype=bool)
     out = DecisionList()
@@ -250,9 +262,7 @@ def learn(values: dict[str, np.ndarray], bad: np.ndarray, held_out: np.ndarray,
         rule = max((rule[:k] for k in range(len(rule), 0, -1)), key=lambda r: worth(r)[0])
         covered = np.logical_and.reduce([c.holds(values) for c in rule]) & left
         _, p, n = worth(rule)
-        if p + n == 0:
-            p, n = int((covered & bad).sum()), int((covered & ~bad).sum())
-        if int((covered & bad).sum()) < least_covered or p < least_precision * (p + n):
+        if p + n == 0 or int((covered & bad).sum()) < least_covered or p < least_precision * (p + n):
             break
         out.rules.append(rule)
         left &= ~covered
@@ -262,19 +272,19 @@ def learn(values: dict[str, np.ndarray], bad: np.ndarray, held_out: np.ndarray,
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_labelled: int = MOST_LABELLED) -> DecisionList:
     """Learns a list from labelled documents (label 0: to be rejected).
 
-    Null labels and ids are left out, and rows that the base rules fail anyway.  At most most_labelled labelled rows are
-    taken, those with the least hash of their id; a third of them, by another hash, is held out for pruning.
+    Null labels and ids are left out, and rows that the base rules fail anyway.  Of repeated labels of an id the mean
+    counts, of rows with one id that with the least statistics.  At most most_labelled labelled ids are taken, those with
+    the least hash; a third of them, by another hash, is held out for pruning.
     """
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), (F.col(label_col) == 0).alias("bad"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "bad").limit(most_labelled)
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg((F.avg(F.col(label_col)) < 0.5).alias("bad"))
+    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
-    stats = with_statistics(rows).where(~base_failed()).select("doc_id", "bad", "stats.*")
-    table = stats.toPandas()  # at most the sample's rows, but for repeated ids
+    told = with_statistics(rows).where(~base_failed()).groupBy("doc_id", "bad").agg(F.min("stats").alias("stats"))
+    table = told.select("doc_id", "bad", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(3)).alias("fold"), "stats.*").toPandas()  # at most the sample's rows
     if not len(table):
         return DecisionList()
-    table = table.sort_values(["doc_id", *COUNTS], kind="stable")
-    held_out = (shingles.mixed(table["doc_id"].to_numpy().astype(np.int64).view(np.uint64) + np.uint64(11)) % np.uint64(3)) == 0
-    return learn(ratios_of({c: table[c].to_numpy() for c in COUNTS}), table["bad"].to_numpy(dtype=bool), held_out)
+    table = table.sort_values("doc_id", kind="stable")
+    return learn(ratios_of({c: table[c].to_numpy() for c in COUNTS}), table["bad"].to_numpy(dtype=bool), table["fold"].to_numpy() == 0)
 
 
 def judged(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> DataFrame:
