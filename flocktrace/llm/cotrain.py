@@ -1,9 +1,9 @@
 """A quality classifier by co-training.
 
-Two classifiers see different sides of a document: the words of its text, and what a page's metadata and layout say
-without reading it (language, source, size, lines, shares of kinds of characters, how far it compresses).  Each is
-trained on labelled documents; over some rounds each gives the unlabelled ones that it is surest of to the other as
-labelled.  Both are then calibrated on held-out labels, and all documents are scored by both together.
+Two classifiers see different sides of a document: the words of its text and their make-up, and what its metadata and
+layout say without its words (language, source, size, lines).  Each is trained on labelled documents; over some rounds
+each gives the unlabelled ones that it is surest of to the other as labelled.  Both are then calibrated on held-out
+labels, and so is the weight that each has where all documents are scored by both together.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import shingles
 from .common import bounded, dropped, lean, staged
-from .wordids import hashes, spans
+from .shingles import hashes, numbered, spans
 
 #: Bound of the labelled documents that the classifiers are fitted on, those with the least hash of their id.
 MOST_LABELLED = 4_000
@@ -33,7 +33,7 @@ SURE = 0.95
 
 WORD_BUCKETS = 1 << 15
 SHAPE_BUCKETS = 1 << 10
-_NUMBERS = ["log_chars", "log_lines", "line_chars", "upper", "digits", "symbols", "marks", "blanks", "wide", "packed"]
+_NUMBERS = ["log_chars", "log_lines", "line_chars"]
 BINS = 12
 _NAMES = 64
 
@@ -47,7 +47,8 @@ def _text_view(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each text the buckets of its words and of their make-up, and their values, of length 1 together."""
     data, ends = shingles.texts_of(column)
     starts, stops = spans(data, ends)
-    word = (hashes(data, starts, stops) % np.uint64(WORD_BUCKETS)).astype(np.int64)
+    codes, contents = numbered(data, starts, stops)
+    word = (hashes(contents) % np.uint64(WORD_BUCKETS)).astype(np.int64)[codes]
     kinds = np.bitwise_or.reduceat(np.concatenate([_KIND[data], [0]]).astype(np.uint16), np.stack([starts, stops], 1).ravel())[::2] if len(starts) else np.empty(0, dtype=np.uint16)
     shape = (shingles.mixed(kinds.astype(np.uint64)) % np.uint64(SHAPE_BUCKETS)).astype(np.int64) + WORD_BUCKETS
     bounds = np.searchsorted(starts, ends).tolist()
@@ -61,14 +62,8 @@ def _meta_view(text: pa.Array, lang: pa.Array, source: pa.Array) -> np.ndarray:
     """_NUMBERS of each document, then a bucket for its language and one for its source."""
     data, ends = shingles.texts_of(text)
     sums = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])[ends])
-    chars = sums((data & 0xC0) != 0x80)
-    most = np.maximum(chars, 1)
-    kind = _KIND[data]
-    lines = sums(data == 10) + 1
-    share = lambda bits: sums((kind & bits) != 0) / most
-    raw = memoryview(data.tobytes())
-    packed = [len(zlib.compress(raw[a:b], 1)) / max(1, b - a) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-    columns = [np.log1p(chars), np.log1p(lines), chars / lines, share(2), share(4), share(0b111111100000), share(16), sums((data == 32) | ((data >= 9) & (data <= 13))) / most, share(8), np.array(packed)]
+    chars, lines = sums((data & 0xC0) != 0x80), sums(data == 10) + 1
+    columns = [np.log1p(chars), np.log1p(lines), chars / lines]
     names = [[zlib.crc32(f"{i}{x}".encode()) % _NAMES for x in c.to_pylist()] for i, c in enumerate((lang, source))]
     return np.stack([*columns, *(np.array(n, dtype=float) for n in names)], 1) if len(text) else np.empty((0, len(_NUMBERS) + 2))
 
@@ -111,12 +106,29 @@ class Logistic:
 
 @dataclass
 class Model:
-    """Both classifiers, the edges of the bins of numbers, and the log-odds of all labels."""
+    """Both classifiers, the edges of the bins of numbers, the log-odds of all labels, and the weights of both views and a shift."""
 
     text: Logistic
     meta: Logistic
     edges: list[np.ndarray]
     prior: float
+    both: tuple[float, float, float] = (1.0, 1.0, 0.0)
+
+    def together(self, by_text: np.ndarray, by_meta: np.ndarray) -> np.ndarray:
+        """Log-odds by both views from those by each."""
+        a, b, c = self.both
+        return np.clip(a * by_text + b * by_meta + c, -30, 30)
+
+    def weigh(self, by_text: np.ndarray, by_meta: np.ndarray, y: np.ndarray) -> None:
+        """Newton's method for the weights under which both are log-odds of held-out labels, drawn a little to what holds if the views are independent."""
+        usual = np.array([1.0, 1.0, -self.prior])
+        w, rows = usual.copy(), np.stack([by_text, by_meta, np.ones(len(y))], 1)
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
+            slope = rows.T @ (p - y) + (w - usual)
+            w = w - np.clip(np.linalg.solve((rows * (p * (1 - p))[:, None]).T @ rows + np.eye(3), slope), -1, 1)
+            w[:2] = np.maximum(w[:2], 0.0)
+        self.both = tuple(map(float, w))
 
     def meta_rows(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         return _binned(numbers, self.edges)
@@ -333,6 +345,10 @@ def train(text: list[tuple[np.ndarray, np.ndarray]], meta: np.ndarray, y: np.nda
     if len(at) and 0 < y[at].sum() < len(at):
         for view, classifier in classifiers.items():
             classifier.calibrate(*rows[view](at)[:3], y[at].astype(float), len(at))
+        some = np.array([len(text[i][0]) > 0 for i in at])
+        model.weigh(np.where(some, model.text.logit(*rows["text"](at)), model.prior), model.meta.logit(*rows["meta"](at)), y[at].astype(float))
+    else:
+        model.both = (1.0, 1.0, -model.prior)
     return model
 
 
@@ -388,15 +404,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     views = _views(docs, id_col, text_col, lang_col, source_col).join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text", "lang", "source")
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, y int, index array<int>, value array<float>, meta array<double>"
-    table = views.mapInArrow(lean(run), schema).toPandas()  # at most the sample's rows, but for repeated ids
-    table = table.sort_values(["doc_id"], kind="stable").drop_duplicates("doc_id").reset_index(drop=True)
+    once = views.mapInArrow(lean(run), schema).groupBy("doc_id", "y").agg(F.min(F.struct("index", "value", "meta")).alias("x"))
+    table = once.select("doc_id", "y", F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(5)).alias("fold"), "x.*").toPandas()  # at most the sample's rows
+    table = table.sort_values("doc_id", kind="stable").reset_index(drop=True)
     y = table["y"].to_numpy(dtype=np.int64)
     meta = np.stack(table["meta"].to_list()) if len(table) else np.empty((0, len(_NUMBERS) + 2))
     if len({*y.tolist()}) < 2:
         model = train([], meta[:0], y[:0], y[:0] > 0, rounds=0)
-        model.prior = 0.0
+        model.prior, model.both = 0.0, (1.0, 1.0, 0.0)
         return model
-    held_out = shingles.mixed(table["doc_id"].to_numpy().astype(np.int64).view(np.uint64) + np.uint64(23)) % np.uint64(5) == 0
+    held_out = table["fold"].to_numpy() == 0
     blocks = _blocks(docs, known, id_col, text_col, lang_col, source_col)
     model = train(list(zip(table["index"], table["value"], strict=True)), meta, y, held_out, blocks)
     dropped(blocks)
@@ -406,8 +423,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: float = 0.5) -> DataFrame:
     """doc_id, p_text, p_meta, score and kept for every row.
 
-    p_text and p_meta are the calibrated chances that a document is good by either view, score that by both, taken as
-    independent given the class; kept is score >= least.  Null and empty texts have no text view, so p_text is the share
+    p_text and p_meta are the calibrated chances that a document is good by either view, score that by both, with weights
+    calibrated on held-out labels; kept is score >= least.  Null and empty texts have no text view, so p_text is the share
     of good labels.  Repeated rows are scored alike; null ids stay; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
@@ -421,7 +438,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 some = np.array([len(x[0]) > 0 for x in parts])
                 by_text = np.where(some, m.text.logit(*_rows(parts)), m.prior)
                 by_meta = m.meta.logit(*m.meta_rows(_meta_view(*(batch.column(i) for i in (1, 2, 3)))))
-                both = np.clip(by_text + by_meta - m.prior, -30, 30)
+                both = m.together(by_text, by_meta)
                 p = [1 / (1 + np.exp(-z)) for z in (by_text, by_meta, both)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in p), pa.array(p[2] >= least)], names=["doc_id", "p_text", "p_meta", "score", "kept"])
 
