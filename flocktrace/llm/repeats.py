@@ -3,7 +3,9 @@
 Every window of `least` bytes picks an anchor, the substring of ANCHOR bytes in it with the least hash; equal windows pick
 the same one.  A text thus falls into pieces: the windows that pick one occurrence of an anchor, and the text they span.
 Pieces whose anchor occurs more than once are dealt by anchor, so that equal windows meet.  Identical pieces are one from
-then on.  In each share the suffixes that start at a repeated window are sorted and their common prefixes measured; a scan
+then on.  An anchor with very many different pieces is dealt by longer ones: its windows fall into halves by where the
+anchor stands in them, and those of a half all reach some bytes further to one side, which are dealt by too; and so on.
+In each share the suffixes that start at a repeated window are sorted and their common prefixes measured; a scan
 with a stack walks the tree of common-prefix intervals, and an interval is a maximal repeat if its occurrences do not all
 follow the same byte.  A group holds all of them, not only neighbours in the array.
 """
@@ -11,23 +13,23 @@ follow the same byte.  A group holds all of them, not only neighbours in the arr
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, dropped, lean, staged
+from .common import bounded, checked, dropped, lean, staged
 from .shingles import mixed
 
 LEAST = 100
 ANCHOR = 32
-#: Pieces that one suffix array takes, about; pieces of one anchor beyond which its windows are grouped one by one.
+#: Pieces that one suffix array takes, about, and different pieces of one anchor beyond which it is dealt by longer ones.
 SHARE = 2_500
 MOST_PIECES = 8_000
-#: Positions that anchors are picked from together, and rows of a table that is broadcast; they do not change results.
+#: Positions that anchors are picked from together.  None of the three changes what is found.
 BLOCK = 1 << 20
-MOST_BROADCAST = 2_000_000
 
 
 def _rolling(data: np.ndarray, size: int) -> np.ndarray:
@@ -46,8 +48,8 @@ def _rolling(data: np.ndarray, size: int) -> np.ndarray:
     return mixed(out[: len(data) - size + 1])
 
 
-def anchors(data: np.ndarray, least: int = LEAST, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each picked anchor its hash and the first and last window that pick it; windows are numbered by their first byte."""
+def anchors(data: np.ndarray, least: int = LEAST, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each picked anchor its hash, its place and the first and last window that pick it; windows are numbered by their first byte."""
     found = []
     for at in range(0, max(0, len(data) - least + 1), BLOCK):
         own = data[at : at + BLOCK + least - 1]
@@ -62,9 +64,9 @@ def anchors(data: np.ndarray, least: int = LEAST, anchor: int = ANCHOR) -> tuple
         picked = (best & np.uint64(0x3FFFFF)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], picked[1:] != picked[:-1]]))
         last = np.concatenate([first[1:] - 1, [n - 1]])
-        found.append((h[picked[first]].view(np.int64), first + at, last + at))
+        found.append((h[picked[first]].view(np.int64), picked[first] + at, first + at, last + at))
     if not found:
-        return (np.empty(0, dtype=np.int64),) * 3
+        return (np.empty(0, dtype=np.int64),) * 4
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -95,11 +97,11 @@ def intervals(lcp: np.ndarray, least: int, rank: np.ndarray) -> Iterator[tuple[i
 class SuffixArray:
     """The sorted suffixes of a share's pieces that start at a repeated window, with their common prefixes.
 
-    before: the byte before each piece, -1 at the start of a text.  A repeat that begins with a piece counts as maximal to
-    the left, as what lies before is in another share.  rank: the place of each piece in the corpus.
+    A repeat that begins with a piece counts as maximal to the left, as what lies before is in another share.  rank: the
+    place of each piece in the corpus.
     """
 
-    def __init__(self, pieces: list[bytes], before: list[int], rank: list, least: int = LEAST):
+    def __init__(self, pieces: list[bytes], rank: list, least: int = LEAST):
         self.least = least
         lengths = np.array([len(p) for p in pieces], dtype=np.int64)
         data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
@@ -143,18 +145,13 @@ class SuffixArray:
                 yield length, first, last, outdone
 
 
-def maximal_repeats(pieces: list[bytes], before: list[int], least: int = LEAST) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+def maximal_repeats(pieces: list[bytes], least: int = LEAST) -> Iterator[tuple[int, list[tuple[int, int]]]]:
     """The maximal repeats of a share: length and all occurrences (piece, offset)."""
-    array = SuffixArray(pieces, before, list(range(len(pieces))), least)
+    array = SuffixArray(pieces, list(range(len(pieces))), least)
     for length, first, last, _ in array.maximal():
         yield length, list(zip(array.piece[first : last + 1].tolist(), array.offset[first : last + 1].tolist(), strict=True))
 
 
-def _checked(small: DataFrame) -> DataFrame:
-    """small to be broadcast if it has few rows, else as it is."""
-    return F.broadcast(small) if small.count() <= MOST_BROADCAST else small
-
-
 _KEY = "doc_id {0}, tag long"
 
 
@@ -164,34 +161,39 @@ def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
 
 
+def _alike(left: str, right: str) -> Column:
+    """Whether rows of two tables are of the same text, null ids included."""
+    return F.col(f"{left}.doc_id").eqNullSafe(F.col(f"{right}.doc_id")) & (F.col(f"{left}.tag") == F.col(f"{right}.tag"))
+
+
 def _pieces(texts: DataFrame, least: int, anchor: int) -> DataFrame:
-    """doc_id, tag, h, at, piece and before for every piece whose anchor is picked more than once in texts."""
+    """doc_id, tag, h, at, pos and piece for every piece whose anchor is picked more than once in texts; pos is the anchor's place in the piece."""
     texts = texts.select("doc_id", "tag", "text")
     key = _KEY.format(texts.schema["doc_id"].dataType.simpleString())
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                h, first, last = anchors(np.frombuffer(batch.column(2)[i].as_buffer(), dtype=np.uint8), least, anchor)
-                n = len(h)
+                found = anchors(np.frombuffer(batch.column(2)[i].as_buffer(), dtype=np.uint8), least, anchor)
+                n = len(found[0])
                 if n:
-                    yield pa.RecordBatch.from_arrays([_same(batch.column(0), i, n), _same(batch.column(1), i, n), pa.array(h), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["doc_id", "tag", "h", "lo", "hi"])
+                    yield pa.RecordBatch.from_arrays([_same(batch.column(0), i, n), _same(batch.column(1), i, n), pa.array(found[0]), *(pa.array(x.astype(np.int32)) for x in found[1:])], names=["doc_id", "tag", "h", "place", "lo", "hi"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 text, parts = batch.column(2)[i].as_buffer().to_pybytes(), batch.column(3)[i].values
-                h, lo, hi = (parts.field(k) for k in range(3))
+                h, place, lo, hi = (parts.field(k) for k in range(4))
                 los, his = lo.to_pylist(), hi.to_pylist()
                 n = len(los)
-                yield pa.RecordBatch.from_arrays([_same(batch.column(0), i, n), _same(batch.column(1), i, n), h, lo, pa.array([text[a : b + least] for a, b in zip(los, his, strict=True)], pa.binary()), pa.array([text[a - 1] if a else -1 for a in los], pa.int32())], names=["doc_id", "tag", "h", "at", "piece", "before"])
+                yield pa.RecordBatch.from_arrays([_same(batch.column(0), i, n), _same(batch.column(1), i, n), h, lo, pa.array(place.to_numpy() - lo.to_numpy()), pa.array([text[a : b + least] for a, b in zip(los, his, strict=True)], pa.binary())], names=["doc_id", "tag", "h", "at", "pos", "piece"])
 
-    picked = texts.mapInArrow(lean(pick), f"{key}, h long, lo int, hi int")
+    picked = texts.mapInArrow(lean(pick), f"{key}, h long, place int, lo int, hi int")
     often = staged(picked.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "often")
-    kept = staged(picked.join(_checked(often), "h", "left_semi").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("parts")), "kept")
-    some = texts.join(_checked(kept.select("doc_id", "tag")), ["doc_id", "tag"], "left_semi")
-    joined = some.join(kept, ["doc_id", "tag"]).select("doc_id", "tag", "text", "parts")
-    pieces = staged(joined.mapInArrow(lean(cut), f"{key}, h long, at int, piece binary, before int"), "pieces")
+    kept = staged(picked.join(checked(often), "h", "left_semi").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("h", "place", "lo", "hi")).alias("parts")), "kept")
+    some = texts.alias("t").join(checked(kept.select("doc_id", "tag")).alias("k"), _alike("t", "k"), "left_semi")
+    joined = some.alias("t").join(kept.alias("k"), _alike("t", "k")).select("t.doc_id", "t.tag", "text", "parts")
+    pieces = staged(joined.mapInArrow(lean(cut), f"{key}, h long, at int, pos int, piece binary"), "pieces")
     dropped(often, kept)
     return pieces
 
@@ -205,21 +207,51 @@ def _place(doc_id, tag, at) -> tuple:
     return doc_id is None, 0 if doc_id is None else doc_id, tag, at
 
 
-def _shares(texts: DataFrame, least: int, anchor: int, most_pieces: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Distinct pieces with their share; copies of pieces; pieces of anchors with very many different ones."""
-    pieces = _pieces(texts, least, anchor)
-    same = pieces.groupBy("h", "piece").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "at", "before")).alias("f"))
-    distinct = staged(same.select("h", "piece", F.col("f.doc_id").alias("doc_id"), F.col("f.tag").alias("tag"), F.col("f.at").alias("at"), F.col("f.before").alias("before"), F.xxhash64("piece", F.lit(1)).alias("p1"), F.xxhash64("piece", F.lit(2)).alias("p2")), "distinct")
-    light = pieces.select("doc_id", "tag", "at", "h", F.octet_length("piece").alias("length"), F.xxhash64("piece", F.lit(1)).alias("p1"), F.xxhash64("piece", F.lit(2)).alias("p2"))
+def _deduplicated(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The earliest of identical pieces of an anchor, and the others with its place."""
+    same = pieces.groupBy("h", "piece").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "at", "pos", "lo", "hi")).alias("f"))
+    hashed = [F.xxhash64("piece", F.lit(1)).alias("p1"), F.xxhash64("piece", F.lit(2)).alias("p2")]
+    distinct = staged(same.select("h", "piece", *(F.col(f"f.{c}").alias(c) for c in ("doc_id", "tag", "at", "pos", "lo", "hi")), *hashed), "distinct")
+    light = pieces.select("doc_id", "tag", "at", "h", F.octet_length("piece").alias("length"), *hashed)
     firsts = distinct.select("h", "p1", "p2", F.col("doc_id").alias("first_id"), F.col("tag").alias("first_tag"), F.col("at").alias("first_at"))
     copies = staged(light.join(firsts, ["h", "p1", "p2"]).where(~_is_first()).drop("h", "p1", "p2"), "copies")
-    dropped(pieces)
-    often = staged(distinct.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "often")
-    total = often.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    shares = max(1, -(-total // SHARE))
-    ordinary = distinct.join(_checked(often.where(F.col("c") <= most_pieces).select("h")), "h", "left_semi").withColumn("share", F.pmod(F.xxhash64("h", F.lit(3)), F.lit(shares)))
-    crowded = distinct.join(_checked(often.where(F.col("c") > most_pieces).select("h")), "h", "left_semi")
-    return ordinary.select("share", "doc_id", "tag", "at", "piece", "before"), copies, crowded
+    return distinct, copies
+
+
+def _halved(crowded: DataFrame, least: int) -> DataFrame:
+    """The windows of each piece in two pieces, those in which the anchor stands further left and further right.
+
+    lo and hi bound the anchor's place in a window.  All windows of a half hold some bytes on one side of the anchor; these
+    go into the hash by which the half is dealt, so equal windows still meet.
+    """
+    middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+    ranges = F.explode(F.array(F.struct(F.col("lo").alias("lo"), middle.alias("hi")), F.struct(middle.alias("lo"), F.col("hi").alias("hi")))).alias("r")
+    each = crowded.select("doc_id", "tag", "at", "pos", "piece", "h", ranges).select("doc_id", "tag", "at", "pos", "piece", "h", "r.lo", "r.hi")
+    first = F.greatest(F.lit(0), F.col("pos") - F.col("hi") + 1)
+    last = F.least(F.octet_length("piece") - least, F.col("pos") - F.col("lo"))
+    bound = each.withColumns({"first": first, "last": last}).where("lo < hi and first <= last")
+    around = F.substring("piece", F.col("pos") - F.col("lo") + 1, F.col("lo") + least - F.col("hi") + 1)
+    return bound.select("doc_id", "tag", F.xxhash64("h", "lo", around).alias("h"), (F.col("at") + F.col("first")).alias("at"), (F.col("pos") - F.col("first")).alias("pos"), F.substring("piece", F.col("first") + 1, F.col("last") - F.col("first") + least).alias("piece"), "lo", "hi")
+
+
+def _shares(texts: DataFrame, least: int, anchor: int, most_pieces: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct pieces with their share, and the copies of pieces."""
+    pieces = _pieces(texts, least, anchor).withColumns({"lo": F.lit(0), "hi": F.lit(least - anchor + 1)})
+    ordinary, copies = [], []
+    while True:
+        distinct, same = _deduplicated(pieces)
+        dropped(pieces)
+        copies.append(same)
+        counts = staged(distinct.groupBy("h").agg(F.count("*").alias("c"), F.max(F.col("hi") - F.col("lo")).alias("span")).where("c > 1"), "counts")
+        # a single place of the anchor leaves one window, the same in all
+        crowd = F.col("c") > F.when(F.col("span") > 1, F.lit(most_pieces)).otherwise(F.lit(1 << 62))
+        told = counts.agg(F.coalesce(F.sum(F.when(~crowd, F.col("c"))), F.lit(0)).alias("n"), F.coalesce(F.bool_or(crowd), F.lit(False)).alias("crowded")).first()
+        shares = max(1, -(-told["n"] // SHARE))
+        mine = distinct.join(checked(counts.where(~crowd).select("h")), "h", "left_semi")
+        ordinary.append(mine.select(F.concat(F.lit(f"{len(ordinary)} "), F.pmod(F.xxhash64("h", F.lit(3)), F.lit(shares))).alias("share"), "doc_id", "tag", "at", "piece"))
+        if not told["crowded"]:
+            return reduce(DataFrame.unionByName, ordinary), reduce(DataFrame.unionByName, copies)
+        pieces = staged(_halved(distinct.join(checked(counts.where(crowd).select("h")), "h", "left_semi"), least), "halved")
 
 
 def _is_first():
@@ -235,13 +267,13 @@ def repeat_groups(texts: DataFrame, least: int = LEAST, anchor: int = ANCHOR) ->
     and, of the earliest with the same content, first_id, first_tag and first_at, one row for each but the earliest.
     """
     texts = bounded(texts)
-    ordinary, copies, _ = _shares(texts, least, anchor, 1 << 62)
+    ordinary, copies = _shares(texts, least, anchor, MOST_PIECES)
     id_type = texts.schema["doc_id"].dataType.simpleString()
 
     def share(rows: pa.Table) -> pa.Table:
         ids, tags, ats = rows["doc_id"].to_pylist(), rows["tag"].to_pylist(), rows["at"].to_pylist()
         lengths, lists = [], []
-        for length, found in maximal_repeats(rows["piece"].to_pylist(), rows["before"].to_pylist(), least):
+        for length, found in maximal_repeats(rows["piece"].to_pylist(), least):
             places = sorted(((ids[p], tags[p], ats[p] + o) for p, o in found), key=lambda x: _place(*x))
             lengths.append(length)
             lists.append([{"doc_id": d, "tag": t, "at": a} for d, t, a in places])
@@ -257,12 +289,12 @@ def later_spans(texts: DataFrame, least: int = LEAST, anchor: int = ANCHOR, most
     groups; what touches within a piece is one row.
     """
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    ordinary, copies, crowded = _shares(texts, least, anchor, most_pieces)
+    ordinary, copies = _shares(texts, least, anchor, most_pieces)
 
     def share(rows: pa.Table) -> pa.Table:
         ids, tags, ats = rows["doc_id"].to_pylist(), rows["tag"].to_pylist(), rows["at"].to_pylist()
         places = [_place(*x) for x in zip(ids, tags, ats, strict=True)]
-        array = SuffixArray(rows["piece"].to_pylist(), rows["before"].to_pylist(), places, least)
+        array = SuffixArray(rows["piece"].to_pylist(), places, least)
         which, spans_to = [], []
         for length, _, _, outdone in array.maximal():
             which += outdone
@@ -280,13 +312,7 @@ def later_spans(texts: DataFrame, least: int = LEAST, anchor: int = ANCHOR, most
         return pa.table({"doc_id": pa.array([ids[p] for p, _, _ in out], rows["doc_id"].type), "tag": pa.array([tags[p] for p, _, _ in out], pa.int64()), "at": pa.array([ats[p] + a for p, a, _ in out], pa.int32()), "length": pa.array([b - a for _, a, b in out], pa.int32())})
 
     found = ordinary.groupBy("share").applyInArrow(share, f"doc_id {id_type}, tag long, at int, length int")
-    # anchors with very many different pieces: their windows one by one, combined before the shuffle
-    each = crowded.select("doc_id", "tag", "at", "piece", F.explode(F.sequence(F.lit(0), F.octet_length("piece") - least)).alias("o"))
-    windows = each.select("doc_id", "tag", (F.col("at") + F.col("o")).alias("at"), F.expr(f"substring(piece, o + 1, {least})").alias("w"))
-    windows = windows.select("doc_id", "tag", "at", F.xxhash64("w", F.lit(1)).alias("p1"), F.xxhash64("w", F.lit(2)).alias("p2"))
-    least_of = windows.groupBy("p1", "p2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "at")).alias("f"))
-    pairs = windows.join(least_of.select("p1", "p2", F.col("f.doc_id").alias("first_id"), F.col("f.tag").alias("first_tag"), F.col("f.at").alias("first_at")), ["p1", "p2"]).where(~_is_first())
-    return found.unionByName(copies.select("doc_id", "tag", "at", "length")).unionByName(pairs.select("doc_id", "tag", "at", F.lit(least).alias("length")))
+    return found.unionByName(copies.select("doc_id", "tag", "at", "length"))
 
 
 def _arrow(id_type: str) -> pa.DataType:
@@ -303,19 +329,22 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     identified = _identified(bounded(docs), id_col, text_col)
-    firsts = staged(identified.groupBy("tag", F.md5("text").alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")), "firsts")
+    identified = identified.withColumn("digest", F.unhex(F.md5("text")))
+    by_id = identified.groupBy("tag", "digest", "doc_id").agg(F.count("*").alias("k"))
+    firsts = by_id.groupBy("tag", "digest").agg(F.sum("k").alias("n"), F.min("doc_id").alias("least_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k")).getField("k").alias("k"))
     # texts with one row need no join; of the others the row with the least id stays
-    several = staged(firsts.where("n > 1").select("tag", "doc_id", F.lit(True).alias("again")), "several")
-    marked = identified.join(_checked(several.select("tag", F.col("doc_id").alias("least_id"), "again")), "tag", "left")
-    copy = F.coalesce(F.col("again") & ~F.col("doc_id").eqNullSafe(F.col("least_id")), F.lit(False))
-    distinct = marked.withColumn("copy", copy).drop("again", "least_id")
-    once = distinct.where(~F.col("copy")).drop("copy")
-    own = once.where(F.octet_length("text") >= least)
+    several = checked(staged(firsts.where("n > 1").select("tag", "digest", "least_id", (F.col("k") > 1).alias("alike")), "several"))
+    marked = identified.join(several, ["tag", "digest"], "left")
+    copy = F.coalesce(F.col("alike").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("least_id")), F.lit(False))
+    told = marked.withColumn("copy", copy)
+    distinct = told.drop("digest", "alike", "least_id")
+    own = told.where(~F.col("copy") & (F.octet_length("text") >= least)).select("doc_id", "tag", "text", "digest", F.coalesce("alike", F.lit(False)).alias("alike"))
+    # rows alike in id and text count once
+    own = own.where(~F.col("alike")).unionByName(own.where("alike").dropDuplicates(["doc_id", "tag", "digest"])).select("doc_id", "tag", "text")
     found = later_spans(own, least, anchor, most_pieces)
     merged = staged(_merged(found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct(F.col("at").alias("from"), (F.col("at") + F.col("length")).alias("to"))).alias("found"))), "found")
-    ids = _checked(merged.select("doc_id", "tag"))
-    same = ["doc_id", "tag"]
-    null_safe = [F.col(f"d.{c}").eqNullSafe(F.col(f"m.{c}")) for c in same]
+    ids = checked(merged.select("doc_id", "tag"))
+    null_safe = _alike("d", "m")
     untouched = distinct.alias("d").join(ids.alias("m"), null_safe, "left_anti").withColumn("found", F.lit(None).cast("array<struct<from:int,to:int>>"))
     touched = distinct.alias("d").join(ids.alias("m"), null_safe, "left_semi").alias("d").join(merged.alias("m"), null_safe).select("d.*", "found")
     none = F.array().cast("array<struct<from:int,to:int>>")
