@@ -8,10 +8,10 @@ order.  DataFrame operations only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, running_totals, staged
+from .common import BLANK, checked, running_totals, staged
 
 #: Fixed by the recipe: sources in order weigh so much, and again from the start.
 WEIGHTS = (3, 1, 2)
@@ -60,31 +60,29 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     the target, nothing of later ones.  whole=True takes the crossing document wholly if at least half of it fits, else
     not at all.  weight: a column over docs, quality(text) by default.  Reruns agree, as keys are hashes of ids and seed.
 
-    A third of all rows may be of one source: a key's bucket, its weight's power of u cut into equal parts, splits every
-    source, so running totals are made within buckets and joined with those over a source's buckets.
+    A third of all rows may be of one source: rows are dealt into ranges of (source, key), whose edges Spark draws from the
+    rows themselves, so a hot source has many ranges; one sum for each range makes the running totals whole.
 
-    Null ids, texts (size 0) and sources (a source of its own) are kept; rows with the same id stay separate, and those
-    that are alike in all that is read may swap places.  An empty table gives no rows.  Other columns are not read.
+    Null ids, texts (size 0) and sources (a source of its own) are kept; null ids draw by their texts.  Rows with the same
+    id stay separate and draw alike; the order among them is that of a hash of their texts, and rows that are alike in all
+    that is read may swap places.  An empty table gives no rows.  Other columns are not read.
     """
-    spark = docs.sparkSession
-    buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    u = (F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    tie = F.xxhash64(text, F.lit(seed))
+    drawn = F.when(F.col(id_col).isNull(), tie).otherwise(F.xxhash64(F.col(id_col), F.lit(seed)))
+    u = (F.shiftrightunsigned(drawn, 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     extra = [F.col(row_col)] if row_col else []
-    read = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.greatest(F.lit(1e-6), weight if weight is not None else quality(F.col(text_col))).alias("weight"), u.alias("u"), *extra)
-    keyed = read.withColumn("key", -F.log("u") / F.col("weight")).drop("u", "weight")
-    # 1 - exp(-key) rises with the key from 0 to 1
-    sized = staged(keyed.withColumn("bucket", F.least(F.lit(buckets - 1), F.floor((1 - F.exp(-F.col("key"))) * buckets)).cast("int")), "sized")
-    sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    read = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.greatest(F.lit(1e-6), weight if weight is not None else quality(F.col(text_col))).alias("weight"), u.alias("u"), tie.alias("tie"), *extra)
+    sized = staged(read.withColumn("key", -F.log("u") / F.col("weight")).drop("u", "weight"), "sized")
     of = targets(sized.select("source", "size"), weights, share, most_epochs)
-    # buckets of a source are at most `buckets` rows
-    offsets = sums.withColumn("before_bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0))).alias("b").join(of.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select("b.source", "bucket", "before_bucket", "source_size", "target")
-    running = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    summed = sized.withColumn("upto", F.sum("size").over(running))
-    joined = summed.alias("d").join(offsets.alias("o"), F.col("d.source").eqNullSafe(F.col("o.source")) & (F.col("d.bucket") == F.col("o.bucket"))).select("d.*", "before_bucket", "source_size", "target")
+    order = [F.col(c).asc_nulls_last() for c in ("source", "key", "doc_id", "tie")]
+    summed = running_totals(sized, order, {"upto": F.col("size")}, "keyed")
+    # what all earlier sources have in the order of the ranges
+    earlier = running_totals(of, [F.col("source").asc_nulls_last()], {"through": F.col("source_size")}, "earlier").withColumn("before_source", F.col("through") - F.col("source_size")).drop("through", "_range")
+    joined = summed.alias("d").join(checked(staged(earlier, "sources")).alias("o"), F.col("d.source").eqNullSafe(F.col("o.source"))).select("d.*", "before_source", "source_size", "target")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.floor("target").cast("long") - epochs * F.col("source_size")
-    fits = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - (F.col("upto") + F.col("before_bucket") - F.col("size"))))
+    fits = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - (F.col("upto") - F.col("before_source") - F.col("size"))))
     if whole:
         fits = F.when((2 * fits >= F.col("size")) & (fits > 0), F.col("size")).otherwise(F.lit(0))
     taken = (epochs * F.col("size") + fits).cast("long")
