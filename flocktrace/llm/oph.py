@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import random
 
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import words
+from .common import fresh, words
 
 BINS = 256
 BITS = 8
@@ -77,16 +77,18 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", out_col: str = "fi
     """docs with out_col, the fingerprint of the whole text: bins * bits / 4 hexadecimal digits.
 
     Shingles are runs of words; a text with fewer words is one shingle.  Texts without words, and null, get ''.  Equal
-    texts get equal fingerprints.  bins is a power of two, bits 4 or 8.
+    texts get equal fingerprints.  bins is a power of two, bits 4 or 8.  All columns of docs stay; one called out_col is
+    replaced.
     """
     if bins & (bins - 1) or bits not in (4, 8):
         raise ValueError("bins is a power of two and bits 4 or 8")
     # steps of their own, so that each is worked out once for a row
-    hashed = docs.withColumn("_words", F.transform(words(F.col(text_col)), lambda w: F.xxhash64(w)))
-    shingled = hashed.withColumn("_shingles", _let(F.col("_words"), lambda w: _shingle_hashes(w, shingle))).drop("_words")
-    binned = shingled.withColumn("_bins", _let(F.col("_shingles"), lambda s: _bins(s, bins))).drop("_shingles")
-    filled = binned.withColumn("_filled", _let(F.col("_bins"), lambda v: _densified(v, bins, seed))).drop("_bins")
-    return filled.withColumn(out_col, _packed(F.col("_filled"), bits)).drop("_filled")
+    step = fresh("_step", docs)
+    hashed = docs.withColumn(step, F.transform(words(F.col(text_col)), lambda w: F.xxhash64(w)))
+    shingled = hashed.withColumn(step, _let(F.col(step), lambda w: _shingle_hashes(w, shingle)))
+    binned = shingled.withColumn(step, _let(F.col(step), lambda s: _bins(s, bins)))
+    filled = binned.withColumn(step, _let(F.col(step), lambda v: _densified(v, bins, seed)))
+    return filled.withColumn(out_col, _packed(F.col(step), bits)).drop(step)
 
 
 def likeness(a: Column, b: Column, bins: int = BINS, bits: int = BITS) -> Column:
@@ -102,39 +104,51 @@ def likeness(a: Column, b: Column, bins: int = BINS, bits: int = BITS) -> Column
     return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(corrected)
 
 
-def with_next(docs: DataFrame, columns: dict[str, str], id_col: str = "doc_id") -> DataFrame:
+#: Ranges of ids for each shuffle partition, and bytes of a range, about.
+RANGES = 16
+RANGE_BYTES = 4 << 20
+
+
+def with_next(docs: DataFrame, columns: dict[str, str], id_col: str = "doc_id", size: Column | None = None, tie: Column | None = None) -> DataFrame:
     """docs with, for each column: new name, that column of the row with the next lower id; the lowest id's next is the highest.
 
-    Ids are dealt into ranges whose edges are quantiles of all ids, as many as shuffle partitions.  The highest row of
-    each range is also sent to the range that follows it, so one shuffle brings all neighbours together.  Rows with a
-    null id come after all others; of rows with equal ids the order is that of their columns' contents.
+    Ids of any type that sorts.  They are dealt into ranges whose edges Spark draws from all rows, so many that each holds
+    some RANGE_BYTES of size (a column of bytes).  The highest row of each range is also sent to the range above, so one
+    shuffle brings all neighbours together.  Rows with a null id come after all others.  tie (a hash of contents) orders
+    rows with equal ids, of which the highest counts as last; those with equal ties too may swap places, and are one
+    range.  All columns of docs stay; those of the new names are replaced.  An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
-    ids = docs.select(F.col(id_col).alias("i"))
-    edges = (ids.agg(F.percentile_approx("i", [k / ranges for k in range(1, ranges)], 10_000).alias("e")).first() or [None])[0] or []
-    edges = sorted(set(edges))
-    # binary search: the number of edges at or below an id
-    edge_list = F.array(*(F.lit(e) for e in edges)).cast("array<bigint>")
+    spark, kept = docs.sparkSession, docs.drop(*columns.values()).columns
+    names = {n: fresh(f"_{n}", docs) for n in ("range", "key", "top", "to", "at", "copied")}
+    of_range, key, top, to, at, copied = (names[n] for n in ("range", "key", "top", "to", "at", "copied"))
+    keyed = F.struct(F.col(id_col).alias("id"), (tie if tie is not None else F.lit(0).cast("long")).alias("tie"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_bytes = docs.agg(F.sum(size if size is not None else F.lit(256).cast("long"))).first()[0]
+    ranges = max(RANGES * partitions, -(-(n_bytes or 0) // RANGE_BYTES))
+    # one row for each range comes to the driver, here and below
+    drawn = docs.select(keyed.alias("k")).repartitionByRange(ranges, "k").groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("k"))
+    kind = docs.select(keyed.alias("k")).schema["k"].dataType
+    edges = [r["k"] for r in drawn.orderBy("k").select(F.to_json("k", {"ignoreNullFields": "false"}).alias("k")).collect()][1:]
+    edge_list = F.from_json(F.lit(f"[{','.join(edges)}]"), T.ArrayType(kind))
+    # binary search: the number of edges at or below a row's
     steps, step = [], 1
     while step <= len(edges):
         steps, step = [step, *steps], step * 2
-    search = F.aggregate(F.array(*(F.lit(s) for s in steps)), F.lit(0), lambda at, s: F.when((at + s <= len(edges)) & (F.get(edge_list, at + s - 1) <= F.col(id_col)), at + s).otherwise(at)) if edges else F.lit(0)
-    placed = docs.withColumn("_range", F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(search))
-    tops = sorted((r for r in placed.groupBy("_range").agg(F.max(id_col).alias("top")).collect()), key=lambda r: r["_range"])  # one row for each range
-    order = [F.col("_copied"), F.col(id_col).desc_nulls_last(), *(F.col(c) for c in columns)]
+    search = F.aggregate(F.array(*(F.lit(s) for s in steps)), F.lit(0), lambda i, s: F.when((i + s <= len(edges)) & (F.get(edge_list, i + s - 1) <= F.col(key)), i + s).otherwise(i)) if edges else F.lit(0)
+    placed = docs.select("*", keyed.alias(key)).withColumn(of_range, search)
+    tops = sorted(placed.groupBy(of_range).agg(F.max(key).alias("top")).collect(), key=lambda r: r[0])
     if not tops:
         return docs.withColumns({new: F.col(c) for c, new in columns.items()})
     # the top row of a range follows the lowest row of the range above; the highest range's top follows the lowest range
-    sent = {r["_range"]: tops[(k + 1) % len(tops)]["_range"] for k, r in enumerate(tops)}
-    top_of = spark.createDataFrame([(r["_range"], r["top"], sent[r["_range"]]) for r in tops], f"_range int, _top {docs.schema[id_col].dataType.simpleString()}, _to int")
-    joined = placed.join(F.broadcast(top_of), "_range")
-    is_top = F.col(id_col).eqNullSafe(F.col("_top"))
-    copies = F.when(is_top, F.array(F.struct(F.col("_range").alias("at"), F.lit(0).alias("copied")), F.struct(F.col("_to").alias("at"), F.lit(1).alias("copied")))).otherwise(F.array(F.struct(F.col("_range").alias("at"), F.lit(0).alias("copied"))))
-    dealt = joined.withColumn("_copy", F.explode(copies)).withColumns({"_at": F.col("_copy.at"), "_copied": F.col("_copy.copied")}).drop("_copy", "_top", "_to", "_range")
-    window = Window.partitionBy("_at").orderBy(*order)
-    led = dealt.withColumns({new: F.lead(c).over(window) for c, new in columns.items()})
-    return led.where(F.col("_copied") == 0).drop("_at", "_copied")
+    sent = [(r[0], tuple(r[1]), tops[(k + 1) % len(tops)][0]) for k, r in enumerate(tops)]
+    schema = T.StructType([T.StructField(of_range, T.IntegerType()), T.StructField(top, kind), T.StructField(to, T.IntegerType())])
+    joined = placed.join(F.broadcast(spark.createDataFrame(sent, schema)), of_range)
+    mine = F.struct(F.col(of_range).alias("at"), F.lit(0).alias("copied"))
+    copies = F.when(F.col(key).eqNullSafe(F.col(top)), F.array(mine, F.struct(F.col(to).alias("at"), F.lit(1).alias("copied")))).otherwise(F.array(mine))
+    dealt = joined.select(*docs.columns, F.col(f"{key}.tie").alias(key), F.explode(copies).alias(at)).select(*docs.columns, key, F.col(f"{at}.copied").alias(copied), F.col(f"{at}.at").alias(at))
+    window = Window.partitionBy(at).orderBy(F.col(copied), F.col(id_col).desc_nulls_last(), F.col(key).desc())
+    led = dealt.select(*kept, copied, *(F.lead(c).over(window).alias(new) for c, new in columns.items()))
+    return led.where(F.col(copied) == 0).drop(copied)
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -142,6 +156,3 @@ def edited(text: Column, following: Column) -> Column:
     n = F.char_length(text)
     half = F.floor(n / 2).cast("int")
     return F.concat(F.substring(text, F.lit(1), n - half), F.substring(following, F.lit(1), half))
-
-
-
