@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..components import connected_components
-from .common import bounded, dropped, lean, staged
+from .common import bounded, checked, dropped, lean, staged
 from .shingles import mixed, shingle_sets
 
 SHINGLE = 5
@@ -36,9 +36,8 @@ PERCENT = 80
 LIST = 48
 #: Groups of a longer list that the first round pairs with all its others, besides its least.
 CENTRES = 5
-#: Shingles that may be put last, and rows of a table that is broadcast.  Both only choose the way, never the result.
+#: Shingles that may be put last, which chooses the way, never the result.
 MOST_LAST = 200_000
-MOST_BROADCAST = 500_000
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -50,8 +49,31 @@ def _long(raw: bytes) -> int:
     return int.from_bytes(raw[:8], "little", signed=True)
 
 
-def _key(hashes: np.ndarray) -> int:
-    return _long(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest())
+def _key(packed: bytes) -> tuple[int, int]:
+    """Two hashes of 64 bits; the first names a set or group, the second tells apart those that share a name."""
+    made = hashlib.blake2b(packed, digest_size=16).digest()
+    return _long(made), _long(made[8:])
+
+
+def _name(packed: bytes, renamed: dict[tuple[int, int], int]) -> int:
+    key = _key(packed)
+    return renamed.get(key, key[0])
+
+
+def _clashes(rows: DataFrame, named: DataFrame, name: str, check: str) -> dict[tuple[int, int], int]:
+    """For names that stand for different things, by their checks, another name for all of these but one."""
+    bad = named.where("lo <> hi").select(name, "lo")
+    if bad.isEmpty():
+        return {}
+    # as many as hashes of 64 bits collide
+    return {(r[0], r[1]): r[1] for r in rows.join(bad, name).where(F.col(check) != F.col("lo")).select(name, check).distinct().collect()}
+
+
+def _renamed(rows: DataFrame, name: str, check: str, names: dict[tuple[int, int], int]) -> DataFrame:
+    if not names:
+        return rows
+    other = rows.sparkSession.createDataFrame([(*k, v) for k, v in names.items()], f"{name} long, {check} long, _other long")
+    return rows.join(F.broadcast(other), [name, check], "left").withColumn(name, F.coalesce("_other", name)).select(*rows.columns)
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -110,11 +132,6 @@ def _frequent(docs: DataFrame, size: int, fold: bool) -> tuple[np.ndarray, np.nd
     return hashes[order], ranks[order]
 
 
-def _checked(small: DataFrame) -> DataFrame:
-    """small to be broadcast if it has few rows, else as it is."""
-    return F.broadcast(small) if small.count() <= MOST_BROADCAST else small
-
-
 def _can_link(percent: int, x: str, y: str) -> Column:
     """Whether sets of sizes n_x and n_y that share no more than most_x and most_y can link."""
     small, large, most = F.least(f"n_{x}", f"n_{y}"), F.greatest(f"n_{x}", f"n_{y}"), F.least(f"most_{x}", f"most_{y}")
@@ -149,11 +166,11 @@ def _survivors(pairs: DataFrame, groups: DataFrame, sizes: DataFrame, percent: i
 
 def _texts_of(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
     """The texts, copies among them, of the wanted sets, found by the tag of a text that has the set."""
-    tags = staged(sets.join(_checked(wanted), "sid", "left_semi").select("tag").distinct(), "tags")
-    return docs.join(_checked(tags), "tag", "left_semi").select("text")
+    tags = staged(sets.join(checked(wanted), "sid", "left_semi").select("tag").distinct(), "tags")
+    return docs.join(checked(tags), "tag", "left_semi").select("text")
 
 
-def _vectors(docs: DataFrame, sets: DataFrame, wanted: DataFrame, size: int, fold: bool) -> DataFrame:
+def _vectors(docs: DataFrame, sets: DataFrame, wanted: DataFrame, size: int, fold: bool, renamed: dict[tuple[int, int], int]) -> DataFrame:
     """sid and the packed sorted hashes of each wanted set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +179,7 @@ def _vectors(docs: DataFrame, sets: DataFrame, wanted: DataFrame, size: int, fol
             for batch in _small(whole):
                 keys, packed = [], []
                 for hashes in shingle_sets(batch.column(0), size, fold):
-                    if len(hashes) and (key := _key(hashes)) not in seen:
+                    if len(hashes) and (key := _name(hashes.tobytes(), renamed)) not in seen:
                         seen.add(key)
                         keys.append(key)
                         packed.append(hashes.tobytes())
@@ -224,7 +241,7 @@ def part_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _by_parts(docs: DataFrame, sets: DataFrame, wanted: DataFrame, states: DataFrame, size: int, percent: int, fold: bool) -> DataFrame:
+def _by_parts(docs: DataFrame, sets: DataFrame, wanted: DataFrame, states: DataFrame, size: int, percent: int, fold: bool, renamed: dict[tuple[int, int], int]) -> DataFrame:
     """Pairs (x, y) of wanted sets in different components that agree in a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +250,7 @@ def _by_parts(docs: DataFrame, sets: DataFrame, wanted: DataFrame, states: DataF
             for batch in _small(whole):
                 keys, rows, sets = [], [], []
                 for hashes in shingle_sets(batch.column(0), size, fold):
-                    if len(hashes) and (key := _key(hashes)) not in seen:
+                    if len(hashes) and (key := _name(hashes.tobytes(), renamed)) not in seen:
                         seen.add(key)
                         keys.append(key)
                         rows.append(part_keys(hashes, percent))
@@ -247,7 +264,7 @@ def _by_parts(docs: DataFrame, sets: DataFrame, wanted: DataFrame, states: DataF
     known = states.select("sid", "n", "comp").join(alone, "sid", "left").select("sid", "n", "comp", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
     parts = staged(made.select("sid", F.explode("parts").alias("part")).join(known, "sid"), "parts")
     split = parts.groupBy("part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("part")
-    open_parts = staged(parts.join(_checked(staged(split, "split")), "part"), "open_parts")
+    open_parts = staged(parts.join(checked(staged(split, "split")), "part"), "open_parts")
     every = open_parts.groupBy("sid").agg(F.collect_list("part").alias("own"))  # as many as a set has parts
     rows = staged(open_parts.join(every, "sid"), "rows")
     x, y = (rows.select("part", *(F.col(c).alias(f"{c}_{s}") for c in ("sid", "n", "most", "comp", "own"))) for s in ("x", "y"))
@@ -257,14 +274,15 @@ def _by_parts(docs: DataFrame, sets: DataFrame, wanted: DataFrame, states: DataF
     return x.join(y, "part").where(near & once).select(F.col("sid_x").alias("x"), F.col("sid_y").alias("y"))
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, fold: bool = True) -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles and component_id.
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, fold: bool = True, classes: bool = False) -> DataFrame:
+    """One row for each row of docs: doc_id, n_shingles and component_id, and with classes also tag and class.
 
     Documents link when 100 * intersection >= percent * union of their sets of shingles (runs of `shingle` words; a text
     with fewer words has all of them as its one shingle).  component_id is the least id that links reach.  Texts without
     words, and nulls, have no shingles, link with nothing and are their own component.  Rows with the same id stay
     separate rows; null ids take part, and a component has a null id only if all its rows do.  Equal texts are one set
-    from the start and never paired.  An empty table gives no rows.  Other columns are not read.
+    from the start and never paired.  An empty table gives no rows.  Other columns are not read.  tag is xxhash64 of the
+    text, class a number for each component, null for rows without shingles.
     """
     if not 50 < percent <= 100:
         raise ValueError("percent is over 50 and at most 100")
@@ -280,25 +298,37 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
                     n.append(len(hashes))
                     if len(hashes):
                         prefix = _ordered(hashes, last.value)[: prefix_length(len(hashes), percent)]
-                        sids.append(_key(hashes))
-                        gids.append(_long(hashlib.blake2b(prefix.tobytes() + len(hashes).to_bytes(8, "little"), digest_size=8).digest()))
+                        sids.append(_key(hashes.tobytes()))
+                        gids.append(_key(prefix.tobytes() + len(hashes).to_bytes(8, "little")))
                         prefixes.append(prefix.copy())
                     else:
-                        sids.append(None)
-                        gids.append(None)
+                        sids.append((None, None))
+                        gids.append((None, None))
                         prefixes.append(np.empty(0, dtype=np.uint64))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sids, pa.int64()), pa.array(gids, pa.int64()), _lists(prefixes), batch.column(2)], names=["doc_id", "n", "sid", "gid", "prefix", "tag"])
-
-    rows = staged(docs.mapInArrow(lean(run), f"doc_id {id_type}, n long, sid long, gid long, prefix array<long>, tag long"), "rows")
-    sets = staged(rows.where("n > 0").groupBy("sid").agg(F.min("n").alias("n"), F.min("gid").alias("gid"), F.min("tag").alias("tag")), "sets")
-    groups = staged(rows.where("n > 0").groupBy("gid").agg(F.min("n").alias("n"), F.min("sid").alias("rep"), F.first("prefix").alias("prefix")), "groups")
-    placed_rows = staged(rows.select("doc_id", "n", "sid"), "documents")
+                names = [pa.array([x[k] for x in keys], pa.int64()) for keys in (sids, gids) for k in range(2)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *names, _lists(prefixes), batch.column(2)], names=["doc_id", "n", "sid", "sid_check", "gid", "gid_check", "prefix", "tag"])
+
+    rows = staged(docs.mapInArrow(lean(run), f"doc_id {id_type}, n long, sid long, sid_check long, gid long, gid_check long, prefix array<long>, tag long"), "rows")
+    told = rows.where("n > 0")
+    renamed = {}
+    while True:
+        sets = staged(told.groupBy("sid").agg(F.min("n").alias("n"), F.min("gid").alias("gid"), F.min("tag").alias("tag"), F.min("doc_id").alias("least"), F.min("sid_check").alias("lo"), F.max("sid_check").alias("hi")), "sets")
+        groups = staged(told.groupBy("gid").agg(F.min("n").alias("n"), F.min("sid").alias("rep"), F.first("prefix").alias("prefix"), F.min("gid_check").alias("lo"), F.max("gid_check").alias("hi")), "groups")
+        of_sets, of_groups = _clashes(told, sets, "sid", "sid_check"), _clashes(told, groups, "gid", "gid_check")
+        if not of_sets and not of_groups:
+            break
+        renamed |= of_sets
+        told = _renamed(_renamed(told, "sid", "sid_check", of_sets), "gid", "gid_check", of_groups)
+    extra = ["tag"] if classes else []
+    placed_rows = staged(told.select("doc_id", "n", "sid", *extra), "documents")
+    without = staged(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *extra), "without")
+    sets, groups = sets.drop("lo", "hi"), groups.drop("lo", "hi")
     dropped(rows)
 
     tokens = groups.select("gid", F.explode("prefix").alias("token"))
     shared = staged(tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("gid").alias("a"), F.max("gid").alias("b")).where("c > 1"), "shared")
     twos = shared.where("c = 2").select("a", "b")
-    lists = staged(tokens.join(_checked(shared.where("c > 2").select("token", "c", F.col("a").alias("first"))), "token"), "lists")
+    lists = staged(tokens.join(checked(shared.where("c > 2").select("token", "c", F.col("a").alias("first"))), "token"), "lists")
 
     # own: the share of shingles in a group's prefix that no other prefix has
     listed_twice = twos.select(F.explode(F.array("a", "b")).alias("gid")).unionByName(lists.select("gid")).groupBy("gid").agg(F.count("*").alias("k"))
@@ -317,7 +347,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     between = first.join(rep("a", "ra"), "a").join(rep("b", "rb"), "b").select(F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y"))
     inside = sets.join(groups.select("gid", "rep"), "gid").where("sid <> rep").select(F.col("rep").alias("x"), F.col("sid").alias("y"))
     tried = staged(between.unionByName(inside).distinct(), "tried")
-    vectors = staged(_vectors(docs, sets, staged(tried.select(F.explode(F.array("x", "y")).alias("sid")).distinct(), "wanted"), shingle, fold), "vectors")
+    vectors = staged(_vectors(docs, sets, staged(tried.select(F.explode(F.array("x", "y")).alias("sid")).distinct(), "wanted"), shingle, fold, renamed), "vectors")
     links = staged(_verified(tried, vectors, percent), "links")
     found = staged(connected_components(links, "x", "y"), "components")
 
@@ -329,7 +359,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     again = twos.join(of("a"), "a").join(of("b"), "b").where(f"(k_a > 1 or k_b > 1) and {apart}").select("a", "b")
     listed = lists.join(group, "gid")
     split = staged(listed.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("token"), "split")
-    open_lists = staged(listed.select("token", "c", "gid").join(_checked(split), "token"), "open")
+    open_lists = staged(listed.select("token", "c", "gid").join(checked(split), "token"), "open")
     short = open_lists.where(F.col("c") <= LIST)
     paired = short.select("token", F.col("gid").alias("a")).join(short.select("token", F.col("gid").alias("b")), "token").where("a < b").select("a", "b").distinct()
     paired = paired.join(of("a"), "a").join(of("b"), "b").where(apart).select("a", "b")
@@ -340,7 +370,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     long_lists = open_lists.where(F.col("c") > LIST).select("gid").distinct()
     hot = staged(states.join(long_lists, "gid", "left_semi").select("sid"), "hot")
     if not hot.isEmpty():
-        by_parts = _by_parts(docs, sets, hot, states, shingle, percent, fold)
+        by_parts = _by_parts(docs, sets, hot, states, shingle, percent, fold, renamed)
         gid_of = lambda side, to: states.select(F.col("sid").alias(side), F.col("gid").alias(to))
         located = staged(by_parts.join(gid_of("x", "a"), "x").join(gid_of("y", "b"), "y"), "by_parts")
         kept = _survivors(located.where("a <> b").select("a", "b").distinct(), groups, sizes, percent)
@@ -348,11 +378,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     left = staged(expanded.distinct().join(tried, ["x", "y"], "left_anti"), "left")
     if not left.isEmpty():
         more = staged(left.select(F.explode(F.array("x", "y")).alias("sid")).distinct().join(vectors.select("sid"), "sid", "left_anti"), "more")
-        everything = vectors.unionByName(_vectors(docs, sets, more, shingle, fold))
+        everything = vectors.unionByName(_vectors(docs, sets, more, shingle, fold, renamed))
         links = links.unionByName(_verified(left, everything, percent))
         found = staged(connected_components(links, "x", "y"), "components")
 
-    placed = staged(placed_rows.join(found.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "n", F.coalesce("component", "sid").alias("comp")), "placed")
-    dropped(placed_rows, groups, lists, shared, vectors)
-    least = placed.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    return placed.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    # every step has one row on one side, read from a table, so that Spark may split the other side's hot keys
+    own_comp = staged(sets.select("sid", "least").join(found.withColumnRenamed("node", "sid"), "sid"), "own_comp")
+    least = staged(own_comp.groupBy("component").agg(F.min("least").alias("component_id")), "least")
+    linked = own_comp.join(checked(least), "component").select("sid", "component_id", F.col("component").alias("class"))
+    alone = sets.join(found.select(F.col("node").alias("sid")), "sid", "left_anti").select("sid", F.col("least").alias("component_id"), F.col("sid").alias("class"))
+    dropped(groups, lists, shared, vectors)
+    known = staged(linked.unionByName(alone), "known")
+    extra += ["class"] if classes else []
+    return placed_rows.join(checked(known), "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id", *extra).unionByName(without, allowMissingColumns=True)
