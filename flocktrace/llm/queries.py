@@ -60,12 +60,12 @@ def op4_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", ["doc_id", "text", "source", "lang"])
     n_words = lambda blank: F.size(F.filter(F.split(F.coalesce("text", F.lit("")), blank), lambda w: w != ""))
     words = n_words(r"[\x20\x09-\x0D]+")
-    first = rollups.counted(docs, {"words-1": words, "bytes-1": F.octet_length(F.coalesce("text", F.lit("")))}, keep=("doc_id",))
     toxic = table(spark, sf_dir, "labels", ["doc_id", "toxic"]).where("toxic = 1").select("doc_id").distinct()
     root = new_dir(spark, "rollups")
     none = F.lit(None).cast("long")
-    rollups.commit(root, "load", first.withColumns({"before": none, "after": F.col("tokens")}))
-    gone = first.join(toxic, "doc_id", "left_semi").withColumns({"before": F.col("tokens"), "after": none})
+    by = {"words-1": words, "bytes-1": F.octet_length(F.coalesce("text", F.lit("")))}
+    rollups.commit(root, "load", rollups.counted(docs, by).withColumns({"before": none, "after": F.col("tokens")}))
+    gone = rollups.counted(docs.join(toxic, "doc_id", "left_semi"), by).withColumns({"before": F.col("tokens"), "after": none})
     rollups.commit(root, "toxic", gone)
     left = docs.where("lang = 'fr'").join(toxic, "doc_id", "left_anti")
     recounted = left.select("source", "lang", F.lit("words-1").alias("version"), words.alias("before"), n_words(r"[\x20\x09-\x0D\-]+").alias("after"))
@@ -95,7 +95,7 @@ def op8_cotrain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited text, and their likeness to each other and to the next document's."""
     docs = table(spark, sf_dir, "documents", ["doc_id", "text"]).withColumn("text", F.coalesce("text", F.lit("")))
-    led = oph.with_next(oph.with_fingerprint(docs), {"text": "next_text", "fingerprint": "next_fingerprint"})
+    led = oph.with_next(oph.with_fingerprint(docs), {"text": "next_text", "fingerprint": "next_fingerprint"}, size=F.octet_length("text"), tie=F.xxhash64("text"))
     changed = led.withColumn("edited", oph.edited(F.col("text"), F.col("next_text"))).drop("next_text")
     both = oph.with_fingerprint(changed, "edited", "edited_fingerprint")
     return both.select(
@@ -148,19 +148,53 @@ c AS (
 SELECT source, lang, version, count(*)::BIGINT AS documents, sum(tokens)::BIGINT AS tokens FROM c GROUP BY ALL
 """
 
-_URL_SQL = r"""
-WITH p AS (
-  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
-), q AS (
-  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p
-), r(rule_host, rule_path, action) AS (
+_HREF, _REFRESH = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""".replace("'", "''"), r"""(?is)\bcontent\s*=\s*["']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*["']?([^"'\s>]+)""".replace("'", "''")
+_LINK, _META = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""".replace("'", "''"), r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""".replace("'", "''")
+
+_URL_SQL = rf"""
+WITH RECURSIVE r(rule_host, rule_path, action) AS (
   VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
-), f AS (
-  SELECT page_id, host, path, rule_host || rule_path AS rule, action,
-         row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC NULLS LAST) AS k
-  FROM q LEFT JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+), stated AS (
+  SELECT url, unnest([regexp_extract(regexp_extract(coalesce(html, ''), '{_LINK}'), '{_HREF}', 1), regexp_extract(regexp_extract(coalesce(html, ''), '{_META}'), '{_REFRESH}', 1)]) AS target FROM pages
+), bare AS (
+  SELECT regexp_extract(url, '^[^:/?#]*') AS scheme, substr(url, instr(url, '://') + 3) AS rest, regexp_extract(target, '^[^#]*') AS t FROM stated WHERE target <> '' AND instr(url, '://') > 0
+), parts AS (
+  SELECT scheme, regexp_extract(rest, '^[^/?#]*') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, scheme || '://' || rest AS url, t, regexp_extract(t, '^[^?]*') AS tpath, coalesce(regexp_extract(t, '(\?.*)?$', 1), '') AS tquery FROM bare
+), joined AS (
+  SELECT *, string_split(CASE WHEN t LIKE '/%' THEN tpath WHEN coalesce(regexp_extract(path, '^(.*/)?', 1), '') = '' THEN '/' || tpath ELSE regexp_extract(path, '^(.*/)?', 1) || tpath END, '/') AS s FROM parts
+), folded AS (
+  SELECT *, list_reduce(list_transform(s, lambda x: [x]), lambda a, x: CASE WHEN x[1] = '..' THEN a[1:greatest(1, len(a) - 1)] WHEN x[1] = '.' THEN a ELSE a || x END) || CASE WHEN s[len(s)] IN ('.', '..') THEN [''] ELSE [] END AS k FROM joined
+), ends AS (
+  SELECT url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.\-]*:') THEN t WHEN t LIKE '//%' THEN scheme || ':' || t WHEN tpath = '' THEN scheme || '://' || host || path || tquery
+    ELSE scheme || '://' || host || CASE WHEN len(k) = 1 THEN '/' ELSE array_to_string(k, '/') END || tquery END AS target FROM folded
+), said AS (
+  SELECT 'page' AS kind, page_id, url, CAST(NULL AS VARCHAR) AS other FROM pages UNION ALL SELECT 'edge', NULL, url, target FROM ends
+), split AS (
+  SELECT kind, page_id, other, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest, CASE WHEN instr(other, '://') > 0 THEN substr(other, instr(other, '://') + 3) ELSE '' END AS rest2 FROM said
+), placed AS (
+  SELECT kind, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, coalesce(regexp_extract(rest, '^[^?#]*(\?[^#]*)?', 1), '') AS query,
+    translate(regexp_extract(rest2, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host2, regexp_extract(rest2, '^[^/?#]*([^?#]*)', 1) AS path2, coalesce(regexp_extract(rest2, '^[^?#]*(\?[^#]*)?', 1), '') AS query2 FROM split
+), nodes AS (
+  SELECT *, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || query END AS node, CASE WHEN host2 <> '' THEN host2 || CASE WHEN path2 = '' THEN '/' ELSE path2 END || query2 END AS node2 FROM placed
+), e AS (
+  SELECT node AS a, node2 AS b FROM nodes WHERE kind = 'edge' AND node IS NOT NULL AND node2 IS NOT NULL AND node <> node2
+), reach(a, b) AS (
+  SELECT a, b FROM (SELECT a, b FROM e UNION ALL SELECT b, a FROM e) UNION SELECT reach.a, n.b FROM reach JOIN (SELECT a, b FROM e UNION ALL SELECT b, a FROM e) n ON n.a = reach.b
+), pg AS (
+  SELECT row_number() OVER () AS id, page_id, host, path, node FROM nodes WHERE kind = 'page'
+), beyond AS (
+  SELECT DISTINCT a AS node, split_part(a, '/', 1) AS host, regexp_extract(a, '^[^/]*([^?]*)', 1) AS path FROM reach WHERE a NOT IN (SELECT node FROM pg WHERE node IS NOT NULL)
+), subject AS (
+  SELECT id, page_id, host, path, node FROM pg UNION ALL SELECT NULL, NULL, host, path, node FROM beyond
+), fit AS (
+  SELECT *, row_number() OVER (PARTITION BY id, node, host, path ORDER BY length(rule_host || rule_path) DESC NULLS LAST, action) AS k
+  FROM subject LEFT JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+), best AS (
+  SELECT *, rule_host || rule_path AS rule FROM fit WHERE k = 1
+), blocked AS (
+  SELECT a FROM reach JOIN best ON best.node = reach.b GROUP BY a HAVING bool_or(action = 'block') AND NOT coalesce(bool_or(action = 'allow'), false)
 )
-SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM f WHERE k = 1
+SELECT page_id, host, path, rule, CASE WHEN action IS NOT NULL THEN action WHEN node IN (SELECT a FROM blocked) THEN 'block' ELSE 'allow' END AS verdict FROM best WHERE id IS NOT NULL
 """
 
 ORACLE_SQL: dict[str, str] = {
