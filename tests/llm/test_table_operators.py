@@ -7,6 +7,7 @@ from pathlib import Path
 import numpy as np
 import oracle
 import pytest
+from pyspark.sql import functions as F
 
 from flocktrace.llm import cotrain, mixing, queries, rollups, url_alias
 from flocktrace.llm.common import new_dir
@@ -34,6 +35,75 @@ def test_blocks_reach_aliases_and_allows_win(spark):
     assert {k: v[3] for k, v in got.items()} == {1: "block", 2: "allow", 3: "allow", 4: "allow", 5: "block"}
 
 
+def _random_pages(seed):
+    r = random.Random(seed)
+    hosts = ["a.io", "b.io", "x.example.net", "example.net", "w.example.com", "c.org", "bad.net"]
+    url = lambda: r.choice(["http", "https"]) + "://" + r.choice(hosts) + r.choice(["", "/", "/en/", "/de/", "/fr/x", "/p/q/", "/p/q/r"]) + r.choice([str(r.randint(0, 25)), f"?i={r.randint(0, 5)}", ""])
+    target = lambda: r.choice([url(), url(), f"/{r.randint(0, 25)}", str(r.randint(0, 9)), f"../{r.randint(0, 9)}", f"./x/../{r.randint(0, 9)}", "?i=2", f"//b.io/{r.randint(0, 9)}", "#f", "mailto:a@b", "..", "/a/./b/../../c"])
+    html = lambda: r.choice(["", f'<link rel="canonical" href="{target()}">', f"<LINK href='{target()}' REL='canonical'/>", f'<meta http-equiv="refresh" content="5; url={target()}">', None, '<link rel=canonical><link rel="canonical" href="/z">'])
+    return [(i, r.choice([url(), url(), url(), url(), None, "nope", "http:///x"]), html()) for i in range(300)]
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_random_links_equal_their_sql(spark, seed):
+    import duckdb
+    import pandas as pd
+
+    rows = _random_pages(seed)
+    con = duckdb.connect()
+    con.register("frame", pd.DataFrame(rows, columns=["page_id", "url", "html"]))
+    con.execute("CREATE TABLE pages AS SELECT * FROM frame")
+    known = spark.createDataFrame(queries.URL_RULES, "host string, path string, action string")
+    assert oracle.differences(url_alias.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), known), con, queries.ORACLE_SQL["op1_url_alias"]) == []
+
+
+def test_verdicts_equal_union_find(spark):
+    from urllib.parse import urljoin, urlsplit
+
+    rows, parent = _random_pages(7), {}
+    node = lambda u: (lambda s: s.netloc.lower() + (s.path or "/") + (f"?{s.query}" if s.query else ""))(urlsplit(u))
+
+    def find(a):
+        parent.setdefault(a, a)
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    r, edges = random.Random(8), []
+    urls = [u for _, u, _ in rows if u and "://" in u and urlsplit(u).netloc]
+    for _ in range(120):
+        page, target = r.choice(urls), r.choice([r.choice(urls), "../y", "z", "/en/q", "http://example.net/en/7"])
+        edges.append((page, target))
+        parent[find(node(page))] = find(node(urljoin(page, target)))
+
+    def rule(host, path):
+        fits = [(len(h + p), a) for h, p, a in queries.URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1] if fits else None
+
+    decided = {}
+    for _, u, _ in rows:
+        if u in urls:
+            decided[node(u)] = rule(urlsplit(u).netloc.lower(), urlsplit(u).path)
+    for n in parent:
+        decided.setdefault(n, rule(n.split("/")[0], "/" + n.split("/", 1)[1].split("?")[0]))
+    in_class = {}
+    for n, a in decided.items():
+        in_class.setdefault(find(n), set()).add(a)
+    pages = [(i, u, "") for i, u, _ in rows if u in urls]
+    moved = spark.createDataFrame(edges, "url string, target string").select("url", url_alias.resolved(F.col("url"), F.col("target")).alias("target"))
+    known = spark.createDataFrame(queries.URL_RULES, "host string, path string, action string")
+    got = {x.page_id: x.verdict for x in url_alias.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), known, moved).collect()}
+    for i, u, _ in pages:
+        own, others = rule(urlsplit(u).netloc.lower(), urlsplit(u).path), in_class[find(node(u))]
+        assert got[i] == (own or ("block" if "block" in others and "allow" not in others else "allow")), u
+
+
+def test_equally_long_rules_allow(spark):
+    rules = spark.createDataFrame([("b.io", "/xx", "block"), ("a.b.io", "/", "allow")], "host string, path string, action string")
+    pages = spark.createDataFrame([(1, "http://a.b.io/xxy", "")], "page_id long, url string, html string")
+    assert [(r.rule, r.verdict) for r in url_alias.judge(pages, rules).collect()] == [("a.b.io/", "allow")]
+
+
 def test_no_pages(spark):
     assert _judge(spark, []) == {}
 
@@ -77,6 +147,34 @@ def test_mix_takes_epochs_then_a_part(spark):
     assert all(x.size == 0 or x.taken % x.size == 0 for x in whole)
 
 
+def test_mix_equals_keys_in_order(spark):
+    """What each document gives, from keys worked out one by one."""
+    import math
+
+    r = random.Random(17)
+    rows = [(i if r.random() < 0.9 else None, " ".join(r.choice(["w", "#", "word"]) for _ in range(r.randint(0, 30))), r.choice(["a", "b", "c", None])) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    tie = F.xxhash64(F.coalesce("text", F.lit("")), F.lit(0))
+    drawn = df.select("doc_id", "text", "source", F.coalesce(F.xxhash64("doc_id", F.lit(0)), F.lit(0)).alias("h"), tie.alias("tie"), mixing.quality(F.col("text")).alias("w")).collect()
+    of = {}
+    for x in drawn:
+        u = (((x.tie if x.doc_id is None else x.h) & (1 << 64) - 1) >> 11) + 0.5
+        key = -math.log(u / (1 << 53)) / x.w
+        of.setdefault(x.source, []).append(((key, x.doc_id is None, x.doc_id or 0, x.tie), x.doc_id, len(x.text.split())))
+    sizes = {s: sum(n for _, _, n in v) for s, v in of.items()}
+    weights = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    wanted = []
+    for source, target in _filled(sizes, weights).items():
+        whole = int(target // sizes[source])
+        left = int(target) - whole * sizes[source]
+        for _, i, n in sorted(of[source]):
+            part = max(0, min(n, left))
+            left -= n
+            wanted.append((repr(i), str(source), n, whole * n + part))
+    got = [(repr(x.doc_id), str(x.source), x.size, x.taken) for x in mixing.mix(df.repartition(5)).collect()]
+    assert sorted(got) == sorted(wanted)
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
@@ -144,6 +242,21 @@ def test_cotraining_takes_the_surest_of_all_unlabelled(spark):
     pool.close()
 
 
+def test_weights_of_views_equal_a_plain_fit():
+    r = np.random.default_rng(4)
+    y = (r.random(800) < 0.6).astype(float)
+    by_text, by_meta = 3 * (y - 0.5) + r.normal(size=800), r.normal(size=800)
+    model = cotrain.Model(None, None, [], 0.4)
+    model.weigh(by_text, by_meta, y)
+    rows, w = np.stack([by_text, by_meta, np.ones(800)], 1), np.zeros(3)
+    for _ in range(20000):
+        w -= 0.002 * (rows.T @ (1 / (1 + np.exp(-rows @ w)) - y) + w - np.array([1, 1, -0.4]))
+    w[1] = max(w[1], 0)
+    assert np.allclose(model.both, w, atol=0.05)
+    held = model.together(by_text, by_meta)
+    assert abs((1 / (1 + np.exp(-held))).mean() - y.mean()) < 0.03
+
+
 needs_tables = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 
 
@@ -153,6 +266,22 @@ def test_query_equals_its_sql(spark, name):
     assert oracle.differences(queries.QUERIES[name](spark, SF), oracle.connect(SF), queries.ORACLE_SQL[name]) == []
 
 
+@needs_tables
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL) - {"pipeline", "op9_fingerprints"}))
+def test_query_gives_a_row_for_each_document(spark, name):
+    ids = sorted(r[0] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect())
+    assert sorted(r[0] for r in queries.QUERIES[name](spark, SF).select("doc_id").collect()) == ids
+
+
+@needs_tables
+def test_cotraining_scores_held_out_documents(spark):
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality").where("quality is not null")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source")
+    known = labels.where("doc_id % 3 <> 0")
+    judged = cotrain.score(docs, cotrain.fit(docs, known)).join(labels.where("doc_id % 3 = 0"), "doc_id").collect()
+    assert sum(r.kept == bool(r.quality) for r in judged) / len(judged) > 0.75
+
+
 @needs_tables
 def test_pipeline_stages(spark):
     import corpus_pipeline
