@@ -70,10 +70,9 @@ ep AS MATERIALIZED (SELECT row_number() OVER (ORDER BY root) - 1 AS episode_id,
 _CALLS = f"""{_EV}, calls AS (SELECT * FROM (SELECT t AS "timestamp", user_id AS caller, lead(user_id) OVER (ORDER BY t, event_id) AS callee, CAST(CASE WHEN k < 10 THEN -1 ELSE floor(value) END AS BIGINT) AS duration FROM ev WHERE event_type = 'purchase') WHERE callee IS NOT NULL)"""
 _FRIENDS = f"""{_EV}, friends AS (SELECT * FROM (SELECT event_id AS row_pos, user_id AS user_a, lead(user_id) OVER (ORDER BY t, event_id) AS user_b FROM ev WHERE event_type = 'signup') WHERE user_b IS NOT NULL)"""
 _BASK = "it AS MATERIALIZED (SELECT DISTINCT l_orderkey AS txn_id, CAST(regexp_extract(p_brand, '(\\d+)', 1) AS BIGINT) AS item FROM lineitem JOIN part ON l_partkey = p_partkey), nt AS (SELECT count(DISTINCT txn_id) AS n FROM it), ms AS (SELECT CAST(ceil(0.0033 * n) AS BIGINT) AS s FROM nt)"
-_SETS = f"""{_BASK}, f1 AS MATERIALIZED (SELECT item AS a, count(*) AS support FROM it GROUP BY ALL HAVING count(*) >= (SELECT s FROM ms)),
-p2 AS MATERIALIZED (SELECT x.item AS a, y.item AS b, count(*) AS support FROM it x JOIN it y ON x.txn_id = y.txn_id AND x.item < y.item GROUP BY ALL HAVING count(*) >= (SELECT s FROM ms)),
-p3 AS MATERIALIZED (SELECT x.item AS a, y.item AS b, z.item AS c, count(*) AS support FROM it x JOIN it y ON x.txn_id = y.txn_id AND x.item < y.item JOIN it z ON z.txn_id = y.txn_id AND y.item < z.item GROUP BY ALL HAVING count(*) >= (SELECT s FROM ms)),
-sets AS MATERIALIZED (SELECT CAST(a AS VARCHAR) AS itemset, [a] AS items, 1 AS k, support FROM f1 UNION ALL SELECT concat_ws(' ', a, b), [a, b], 2, support FROM p2 UNION ALL SELECT concat_ws(' ', a, b, c), [a, b, c], 3, support FROM p3)"""
+_SETS = f"""{_BASK}, tx AS MATERIALIZED (SELECT item, list(txn_id) AS t FROM it GROUP BY item HAVING count(*) >= (SELECT s FROM ms)),
+grow(items, t, k) AS (SELECT [item], t, 1 FROM tx UNION ALL SELECT list_append(g.items, x.item), list_intersect(g.t, x.t), g.k + 1 FROM grow g JOIN tx x ON x.item > g.items[g.k] WHERE len(list_intersect(g.t, x.t)) >= (SELECT s FROM ms)),
+sets AS MATERIALIZED (SELECT array_to_string(items, ' ') AS itemset, items, k, CAST(len(t) AS BIGINT) AS support FROM grow)"""
 _BEPS = f"{_BASK}, be AS MATERIALIZED (SELECT txn_id AS episode_id, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS start_time, items, len(items) AS n FROM (SELECT txn_id, list_sort(list(item)) AS items FROM it GROUP BY ALL) JOIN orders ON o_orderkey = txn_id)"
 _BRANDS_COH = "coh AS (SELECT cohort_id, list(item) AS members FROM (SELECT row_number() OVER (ORDER BY item) AS r, item FROM (SELECT DISTINCT item FROM it)) JOIN (VALUES (1, 1), (1, 2), (2, 3), (2, 9), (2, 17), (3, 5), (4, 1), (4, 10), (4, 20)) v(cohort_id, r) USING (r) GROUP BY ALL)"
 _MEET = f"{_BEPS}, {_BRANDS_COH}, met AS MATERIALIZED (SELECT cohort_id, start_time FROM coh JOIN be ON list_has_all(items, members))"
@@ -327,17 +326,17 @@ def basket_stats(spark, d):
     return mining.transaction_stats(sources.baskets(spark, d)).select("n_transactions", "max_length", "n_items", *_r("median_length", "mean_length", "p95_length"))
 
 
-@query(f"WITH {_SETS} SELECT itemset, k, support FROM sets")
+@query(f"WITH RECURSIVE {_SETS} SELECT itemset, k, support FROM sets")
 def frequent_itemsets(spark, d):
     return _text(_mined(spark, d).itemsets)
 
 
-@query(f"WITH {_SETS} SELECT itemset, k, support FROM sets s WHERE NOT EXISTS (SELECT 1 FROM sets t WHERE t.k = s.k + 1 AND list_has_all(t.items, s.items))")
+@query(f"WITH RECURSIVE {_SETS} SELECT itemset, k, support FROM sets s WHERE NOT EXISTS (SELECT 1 FROM sets t WHERE t.k = s.k + 1 AND list_has_all(t.items, s.items))")
 def maximal_itemsets(spark, d):
     return _text(mining.maximal(_mined(spark, d).itemsets))
 
 
-@query(f"WITH {_SETS} SELECT itemset, k, support FROM sets s WHERE NOT EXISTS (SELECT 1 FROM sets t WHERE t.k = s.k + 1 AND t.support = s.support AND list_has_all(t.items, s.items))")
+@query(f"WITH RECURSIVE {_SETS} SELECT itemset, k, support FROM sets s WHERE NOT EXISTS (SELECT 1 FROM sets t WHERE t.k = s.k + 1 AND t.support = s.support AND list_has_all(t.items, s.items))")
 def closed_itemsets(spark, d):
     return _text(mining.closed(_mined(spark, d).itemsets))
 
@@ -346,14 +345,14 @@ _RULES = f"""{_SETS}, ru AS MATERIALIZED (SELECT s.itemset, a.itemset AS anteced
 FROM sets s JOIN sets a ON a.k < s.k AND list_has_all(s.items, a.items) JOIN sets b ON a.k + b.k = s.k AND list_has_all(s.items, b.items) AND NOT list_has_any(a.items, b.items), nt)"""
 
 
-@query(f"WITH {_RULES} SELECT antecedent, consequent, support, {_rs('confidence AS confidence', 'lift AS lift')} FROM ru")
+@query(f"WITH RECURSIVE {_RULES} SELECT antecedent, consequent, support, {_rs('confidence AS confidence', 'lift AS lift')} FROM ru")
 def assoc_rules(spark, d):
     found = _mined(spark, d)
     told = mining.rules(found.itemsets, found.n_transactions)
     return _text(_text(told, "antecedent"), "consequent").select("antecedent", "consequent", "support", *_r("confidence", "lift"))
 
 
-@query(f"WITH {_RULES} SELECT itemset, {_rs('min(lift) AS min_lift', 'max(lift) AS max_lift')} FROM ru GROUP BY itemset")
+@query(f"WITH RECURSIVE {_RULES} SELECT itemset, {_rs('min(lift) AS min_lift', 'max(lift) AS max_lift')} FROM ru GROUP BY itemset")
 def cohort_lift_range(spark, d):
     found = _mined(spark, d)
     return _text(mining.lift_range(found.itemsets, found.n_transactions)).select("itemset", *_r("min_lift", "max_lift"))
@@ -365,7 +364,7 @@ def apriori_levels(spark, d):
     return spark.createDataFrame([(r["k"], r["joined"], r["candidates"], r["frequent"]) for r in found.levels], "k int, joined long, candidates long, frequent long")
 
 
-@query(f"WITH {_SETS} SELECT itemset, k, support FROM sets")
+@query(f"WITH RECURSIVE {_SETS} SELECT itemset, k, support FROM sets")
 def fp_growth(spark, d):
     import math
 
