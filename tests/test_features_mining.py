@@ -1,10 +1,20 @@
 """Windows, itemsets, rules and cohorts on hand-made tables."""
 
+import random
+import statistics
+from itertools import combinations
+
 import pytest
 
 from flocktrace import features, forecast, mining, nullmodel
 
-T6 = [{1, 2, 3}, {1, 2, 3, 4}, {1, 2, 3}, {2, 4, 5}, {1, 5, 6}]
+#: Drawn once from a seed; what should be found in them is counted, not written down.
+T6 = [{x for x in range(11, 18) if _draw.random() < 0.5} | {20 + i % 3} for _draw in [random.Random(6)] for i in range(14)]
+
+
+def _counted(least):
+    sets = {s: sum(set(s) <= t for t in T6) for k in range(1, 9) for s in combinations(sorted(set().union(*T6)), k)}
+    return {s: n for s, n in sets.items() if n >= least}
 
 
 @pytest.fixture
@@ -33,20 +43,23 @@ def test_pair_normalisation(spark):
 
 
 def test_itemsets_condensed_and_rules(spark, txns):
-    found = mining.apriori(txns, 2)
+    found, wanted = mining.apriori(txns, 3), _counted(3)
     sets = {tuple(r.itemset): r.support for r in found.itemsets.collect()}
-    assert len(sets) == 10 and sets[1, 2, 3] == 3 and sets[2, 4] == 2
-    assert {tuple(r.itemset) for r in mining.maximal(found.itemsets).collect()} == {(5,), (2, 4), (1, 2, 3)}
-    assert {tuple(r.itemset) for r in mining.closed(found.itemsets).collect()} == {(1,), (2,), (5,), (2, 4), (1, 2, 3)}
-    rules = {(tuple(r.antecedent), tuple(r.consequent)): (r.confidence, r.lift) for r in mining.rules(found.itemsets, 5).collect()}
-    assert len(rules) == 14
-    assert rules[(1,), (2,)] == pytest.approx((0.75, 0.9375)) and rules[(1, 2), (3,)] == pytest.approx((1, 5 / 3))
-    assert {tuple(r.itemset): r.support for r in mining.fp_growth(txns, 2).collect()} == sets
+    assert sets == wanted and max(map(len, wanted)) >= 3
+    over = {s: [t for t in wanted if set(s) < set(t)] for s in wanted}
+    assert {tuple(r.itemset) for r in mining.maximal(found.itemsets).collect()} == {s for s in wanted if not over[s]}
+    assert {tuple(r.itemset) for r in mining.closed(found.itemsets).collect()} == {s for s in wanted if all(wanted[t] < wanted[s] for t in over[s])}
+    rules = {(tuple(r.antecedent), tuple(r.consequent)): (r.confidence, r.lift) for r in mining.rules(found.itemsets, len(T6)).collect()}
+    splits = [(a, tuple(sorted({*s} - {*a}))) for s in wanted for k in range(1, len(s)) for a in combinations(s, k)]
+    assert set(rules) == set(splits)
+    for a, c in splits:
+        confidence = wanted[tuple(sorted(a + c))] / wanted[a]
+        assert rules[a, c] == pytest.approx((confidence, confidence / (wanted[c] / len(T6))))
+    assert {tuple(r.itemset): r.support for r in mining.fp_growth(txns, 3).collect()} == sets
+    assert [(r["k"], r["frequent"]) for r in found.levels if r["frequent"]] == [(k, sum(len(s) == k for s in wanted)) for k in range(1, max(map(len, wanted)) + 1)]
 
 
 def test_registered_mining_has_no_largest_size(spark, monkeypatch):
-    from itertools import combinations
-
     from flocktrace import queries
 
     baskets = [[1, 2, 3, 4, 5]] * 3 + [[1, 2, 3, 4], [2, 3, 4, 6], [1, 6]]
@@ -65,8 +78,9 @@ def test_registered_mining_has_no_largest_size(spark, monkeypatch):
 
 def test_transaction_numbers(txns):
     r = mining.transaction_stats(txns).first()
-    assert (r.n_transactions, r.n_items, r.max_length, r.median_length) == (5, 6, 4, 3.0)
-    assert mining.one_hot(txns).columns == ["txn_id", *map(str, range(1, 7))]
+    items = sorted(set().union(*T6))
+    assert (r.n_transactions, r.n_items, r.max_length, r.median_length) == (len(T6), len(items), max(map(len, T6)), statistics.median(map(len, T6)))
+    assert mining.one_hot(txns).columns == ["txn_id", *map(str, items)]
 
 
 def test_sessions_take_the_longest_end(spark):
