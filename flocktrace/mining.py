@@ -63,11 +63,12 @@ def candidates(level: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 @dataclass
 class Mined:
-    """All frequent itemsets with their supports, and one row for each level that was tried."""
+    """All frequent itemsets with their supports, one row for each level that was tried, and the itemsets' transactions."""
 
     itemsets: DataFrame
     levels: list[dict[str, int]]
     n_transactions: int
+    lists: DataFrame
 
 
 def apriori(txns: DataFrame, min_support: int, max_size: int | None = None) -> Mined:
@@ -82,7 +83,7 @@ def apriori(txns: DataFrame, min_support: int, max_size: int | None = None) -> M
     level = staged(counted.where(F.col("support") >= min_support).select(F.array("item").alias("itemset"), F.lit(1).alias("k"), "support"), "level")
     levels = [{"k": 1, "joined": n_items, "candidates": n_items, "frequent": level.count()}]
     lists = staged(each.select(F.array("item").alias("itemset"), "txn_id").join(level.select("itemset"), "itemset", "left_semi"), "lists")
-    found, k = level, 1
+    found, every, k = level, lists, 1
     while levels[-1]["frequent"] and (max_size is None or k < max_size):
         k += 1
         joined, kept = candidates(level.select("itemset"))
@@ -94,11 +95,11 @@ def apriori(txns: DataFrame, min_support: int, max_size: int | None = None) -> M
         levels.append({"k": k, "joined": joined.count(), "candidates": kept.count(), "frequent": level.count()})
         if levels[-1]["frequent"]:
             found = found.unionByName(level)
-            if max_size is None or k < max_size:
-                lists = staged(covered.join(level.select("itemset"), "itemset", "left_semi"), "lists")
+            lists = staged(covered.join(level.select("itemset"), "itemset", "left_semi"), "lists")
+            every = every.unionByName(lists)
         if not levels[-1]["joined"]:
             break
-    return Mined(found, levels, txns.count())
+    return Mined(found, levels, txns.count(), every)
 
 
 def fp_growth(txns: DataFrame, min_support: int) -> DataFrame:
@@ -179,12 +180,15 @@ def sessions(rows: DataFrame, keys: list[str], max_gap: int = 3600, slot: int =
 
 
 def cohort_report(episodes: DataFrame, mined: Mined, min_support: int, slot: int = 300, half_day: int = 14, max_gap: int = 3600, large: float = 0.95) -> DataFrame:
-    """Closed itemsets of two or more with when, how often and in what company they meet."""
+    """Closed itemsets of two or more with when, how often and in what company they meet.
+
+    mined comes from these episodes' transactions: its lists tell where each itemset meets, so nothing is searched again.
+    """
     from .prepare import day_parts
 
     cohorts = closed(mined.itemsets).where("k > 1").select(F.array_join(F.col("itemset").cast("array<string>"), " ").alias("members"), "itemset", "support", F.col("k").cast("long").alias("size"))
     cohorts = staged(cohorts, "cohorts")
-    matched = containing(transactions(episodes), cohorts, "members", "itemset")
+    matched = mined.lists.join(cohorts.select("itemset", "members"), "itemset").select("members", "txn_id")
     cut = episodes.agg(F.expr(f"percentile(size(participant_set), {large})").alias("large_cut"))  # one row
     told = day_parts(episodes.withColumn("n", F.size("participant_set"))).join(F.broadcast(cut))
     each = staged(matched.join(told.withColumnRenamed("episode_id", "txn_id"), "txn_id"), "matched")

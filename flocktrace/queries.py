@@ -51,14 +51,14 @@ _LINKS = f"""{_GATH}, links AS MATERIALIZED (SELECT a.gathering_id AS i, b.gathe
 ok AS MATERIALIZED (SELECT * FROM links WHERE jac >= {THETA})"""
 
 
-def _rounds(n: int) -> str:
-    out, left = [], "ok"
-    for r in range(1, n + 1):
+def _rounds(n: int, tag: str = "") -> str:
+    out, left = [], f"ok{tag}"
+    for r in (f"{i}{tag}" for i in range(1, n + 1)):
         out.append(f"r{r} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY i ORDER BY gap, jac DESC, i, j) AS ri, row_number() OVER (PARTITION BY j ORDER BY gap, jac DESC, i, j) AS rj FROM {left})")
         out.append(f"a{r} AS MATERIALIZED (SELECT i, j FROM r{r} WHERE ri = 1 AND rj = 1)")
         out.append(f"l{r} AS MATERIALIZED (SELECT i, j, gap, jac FROM r{r} WHERE i NOT IN (SELECT i FROM a{r}) AND j NOT IN (SELECT j FROM a{r}))")
         left = f"l{r}"
-    return ", ".join(out) + ", acc AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM a{r}" for r in range(1, n + 1)) + ")"
+    return ", ".join(out) + f", acc{tag} AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM a{i}{tag}" for i in range(1, n + 1)) + ")"
 
 
 _EPIS = f"""{_LINKS}, {_rounds(6)},
@@ -67,12 +67,23 @@ ep AS MATERIALIZED (SELECT row_number() OVER (ORDER BY root) - 1 AS episode_id,
   max(slot_id) - min(slot_id) + 1 AS n_slots, max(slot_id) - min(slot_id) + 1 - count(*) AS n_gap_slots, list_sort(list_distinct(flatten(list(ps)))) AS ps, quantile_cont(CAST(n AS DOUBLE), 0.5) AS median_size, quantile_cont(median_rssi, 0.5) AS median_rssi,
   arg_min(ps, step) AS ps0, arg_max(ps, step) AS ps1, list(gathering_id ORDER BY step) AS gids
   FROM chain JOIN gath ON gathering_id = pos GROUP BY root)"""
+_DRIFT = """count(*) AS n_episodes, round(100.0 * avg(CAST(n_slots = 1 AS INTEGER)), 2) AS one_slot_pct, quantile_cont(CAST(n_slots AS DOUBLE), 0.5) AS median_slots, quantile_cont(CAST(n_slots AS DOUBLE), 0.95) AS p95_slots, max(n_slots) AS max_slots, CAST(sum(n_slots - n_rows) AS BIGINT) AS gap_slots,
+  count(*) FILTER (n_slots >= 5) AS n_long, round(100.0 * count(*) FILTER (n_slots >= 5 AND jac_ends < 0.5) / nullif(count(*) FILTER (n_slots >= 5), 0), 2) AS drift_pct"""
+
+
+def _ends(tag: str, theta: float, gap: int) -> str:
+    """Links, chains and the similarity of their ends under one pair of settings, out of the loosest links."""
+    return f"""ok{tag} AS MATERIALIZED (SELECT * FROM links WHERE jac >= {theta} AND gap <= {gap}), {_rounds(6, tag)},
+chain{tag}(root, pos, step) AS (SELECT gathering_id, gathering_id, 0 FROM gath WHERE gathering_id NOT IN (SELECT j FROM acc{tag}) UNION ALL SELECT root, a.j, step + 1 FROM chain{tag} c JOIN acc{tag} a ON a.i = c.pos),
+ends{tag} AS (SELECT *, len(list_intersect(a, b)) / CAST(len(a) + len(b) - len(list_intersect(a, b)) AS DOUBLE) AS jac_ends FROM (SELECT max(slot_id) - min(slot_id) + 1 AS n_slots, count(*) AS n_rows, arg_min(ps, step) AS a, arg_max(ps, step) AS b FROM chain{tag} JOIN gath ON gathering_id = pos GROUP BY root))"""
+
+
 _CALLS = f"""{_EV}, calls AS (SELECT * FROM (SELECT t AS "timestamp", user_id AS caller, lead(user_id) OVER (ORDER BY t, event_id) AS callee, CAST(CASE WHEN k < 10 THEN -1 ELSE floor(value) END AS BIGINT) AS duration FROM ev WHERE event_type = 'purchase') WHERE callee IS NOT NULL)"""
 _FRIENDS = f"""{_EV}, friends AS (SELECT * FROM (SELECT event_id AS row_pos, user_id AS user_a, lead(user_id) OVER (ORDER BY t, event_id) AS user_b FROM ev WHERE event_type = 'signup') WHERE user_b IS NOT NULL)"""
 _BASK = "it AS MATERIALIZED (SELECT DISTINCT l_orderkey AS txn_id, CAST(regexp_extract(p_brand, '(\\d+)', 1) AS BIGINT) AS item FROM lineitem JOIN part ON l_partkey = p_partkey), nt AS (SELECT count(DISTINCT txn_id) AS n FROM it), ms AS (SELECT CAST(ceil(0.0033 * n) AS BIGINT) AS s FROM nt)"
 _SETS = f"""{_BASK}, tx AS MATERIALIZED (SELECT item, list(txn_id) AS t FROM it GROUP BY item HAVING count(*) >= (SELECT s FROM ms)),
 grow(items, t, k) AS (SELECT [item], t, 1 FROM tx UNION ALL SELECT list_append(g.items, x.item), list_intersect(g.t, x.t), g.k + 1 FROM grow g JOIN tx x ON x.item > g.items[g.k] WHERE len(list_intersect(g.t, x.t)) >= (SELECT s FROM ms)),
-sets AS MATERIALIZED (SELECT array_to_string(items, ' ') AS itemset, items, k, CAST(len(t) AS BIGINT) AS support FROM grow)"""
+sets AS MATERIALIZED (SELECT array_to_string(items, ' ') AS itemset, items, k, t, CAST(len(t) AS BIGINT) AS support FROM grow)"""
 _BEPS = f"{_BASK}, be AS MATERIALIZED (SELECT txn_id AS episode_id, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS start_time, items, len(items) AS n FROM (SELECT txn_id, list_sort(list(item)) AS items FROM it GROUP BY ALL) JOIN orders ON o_orderkey = txn_id)"
 _BRANDS_COH = "coh AS (SELECT cohort_id, list(item) AS members FROM (SELECT row_number() OVER (ORDER BY item) AS r, item FROM (SELECT DISTINCT item FROM it)) JOIN (VALUES (1, 1), (1, 2), (2, 3), (2, 9), (2, 17), (3, 5), (4, 1), (4, 10), (4, 20)) v(cohort_id, r) USING (r) GROUP BY ALL)"
 _MEET = f"{_BEPS}, {_BRANDS_COH}, met AS MATERIALIZED (SELECT cohort_id, start_time FROM coh JOIN be ON list_has_all(items, members))"
@@ -267,14 +278,23 @@ def gap_silence(spark, d):
     return episodes.gap_silence(rows, accepted, episodes.presence(_contacts(spark, d)))
 
 
-@query()
+_THETAS, _GAP_LENGTHS, _THRESHOLDS = [0.1, 0.2], [0, 1], [-80, -90]
+_GRID = [(f"_{i}_{g}", t, g) for i, t in enumerate(_THETAS) for g in _GAP_LENGTHS]
+
+
+@query(f"WITH RECURSIVE {_LINKS}, {', '.join(_ends(*g) for g in _GRID)} " + " UNION ALL ".join(f"SELECT CAST({t} AS DOUBLE) AS theta, CAST({g} AS BIGINT) AS max_gap, {_DRIFT} FROM ends{tag}" for tag, t, g in _GRID))
 def theta_gap_grid(spark, d):
-    return episodes.theta_gap_grid(staged(_gatherings(spark, d), "gatherings"), [0.1, 0.2], [0, 1])
+    return episodes.theta_gap_grid(staged(_gatherings(spark, d), "gatherings"), _THETAS, _GAP_LENGTHS)
 
 
-@query()
+def _sensitivity(rssi: int) -> str:
+    chained = f"{_LINKS}, {_ends('_s', THETA, GAP)}".replace(f"rssi >= {RSSI}", f"rssi >= {rssi}")
+    return f"""SELECT * FROM (WITH RECURSIVE {chained} SELECT CAST({rssi} AS BIGINT) AS rssi_threshold, (SELECT count(*) FROM ct) AS contacts, (SELECT count(*) FROM gath) AS gatherings, (SELECT quantile_cont(CAST(n AS DOUBLE), 0.5) FROM gath) AS median_size, * FROM (SELECT n_episodes, one_slot_pct, n_long, drift_pct FROM (SELECT {_DRIFT} FROM ends_s)))"""
+
+
+@query(" UNION ALL ".join(_sensitivity(t) for t in _THRESHOLDS))
 def rssi_sensitivity(spark, d):
-    return episodes.rssi_sensitivity(staged(_classified(spark, d), "classified"), [-80, -90], LEAST, THETA, GAP, SLOT, "row_pos")
+    return episodes.rssi_sensitivity(staged(_classified(spark, d), "classified"), _THRESHOLDS, LEAST, THETA, GAP, SLOT, "row_pos")
 
 
 # features ----------------------------------------------------------------------------------------------------------
@@ -304,11 +324,35 @@ def comm_window(spark, d):
     return features.communication_before(_groups(spark, d), features.prepare_events(completed, "caller", "callee"), "calls", DAY)
 
 
-@query()
+def _before(name: str, ids: str) -> str:
+    return f"""{name}_h AS (SELECT episode_id, count(*) AS n, count(DISTINCT (u, v)) AS p FROM ep JOIN (SELECT "timestamp", least({ids}) AS u, greatest({ids}) AS v FROM {name}) e ON "timestamp" >= greatest(start_time - {DAY}, 0) AND "timestamp" < start_time AND u <> v AND list_contains(ps, u) AND list_contains(ps, v) GROUP BY 1)"""
+
+
+def _before_columns(kinds: list[str]) -> str:
+    return ", ".join(f"coalesce({k}_h.n, 0) AS {k}_events_pre, coalesce({k}_h.p, 0) AS {k}_active_pairs_pre, round(ln(1 + coalesce({k}_h.n, 0)), 6) AS log_{k}_events_pre" for k in kinds)
+
+
+def _per_pair(kinds: list[str]) -> str:
+    rate = lambda k: f"coalesce({k}_h.n, 0) / (m * (m - 1) / 2.0)"
+    return ", ".join(f"round({rate(k)}, 6) AS {k}_events_per_pair_pre, round(ln(1 + {rate(k)}), 6) AS log_{k}_events_per_pair_pre" for k in kinds)
+
+
+_KINDS = ["calls", "missed_calls", "sms"]
+
+
+@query(f"""WITH RECURSIVE {_EPIS}, log AS (SELECT t AS "timestamp", user_id AS a, lead(user_id) OVER (PARTITION BY event_type ORDER BY t, event_id) AS b, event_type, event_id, CASE WHEN k < 10 THEN -1 ELSE floor(value) END AS duration FROM ev WHERE event_type IN ('purchase', 'view', 'signup')),
+calls AS (SELECT "timestamp", a, b FROM log WHERE event_type = 'purchase' AND b IS NOT NULL AND duration >= 0), missed_calls AS (SELECT "timestamp", a, b FROM log WHERE event_type = 'purchase' AND b IS NOT NULL AND duration = -1), sms AS (SELECT "timestamp", a, b FROM log WHERE event_type = 'view' AND b IS NOT NULL),
+{', '.join(_before(k, 'a, b') for k in _KINDS)}, pr AS (SELECT DISTINCT least(a, b) AS u, greatest(a, b) AS v FROM log WHERE event_type = 'signup' AND b IS NOT NULL AND a <> b),
+fb AS (SELECT episode_id, count(*) AS n FROM (SELECT episode_id, ps, unnest(ps) AS u FROM ep) g JOIN pr ON pr.u = g.u AND list_contains(ps, pr.v) GROUP BY 1), em AS (SELECT *, CAST(len(ps) AS BIGINT) AS m FROM ep)
+SELECT episode_id, first_slot, last_slot, start_time, end_time, n_slots, n_gap_slots, m AS n_unique_participants, n_slots - n_gap_slots AS n_observed_slots, relative_day_index, start_hour, {_rs('median_size AS median_size', 'median_rssi AS median_rssi', 'night_share AS night_share', f'n_slots * {SLOT} / 60.0 AS span_minutes', f'(n_slots - n_gap_slots) * {SLOT} / 60.0 AS observed_minutes', 'n_gap_slots / CAST(n_slots AS DOUBLE) AS gap_fraction', 'm / median_size AS membership_expansion_ratio', 'ln(1 + median_size) AS log_median_size', f'ln(1 + n_slots * {SLOT} / 60.0) AS log_span_minutes', 'coalesce(fb.n, 0) / (m * (m - 1) / 2.0) AS internal_fb_density', f'least(greatest(start_time, 0), {DAY}) / 3600.0 AS prehistory_available_hours')},
+coalesce(fb.n, 0) AS internal_fb_edges, CAST(m * (m - 1) / 2 AS BIGINT) AS n_possible_member_pairs, {_before_columns(_KINDS)}, {_per_pair(['calls', 'sms'])}, start_time >= {DAY} AS has_full_communication_window,
+'episodes_v1' AS input_version, 'social_communication_v1' AS feature_version, {RSSI} AS rssi_threshold, {LEAST} AS min_gathering_size, CAST({THETA} AS DOUBLE) AS episode_jaccard_threshold, {GAP} AS episode_max_gap_slots, 24 AS communication_lookback_hours
+FROM (SELECT *, CAST(floor(start_time / {DAY}.0) AS BIGINT) AS relative_day_index, CAST(CAST(floor(first_slot * {SLOT} / 3600.0) AS BIGINT) % 24 AS INTEGER) AS start_hour, len(list_filter(range(first_slot, last_slot + 1), lambda s: (s * {SLOT} // 3600) % 24 < 7)) / CAST(n_slots AS DOUBLE) AS night_share FROM em) LEFT JOIN fb USING (episode_id) {' '.join(f'LEFT JOIN {k}_h USING (episode_id)' for k in _KINDS)}""")
 def episode_features(spark, d):
     params = {"rssi_threshold": RSSI, "min_gathering_size": LEAST, "jaccard_threshold": THETA, "max_gap_slots": GAP, "communication_lookback_hours": 24}
     found = features.assemble(staged(_episodes(spark, d), "episodes"), sources.friends(spark, d), sources.calls(spark, d), sources.sms(spark, d), params, SLOT)
-    return found.drop("participant_set", "gathering_ids")
+    found = found.drop("participant_set", "gathering_ids")
+    return found.select(*(F.round(c, 6).alias(c) if t == "double" or t.startswith("decimal") else F.col(c) for c, t in found.dtypes))
 
 
 @query(f"""WITH RECURSIVE {_EPIS} SELECT episode_id, CAST(len(ps) AS BIGINT) AS n_unique_participants, n_slots - n_gap_slots AS n_observed_slots,
@@ -358,7 +402,10 @@ def cohort_lift_range(spark, d):
     return _text(mining.lift_range(found.itemsets, found.n_transactions)).select("itemset", *_r("min_lift", "max_lift"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SETS}, j AS MATERIALIZED (SELECT a.k + 1 AS k, list_append(a.items, b.items[b.k]) AS items FROM sets a JOIN sets b ON a.k = b.k AND a.items[1:a.k - 1] = b.items[1:b.k - 1] AND a.items[a.k] < b.items[b.k]),
+sub AS (SELECT k, items, unnest(range(1, k + 1)) AS place FROM j), whole AS (SELECT sub.k, sub.items FROM sub JOIN sets s ON s.items = list_concat(sub.items[1:place - 1], sub.items[place + 1:]) GROUP BY ALL HAVING count(*) = sub.k),
+lv AS (SELECT unnest(range(1, coalesce(max(k), 0) + 2)) AS k FROM sets), ni AS (SELECT count(DISTINCT item) AS n FROM it)
+SELECT CAST(k AS INTEGER) AS k, CASE WHEN k = 1 THEN (SELECT n FROM ni) ELSE (SELECT count(*) FROM j WHERE j.k = lv.k) END AS joined, CASE WHEN k = 1 THEN (SELECT n FROM ni) ELSE (SELECT count(*) FROM whole WHERE whole.k = lv.k) END AS candidates, (SELECT count(*) FROM sets WHERE sets.k = lv.k) AS frequent FROM lv""")
 def apriori_levels(spark, d):
     found = _mined(spark, d)
     return spark.createDataFrame([(r["k"], r["joined"], r["candidates"], r["frequent"]) for r in found.levels], "k int, joined long, candidates long, frequent long")
@@ -384,13 +431,29 @@ def cohort_sessions(spark, d):
     return mining.sessions(met, ["cohort_id"], 7 * DAY, 300)
 
 
-@query()
+def _top(column: str) -> str:
+    return f"(SELECT members, max(c) / CAST(sum(c) AS DOUBLE) AS {column} FROM (SELECT members, {column}, count(*) AS c FROM ea GROUP BY ALL) GROUP BY 1)"
+
+
+_SHARES = ["night_episode_share", "night_share_mean", "mean_episode_students", "large_episode_share", "min_lift", "max_lift", "top_weekday_share", "top_hour_share"]
+
+
+@query(f"""WITH RECURSIVE {_RULES}, eps AS MATERIALIZED (SELECT o_orderkey AS txn_id, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS start_time, n, CAST(o_orderkey % 24 AS INTEGER) AS top_hour_share, (o_orderkey % 4) / 3.0 AS night_share, CAST(floor(epoch(o_orderdate) / {DAY}.0) AS BIGINT) AS day FROM orders JOIN (SELECT txn_id, count(*) AS n FROM it GROUP BY 1) ON txn_id = o_orderkey),
+cut AS (SELECT quantile_cont(CAST(n AS DOUBLE), 0.95) AS c FROM eps), clo AS MATERIALIZED (SELECT * FROM sets s WHERE k > 1 AND NOT EXISTS (SELECT 1 FROM sets x WHERE x.k = s.k + 1 AND x.support = s.support AND list_has_all(x.items, s.items))),
+ea AS MATERIALIZED (SELECT members, eps.*, n >= c AS large, day % 7 AS top_weekday_share, max(start_time + 300) OVER (PARTITION BY members ORDER BY start_time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended FROM (SELECT itemset AS members, unnest(t) AS txn_id FROM clo) JOIN eps USING (txn_id), cut),
+mn AS (SELECT members, count(DISTINCT day) AS days_seen, count(DISTINCT CAST(floor(day / 7.0) AS BIGINT)) AS weeks_seen, count(*) FILTER (day < {HALF}) AS support_first_half, count(*) FILTER (day >= {HALF}) AS support_second_half, avg(CAST(night_share >= 0.5 AS INTEGER)) AS night_episode_share, avg(night_share) AS night_share_mean, avg(n) AS mean_episode_students,
+  avg(CAST(large AS INTEGER)) AS large_episode_share, count(*) FILTER (NOT large) AS support_without_large, CAST(sum(CASE WHEN ended IS NULL OR start_time - ended > 3600 THEN 1 ELSE 0 END) AS BIGINT) AS sessions_1h FROM ea GROUP BY 1)
+SELECT members, support, CAST(k AS BIGINT) AS size, days_seen, weeks_seen, support_first_half, support_second_half, support_without_large, sessions_1h, {_rs(*(f'{c} AS {c}' for c in _SHARES))}, support_without_large >= 10 AS survives_without_large
+FROM clo JOIN mn ON members = itemset JOIN (SELECT itemset, min(lift) AS min_lift, max(lift) AS max_lift FROM ru GROUP BY 1) USING (itemset) JOIN {_top('top_weekday_share')} USING (members) JOIN {_top('top_hour_share')} USING (members)""")
 def cohort_report(spark, d):
     found = _mined(spark, d)
-    return mining.cohort_report(staged(sources.basket_episodes(spark, d), "episodes"), found, 10, half_day=HALF)
+    told = mining.cohort_report(staged(sources.basket_episodes(spark, d), "episodes"), found, 10, half_day=HALF)
+    return told.select(*(c for c in told.columns if c not in _SHARES), *_r(*_SHARES))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SETS}, lv AS (SELECT unnest([greatest(1, n // 100), 2 * greatest(1, n // 100)]) AS least FROM nt), kept AS (SELECT least, s.* FROM lv JOIN sets s ON support >= least),
+marked AS (SELECT least, k, EXISTS (SELECT 1 FROM sets x WHERE x.k = a.k + 1 AND x.support = a.support AND list_has_all(x.items, a.items)) AS extended, EXISTS (SELECT 1 FROM sets x WHERE x.k = a.k + 1 AND x.support >= a.least AND list_has_all(x.items, a.items)) AS within FROM kept a)
+SELECT CAST(lv.least AS BIGINT) AS min_support, count(*) FILTER (k = 1) AS singles, count(*) FILTER (k > 1) AS larger, CAST(coalesce(max(k), 0) AS BIGINT) AS longest, count(k) FILTER (NOT extended) AS closed, count(k) FILTER (NOT within) AS maximal FROM lv LEFT JOIN marked m ON m.least = lv.least GROUP BY lv.least""")
 def itemset_curve(spark, d):
     found = _mined(spark, d)
     low = found.levels and max(1, found.n_transactions // 100)
@@ -620,10 +683,10 @@ def degree(spark, d):
     return quality.degrees(sources.friends(spark, d))
 
 
-@query(f"WITH {_FRIENDS} SELECT DISTINCT user_id FROM ev WHERE event_type = 'view' AND user_id NOT IN (SELECT user_a FROM friends)")
+@query("SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def id_coverage_gap(spark, d):
-    have = sources.friends(spark, d).select(F.col("user_a").alias("user_id"))
-    return quality.id_gap(have, [sources.events(spark, d).where("event_type = 'view'").select("user_id")], "user_id")
+    ids = lambda table: spark.read.parquet(f"{d}/{table}.parquet").select("doc_id")
+    return quality.id_gap(ids("labels"), [ids("documents"), ids("labels")], "doc_id")
 
 
 @query(f"WITH {_EV}, g AS (SELECT DISTINCT user_id, CAST(user_id % 5 = 0 AS INTEGER) AS is_female FROM ev), f AS (SELECT * FROM (SELECT event_id AS row_pos, user_id AS user_a, lead(user_id) OVER (ORDER BY t, event_id) AS user_b FROM ev WHERE event_type = 'signup') WHERE user_b IS NOT NULL) SELECT row_pos, a.is_female AS a_is_female, b.is_female AS b_is_female FROM f LEFT JOIN g a ON a.user_id = user_a LEFT JOIN g b ON b.user_id = user_b")
