@@ -270,3 +270,22 @@ def rank_cut(scored: DataFrame, share: float) -> DataFrame:
     return scored.join(F.broadcast(total)).where(F.col("rank") <= F.col("_n")).drop("_n")
 
 
+
+
+#: The features of episodes that the run looks at.
+EPISODE_FEATURES = ["n_slots", "median_size", "median_rssi", "n_gap_slots", "night_share"]
+
+
+def run(episodes: DataFrame, folder: str, contamination: float = 0.05, seed: int = 42) -> dict[str, DataFrame]:
+    """Scores episodes by an isolation forest, compares four detectors and writes all; the tables as they were written.
+
+    all, normal and anomalous are parquet tables, comparison a CSV file.
+    """
+    from .sources import write_csv, write_split
+
+    spark = episodes.sparkSession
+    scored = staged(isolation_forest(episodes, "episode_id", EPISODE_FEATURES, contamination=contamination, seed=seed), "scored")
+    compared = compare_methods(episodes, "episode_id", EPISODE_FEATURES, contamination, seed)
+    out = {name: spark.read.parquet(path) for name, path in write_split(scored, folder).items()}
+    path = write_csv(compared, f"{folder.rstrip('/')}/comparison")
+    return out | {"comparison": spark.read.csv(path, header=True, schema=compared.schema)}

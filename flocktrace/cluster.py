@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-from itertools import combinations
+from itertools import accumulate, combinations
 from pathlib import Path
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import metrics
@@ -139,3 +139,13 @@ def save_bundle(bundle: dict, path: str | Path) -> None:
 
 def load_bundle(path: str | Path) -> dict:
     return json.loads(Path(path).read_text())
+
+
+def stability_summary(pairs: DataFrame, *keys: str) -> DataFrame:
+    """Mean, sample deviation, least and greatest agreement of the pairs of seeds, by keys if there are any."""
+    return pairs.groupBy(*keys).agg(F.avg("ari").alias("mean_ari"), F.stddev_samp("ari").alias("std_ari"), F.min("ari").alias("min_ari"), F.max("ari").alias("max_ari"))
+
+
+def explained(spark: SparkSession, shares: list[float]) -> DataFrame:
+    """component, its share of the variance, and the share of all components up to it."""
+    return spark.createDataFrame(list(zip(range(1, len(shares) + 1), shares, accumulate(shares), strict=True)), "component long, explained_variance_ratio double, cumulative_variance double")

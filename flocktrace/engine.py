@@ -6,6 +6,9 @@ import json
 import shutil
 import time
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import wait as wait_for
 from dataclasses import dataclass
 from pathlib import Path
 from typing import Any
@@ -31,9 +34,12 @@ class Engine:
     """Analyses over one set of inputs: classified scans, friends, calls and SMS.
 
     position: a column of scans that numbers their rows; see graph.gatherings.
+    store: a folder where tables are kept by a key of their parameters and of `inputs`, which tells the inputs apart; a
+    later engine over the same inputs reads them.  Without it tables last as long as the engine.
     """
 
-    def __init__(self, scans: DataFrame, friends: DataFrame, calls: DataFrame, sms: DataFrame, settings: dict[str, Any] | None = None, least_support: int = 200, position: str | None = None):
+    def __init__(self, scans: DataFrame, friends: DataFrame, calls: DataFrame, sms: DataFrame, settings: dict[str, Any] | None = None, least_support: int = 200, position: str | None = None, store: str | None = None, inputs: Any = None):
+        self.store, self.inputs = store and store.rstrip("/"), inputs
         self.scans, self.friends, self.calls, self.sms = scans, friends, calls, sms
         self.settings = settings or dict(config.DEFAULTS)
         self.least_support, self.position = least_support, position
@@ -53,13 +59,23 @@ class Engine:
         out: dict[str, DataFrame] = {}
         hit = True
         for name, fields in steps:
-            key = config.cache_key(name, slot, {f: p[f] for f in fields})
+            key = config.cache_key(name, slot, {f: p[f] for f in fields}, self.inputs)
             if key not in self._kept:
-                self._kept[key] = staged(make[name](out), name)
-                hit = False
+                self._kept[key], known = self._table(f"{name}-{key}", lambda n=name: make[n](out))
+                hit = hit and known
             out[name] = self._kept[key]
         return out, hit
 
+    def _table(self, name: str, make: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:
+        """A table and whether the store had it whole; one that a lost run left unfinished is written again."""
+        if not self.store:
+            return staged(make(), name.split("-")[0]), False
+        spark, path = self.scans.sparkSession, f"{self.store}/{name}"
+        known = sources.there(spark, f"{path}/_SUCCESS")
+        if not known:
+            make().write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path), known
+
     def run(self, analysis: str, params: dict[str, Any] | None = None) -> Result:
         values = config.validate(analysis, params or {}, self.settings, self.least_support)
         tables, hit = self.lineage({k: v for k, v in values.items() if k in self.settings})
@@ -90,21 +106,26 @@ class Engine:
 
     def _associations(self, t: dict[str, DataFrame], p: dict[str, Any]) -> dict[str, DataFrame]:
         found = self._mined(t, p)
-        return {"itemsets": found.itemsets, "rules": mining.rule_report(found.itemsets, found.n_transactions)}
+        return {"itemsets": found.itemsets, "rules": mining.ordered_rules(found.itemsets, found.n_transactions)}
 
     def _cohorts(self, t: dict[str, DataFrame], p: dict[str, Any]) -> dict[str, DataFrame]:
         found = self._mined(t, p)
         told = mining.cohort_report(t["episodes"], found, p["min_support"], self.settings["slot_duration_sec"], max_gap=self.settings["session_gap_sec"], large=self.settings["large_quantile"])
-        return {"itemsets": found.itemsets, "cohorts": told.drop("members")}
+        return {"itemsets": found.itemsets, "cohorts": mining.ordered_cohorts(told, by_size=True).drop("members")}
 
 
 class Jobs:
-    """Runs analyses into folders of their own, with a record of each; a run with the same content is taken from an earlier one."""
+    """Runs analyses into folders of their own, with a record of each; a run with the same content is taken from an earlier one.
+
+    Runs that are not waited for are queued and run one after another in a thread.
+    """
 
     def __init__(self, engine: Engine, root: str | Path, version: str = "1", inputs: Any = None, most_active: int = 8):
         self.engine, self.root, self.version, self.inputs, self.most_active = engine, Path(root), version, inputs, most_active
+        self._pool, self._queued = ThreadPoolExecutor(max_workers=1), {}
 
-    def submit(self, analysis: str, params: dict[str, Any] | None = None) -> str:
+    def submit(self, analysis: str, params: dict[str, Any] | None = None, wait: bool = True) -> str:
+        """The id of a new run; ValueError for wrong parameters, RuntimeError if too many runs are active."""
         values = config.validate(analysis, params or {}, self.engine.settings, self.engine.least_support)
         if sum(r["state"] in ("queued", "running") for r in self.list()) >= self.most_active:
             raise RuntimeError("too many active runs")
@@ -112,7 +133,18 @@ class Jobs:
         run = uuid.uuid4().hex
         folder = self.root / run
         folder.mkdir(parents=True)
-        record = {"id": run, "analysis": analysis, "parameters": values, "key": key, "state": "running", "created": time.time()}
+        record = {"id": run, "analysis": analysis, "parameters": values, "key": key, "state": "queued", "created": time.time()}
+        self._save(record)
+        if wait:
+            self._perform(record)
+        else:
+            self._queued[run] = self._pool.submit(self._perform, record)
+        return run
+
+    def _perform(self, record: dict[str, Any]) -> None:
+        run, analysis, values, key = (record[f] for f in ("id", "analysis", "parameters", "key"))
+        folder = self.root / run
+        record["state"] = "running"
         self._save(record)
         try:
             earlier = next((r for r in self.list() if r["key"] == key and r["state"] == "done"), None)
@@ -131,10 +163,27 @@ class Jobs:
             raise
         finally:
             self._save(record)
-        return run
+
+    def finished(self, run: str, timeout: float | None = None) -> dict[str, Any]:
+        """Waits for a queued run, whatever comes of it, and gives its record."""
+        if run in self._queued:
+            wait_for([self._queued[run]], timeout)
+        return self.get(run)
+
+    def cancel(self, run: str) -> dict[str, Any]:
+        """Takes a run out of the queue; ValueError if it runs or ran already."""
+        record, queued = self.get(run), self._queued.get(run)
+        if record["state"] != "queued" or queued is None or not queued.cancel():
+            raise ValueError("only queued runs can be cancelled")
+        record["state"] = "cancelled"
+        self._save(record)
+        return record
 
     def _save(self, record: dict[str, Any]) -> None:
-        (self.root / record["id"] / "metadata.json").write_text(json.dumps(record, default=str))
+        # renamed into place, so that nobody reads half a record
+        path = self.root / record["id"] / "metadata.json"
+        path.with_suffix(".new").write_text(json.dumps(record, default=str))
+        path.with_suffix(".new").replace(path)
 
     def get(self, run: str) -> dict[str, Any]:
         return json.loads((self.root / run / "metadata.json").read_text())

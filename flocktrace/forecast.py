@@ -63,3 +63,20 @@ def run(episodes: DataFrame, cohorts: DataFrame, as_of: int) -> dict[str, DataFr
 
 def most_regular(told: DataFrame, n: int = 10) -> DataFrame:
     return told.orderBy(F.col("recurrence_rate_per_day").desc(), "cohort_id").limit(n)
+
+
+def summary(tables: dict[str, DataFrame], steady: float = 1.0, drifting: float = 5.0, sure: float = 0.5) -> DataFrame:
+    """One row over the tables of run: rates, gaps, how many cohorts keep or change their frequency, and confidence."""
+    rate = F.col("recurrence_rate_per_day")
+    a = tables["recurrence"].agg(F.count("*").alias("n_cohorts"), F.avg(rate).alias("mean_rate"), F.median(rate).alias("median_rate"), F.stddev_samp(rate).alias("std_rate"), F.avg("mean_gap_days").alias("mean_gap"), F.median("median_gap_days").alias("median_gap"), F.min("min_gap_days").alias("min_gap"), F.max("max_gap_days").alias("max_gap"))
+    b = tables["stability"].agg(F.avg("chi_square").alias("mean_chi_square"), F.count_if(F.col("chi_square") < steady).alias("n_stable"), F.count_if(F.col("chi_square") > drifting).alias("n_drifting"))
+    c = tables["next_encounter"].agg(F.avg("confidence").alias("mean_confidence"), F.count_if(F.col("confidence") > sure).alias("n_confident"))
+    return a.join(F.broadcast(b)).join(F.broadcast(c))  # one row each
+
+
+def least_stable(told: DataFrame, n: int = 20) -> DataFrame:
+    return told.orderBy(F.col("chi_square").desc_nulls_last(), "cohort_id").limit(n)
+
+
+def most_confident(told: DataFrame, n: int = 20) -> DataFrame:
+    return told.orderBy(F.col("confidence").desc_nulls_last(), "cohort_id").limit(n)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import staged
+from .storage import running_totals, staged
 
 ITEMSETS = "itemset array<bigint>, k int, support bigint"
 
@@ -208,3 +208,32 @@ def cohort_report(episodes: DataFrame, mined: Mined, min_support: int, slot: int
     out = cohorts.join(main, "members").join(top("weekday", "top_weekday_share"), "members").join(top("start_hour", "top_hour_share"), "members")
     out = out.join(sessions(each, ["members"], max_gap, slot).withColumnRenamed("sessions", "sessions_1h"), "members").join(lift_range(mined.itemsets, mined.n_transactions), "itemset")
     return out.withColumn("survives_without_large", F.col("support_without_large") >= min_support).drop("itemset")
+
+
+def ordered_rules(itemsets: DataFrame, n_transactions: int) -> DataFrame:
+    """The rule report with rule_number: highest lift first, then highest support; equal ones by their items."""
+    told = rules(itemsets, n_transactions)
+    order = [F.col("lift").desc(), F.col("support").desc(), F.col("antecedent"), F.col("consequent")]
+    numbered = running_totals(told, order, {"rule_number": F.lit(1).cast("long")}, "rules")
+    return numbered.select("rule_number", "support", "confidence", "lift", F.size("antecedent").cast("long").alias("antecedent_size"), F.size("consequent").cast("long").alias("consequent_size")).orderBy("rule_number")
+
+
+def ordered_cohorts(report: DataFrame, by_size: bool = False) -> DataFrame:
+    """A cohort report with cohort_number: highest support first, then by the members' text, or by size and then members."""
+    order = [F.col("support").desc(), *([F.col("size")] if by_size else []), F.col("members")]
+    return running_totals(report, order, {"cohort_number": F.lit(1).cast("long")}, "cohorts").drop("_range").orderBy("cohort_number")
+
+
+def supports_of(itemsets: DataFrame) -> dict[tuple[int, ...], int]:
+    """Itemsets as a dictionary on the driver, for results that are known to be small."""
+    return {tuple(sorted(r["itemset"])): r["support"] for r in itemsets.select("itemset", "support").collect()}
+
+
+def counted_supports(itemsets: DataFrame, n_transactions: int, fraction: str = "support") -> DataFrame:
+    """Itemsets whose support is a share of transactions, with the number that it stands for and sorted items."""
+    return itemsets.withColumns({"itemset": F.array_sort("itemset"), "support": F.bround(F.col(fraction) * n_transactions).cast("long")})
+
+
+def rules_by_sides(told: DataFrame) -> dict[tuple[tuple[int, ...], tuple[int, ...]], tuple[float, float]]:
+    """Confidence and lift of each rule on the driver, for results that are known to be small."""
+    return {(tuple(r["antecedent"]), tuple(r["consequent"])): (r["confidence"], r["lift"]) for r in told.select("antecedent", "consequent", "confidence", "lift").collect()}

@@ -77,11 +77,29 @@ def evaluate(episodes: DataFrame, cohorts: DataFrame, n_permutations: int = 100,
     return grouped.select("cohort_id", "observed_support", "null_mean", "null_std", z.alias("z_score"), "p_value")
 
 
-def summary(results: DataFrame, alpha: float = 0.05) -> DataFrame:
-    return results.agg(F.count("*").alias("n_cohorts"), F.count_if(F.col("p_value") < alpha).alias("n_significant"), F.avg("observed_support").alias("mean_observed"), F.avg("null_mean").alias("mean_null"))
+def summary(results: DataFrame, alpha: float = 0.05, strict: float = 0.01) -> DataFrame:
+    """Cohorts, those below each level, and means; the mean z-score is infinite if one is."""
+    return results.agg(
+        F.count("*").alias("n_cohorts"),
+        F.count_if(F.col("p_value") < alpha).alias("n_significant"),
+        F.count_if(F.col("p_value") < strict).alias("n_highly_significant"),
+        F.avg("observed_support").alias("mean_observed"),
+        F.avg("null_mean").alias("mean_null"),
+        F.avg("z_score").alias("mean_z"),
+    )
 
 
 def strongest(results: DataFrame, n: int = 10) -> DataFrame:
     return results.orderBy(F.col("z_score").desc(), "cohort_id").limit(n)
 
 
+
+
+def run(episodes: DataFrame, cohorts: DataFrame, folder: str, n_permutations: int = 50, mode: str = "exhaust", seed: int = 42) -> dict[str, DataFrame]:
+    """Tests every cohort (cohort_id, members) and writes the results as CSV: significance, its summary, and the 20 strongest."""
+    from .sources import members_text, write_csv
+
+    results = evaluate(episodes, cohorts, n_permutations, mode, seed=seed).join(cohorts.select("cohort_id", members_text("members").alias("members")), "cohort_id")
+    results = staged(results, "significance")
+    write_csv(results, f"{folder.rstrip('/')}/cohort_significance")
+    return {"significance": results, "summary": summary(results), "strongest": strongest(results, 20)}

@@ -136,3 +136,39 @@ def prepare_scans(classified: DataFrame, k: float = 1.5) -> DataFrame:
     iqr = F.col("q3") - F.col("q1")
     outlier = (F.col("rssi") < F.col("q1") - k * iqr) | (F.col("rssi") > F.col("q3") + k * iqr)
     return classified.join(F.broadcast(q)).withColumns({"rssi_outlier": F.when(contact, outlier), "rssi_scaled": F.when(contact, (F.col("rssi") - F.col("q2")) / F.when(iqr == 0, F.lit(1.0)).otherwise(iqr))}).drop("q1", "q2", "q3")
+
+
+def _judged(df: DataFrame, column: str, k: float) -> DataFrame:
+    """df with {column}_outlier and {column}_scaled (robust), both by the quartiles of df itself."""
+    q = df.agg(*(F.expr(f"percentile({column}, {p})").alias(n) for n, p in (("_q1", 0.25), ("_q2", 0.5), ("_q3", 0.75))))  # one row
+    iqr = F.col("_q3") - F.col("_q1")
+    outlier = (F.col(column) < F.col("_q1") - k * iqr) | (F.col(column) > F.col("_q3") + k * iqr)
+    scaled = (F.col(column) - F.col("_q2")) / F.when(iqr == 0, F.lit(1.0)).otherwise(iqr)
+    return df.join(F.broadcast(q)).withColumns({f"{column}_outlier": F.coalesce(outlier, F.lit(False)), f"{column}_scaled": scaled}).drop("_q1", "_q2", "_q3")
+
+
+def prepare_calls(calls: DataFrame, k: float = 1.5) -> DataFrame:
+    """Distinct calls with is_missed_call, duration_outlier and duration_scaled; missed calls are no outliers and have no scale."""
+    kept = calls.dropDuplicates().withColumn("is_missed_call", F.col("duration") == -1)
+    missed = kept.where("is_missed_call").withColumns({"duration_outlier": F.lit(False), "duration_scaled": F.lit(None).cast("double")})
+    return _judged(kept.where("not is_missed_call"), "duration", k).unionByName(missed)
+
+
+def prepare_sms(sms: DataFrame, k: float = 1.5) -> DataFrame:
+    """Distinct messages with how many their sender sent, whether that is an outlier among senders, and its robust scale."""
+    kept = sms.dropDuplicates(["timestamp", "sender", "recipient"])
+    senders = _judged(kept.groupBy("sender").agg(F.count("*").alias("sender_n_sent")), "sender_n_sent", k)
+    return kept.join(senders, "sender")
+
+
+def prepare_friends(friends: DataFrame, position: str, k: float = 1.5) -> DataFrame:
+    """Undirected edges with the number of friends at each end, whether it is an outlier among users, and its robust scale."""
+    kept = drop_symmetric(friends, "user_a", "user_b", position)
+    users = _judged(degrees(kept).withColumnRenamed("degree", "n_friends"), "n_friends", k)
+    return with_endpoints(kept, users, "node", ["n_friends", "n_friends_outlier", "n_friends_scaled"])
+
+
+def ordinal(df: DataFrame, column: str, order: list[str], out: str | None = None) -> DataFrame:
+    """df with the place, from 0, of a category in the given order; null for any other value."""
+    place = F.array_position(F.array(*(F.lit(v) for v in order)), F.col(column)) - 1
+    return df.withColumn(out or f"{column}_ordinal", F.when(place >= 0, place))

@@ -719,6 +719,52 @@ def top_k(spark, d):
     return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_totalprice").orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(20)
 
 
+_Q3 = "quantile_cont({0}, 0.25) AS q1, quantile_cont({0}, 0.5) AS q2, quantile_cont({0}, 0.75) AS q3"
+
+
+def _judged(c: str) -> str:
+    return f"({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) AS {c}_outlier, round(({c} - q2) / CASE WHEN q3 = q1 THEN 1.0 ELSE q3 - q1 END, 6) AS {c}_scaled"
+
+
+@query(f"""WITH {_CALLS}, c AS (SELECT DISTINCT "timestamp", caller, callee, duration FROM calls), q AS (SELECT {_Q3.format('duration')} FROM c WHERE duration <> -1)
+SELECT "timestamp", caller, callee, duration, false AS is_missed_call, {_judged('duration')} FROM c, q WHERE duration <> -1 UNION ALL SELECT "timestamp", caller, callee, duration, true, false, NULL FROM c WHERE duration = -1""")
+def call_preparation(spark, d):
+    made = quality.prepare_calls(sources.calls(spark, d))
+    return made.select("timestamp", "caller", "callee", "duration", "is_missed_call", "duration_outlier", *_r("duration_scaled"))
+
+
+@query(f"""WITH {_EV}, m AS (SELECT DISTINCT * FROM (SELECT t AS "timestamp", user_id AS sender, lead(user_id) OVER (ORDER BY t, event_id) AS recipient FROM ev WHERE event_type = 'view') WHERE recipient IS NOT NULL),
+s AS (SELECT sender, count(*) AS sender_n_sent FROM m GROUP BY 1), q AS (SELECT {_Q3.format('sender_n_sent')} FROM s) SELECT m.*, sender_n_sent, {_judged('sender_n_sent')} FROM m JOIN s USING (sender), q""")
+def sms_preparation(spark, d):
+    made = quality.prepare_sms(sources.sms(spark, d))
+    return made.select("timestamp", "sender", "recipient", "sender_n_sent", "sender_n_sent_outlier", *_r("sender_n_sent_scaled"))
+
+
+@query(f"""WITH {_FRIENDS}, e AS (SELECT row_pos, user_a, user_b FROM (SELECT *, row_number() OVER (PARTITION BY least(user_a, user_b), greatest(user_a, user_b) ORDER BY row_pos) AS r FROM friends WHERE user_a <> user_b) WHERE r = 1),
+n AS (SELECT u, count(*) AS n_friends FROM (SELECT user_a AS u FROM e UNION ALL SELECT user_b FROM e) GROUP BY 1), q AS (SELECT {_Q3.format('n_friends')} FROM n), j AS (SELECT u, n_friends, {_judged('n_friends')} FROM n, q)
+SELECT e.*, a.n_friends AS a_n_friends, a.n_friends_outlier AS a_n_friends_outlier, a.n_friends_scaled AS a_n_friends_scaled, b.n_friends AS b_n_friends, b.n_friends_outlier AS b_n_friends_outlier, b.n_friends_scaled AS b_n_friends_scaled FROM e JOIN j a ON a.u = user_a JOIN j b ON b.u = user_b""")
+def friend_preparation(spark, d):
+    made = quality.prepare_friends(sources.friends(spark, d), "row_pos")
+    return made.select("row_pos", "user_a", "user_b", "a_n_friends", "a_n_friends_outlier", *_r("a_n_friends_scaled"), "b_n_friends", "b_n_friends_outlier", *_r("b_n_friends_scaled"))
+
+
+_KINDS_IN_ORDER = ["view", "click", "purchase"]
+
+
+@query("SELECT event_id, CASE event_type " + " ".join(f"WHEN '{v}' THEN {i}" for i, v in enumerate(_KINDS_IN_ORDER)) + " END AS event_type_ordinal FROM events")
+def ordinal_encoding(spark, d):
+    return quality.ordinal(spark.read.parquet(f"{d}/events.parquet"), "event_type", _KINDS_IN_ORDER).select("event_id", "event_type_ordinal")
+
+
+_RULE_ORDER = "row_number() OVER (ORDER BY lift DESC, support DESC, a_items, c_items) AS rule_number"
+
+
+@query(f"WITH RECURSIVE {_RULES.replace('s.itemset, a.itemset AS antecedent', 's.itemset, a.items AS a_items, b.items AS c_items, a.itemset AS antecedent')} SELECT {_RULE_ORDER}, support, {_rs('confidence AS confidence', 'lift AS lift')}, CAST(len(a_items) AS BIGINT) AS antecedent_size, CAST(len(c_items) AS BIGINT) AS consequent_size FROM ru")
+def rule_report(spark, d):
+    found = _mined(spark, d)
+    return mining.ordered_rules(found.itemsets, found.n_transactions).select("rule_number", "support", *_r("confidence", "lift"), "antecedent_size", "consequent_size")
+
+
 @query("SELECT event_id FROM events WHERE contains(lower(event_type), 'purch') OR contains(lower(props), 'purch')")
 def text_search(spark, d):
     return reports.search(spark.read.parquet(f"{d}/events.parquet").select("event_id", "event_type", "props"), "purch").select("event_id")

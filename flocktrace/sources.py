@@ -45,8 +45,7 @@ def with_missed_flag(calls: DataFrame) -> DataFrame:
 
 def read_prepared(spark: SparkSession, path: str) -> DataFrame:
     """Prepared scans with the columns of the contract; FileNotFoundError and ValueError name what is not there."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+    if not there(spark, path):
         raise FileNotFoundError(f"no prepared scans at {path}")
     names = schemas.PREPARED.fieldNames()
     return schemas.require_columns(spark.read.parquet(path), names).select(*names)
@@ -107,6 +106,56 @@ def summary_json(metrics: dict[str, Any], tables: dict[str, DataFrame], path: st
     Path(path).write_text(json.dumps(out, indent=2, default=str))
 
 
+#: The files of saved results, by what they hold.
+BASELINE = {"validity": "cluster_validity_normalized_without_gap.csv", "stability": "cluster_seed_stability_summary.csv", "cohorts": "recurring_cohorts.csv"}
+COORDINATES = "cluster_visualization_coordinates.csv"
+MODEL = "gathering_clustering_v1_metadata.json"
+
+
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists, on whatever file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def read_baseline(spark: SparkSession, tables: str, models: str, most: int = 3000, seed: int = 42) -> dict[str, Any]:
+    """Saved results to show beside new ones, of those files that are there.
+
+    Tables give their first `most` records as text, cohorts without their members; coordinates give `most` points drawn
+    by hash, and coordinates_sampled tells whether there were more.  model_metadata is the model's JSON or None.
+    """
+    out: dict[str, Any] = {}
+    for name, file in BASELINE.items():
+        if there(spark, f"{tables}/{file}"):
+            out[name] = spark.read.csv(f"{tables}/{file}", header=True).drop(*(["members"] if name == "cohorts" else [])).limit(most)
+    model = f"{models}/{MODEL}"
+    # one small file
+    out["model_metadata"] = json.loads(spark.read.text(model, wholetext=True).first()[0]) if there(spark, model) else None
+    if there(spark, f"{tables}/{COORDINATES}"):
+        points = spark.read.csv(f"{tables}/{COORDINATES}", schema=_header_schema(spark, f"{tables}/{COORDINATES}"), header=True).select("PC1", "PC2", "cluster_id")
+        out["coordinates"] = points.orderBy(F.xxhash64("PC1", "PC2", "cluster_id", F.lit(seed)), "PC1", "PC2", "cluster_id").limit(most)
+        out["coordinates_sampled"] = points.count() > most
+    return out
+
+
+def _header_schema(spark: SparkSession, path: str) -> T.StructType:
+    """The columns of a CSV file of coordinates: components are numbers, clusters whole ones, all others text."""
+    kinds = {"PC1": T.DoubleType(), "PC2": T.DoubleType(), "cluster_id": T.IntegerType()}
+    return T.StructType([T.StructField(c, kinds.get(c, T.StringType())) for c in spark.read.csv(path, header=True).columns])
+
+
+def kept_table(spark: SparkSession, name: str, path: str, reload: bool = False) -> DataFrame:
+    """A parquet table kept in executors' memory under a name; reload drops what is kept and reads the files again."""
+    known = spark.catalog.tableExists(name)
+    if known and reload:
+        spark.catalog.uncacheTable(name)
+        spark.catalog.refreshByPath(path)
+    if not known or reload:
+        spark.read.parquet(path).createOrReplaceTempView(name)
+        spark.catalog.cacheTable(name)
+    return spark.table(name)
+
+
 # adapters -----------------------------------------------------------------------------------------------------------
 
 #: Seconds at 2024-01-01, where the event log starts.
