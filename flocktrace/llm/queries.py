@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, cotrain, jaccard, mixing, oph, repeats, rollups, rules, token_store, url_alias
-from .common import new_dir, table
+from .common import dropped, new_dir, staged, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -61,16 +61,19 @@ def op4_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_words = lambda blank: F.size(F.filter(F.split(F.coalesce("text", F.lit("")), blank), lambda w: w != ""))
     words = n_words(r"[\x20\x09-\x0D]+")
     toxic = table(spark, sf_dir, "labels", ["doc_id", "toxic"]).where("toxic = 1").select("doc_id").distinct()
+    # each text is read once and stays where it is: joins see counts only
+    counts = staged(docs.select("doc_id", "source", "lang", words.alias("words"), F.octet_length(F.coalesce("text", F.lit(""))).alias("bytes"), F.when(F.col("lang") == "fr", n_words(r"[\x20\x09-\x0D\-]+")).alias("parts")), "counts")
     root = new_dir(spark, "rollups")
     none = F.lit(None).cast("long")
-    by = {"words-1": words, "bytes-1": F.octet_length(F.coalesce("text", F.lit("")))}
-    rollups.commit(root, "load", rollups.counted(docs, by).withColumns({"before": none, "after": F.col("tokens")}))
-    gone = rollups.counted(docs.join(toxic, "doc_id", "left_semi"), by).withColumns({"before": F.col("tokens"), "after": none})
+    by = {"words-1": F.col("words"), "bytes-1": F.col("bytes")}
+    rollups.commit(root, "load", rollups.counted(counts, by).withColumns({"before": none, "after": F.col("tokens")}))
+    gone = rollups.counted(counts.join(toxic, "doc_id", "left_semi"), by).withColumns({"before": F.col("tokens"), "after": none})
     rollups.commit(root, "toxic", gone)
-    left = docs.where("lang = 'fr'").join(toxic, "doc_id", "left_anti")
-    recounted = left.select("source", "lang", F.lit("words-1").alias("version"), words.alias("before"), n_words(r"[\x20\x09-\x0D\-]+").alias("after"))
+    left = counts.where("lang = 'fr'").join(toxic, "doc_id", "left_anti")
+    recounted = left.select("source", "lang", F.lit("words-1").alias("version"), F.col("words").alias("before"), F.col("parts").alias("after"))
     rollups.commit(root, "recount", recounted)
     rollups.commit(root, "toxic", gone)
+    dropped(counts)
     return rollups.totals(spark, root)
 
 
