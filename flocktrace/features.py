@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .schemas import require_columns, require_unique
+from .storage import staged
 
 
 def structural(episodes: DataFrame, slot: int = 300) -> DataFrame:
@@ -60,18 +61,20 @@ def communication_before(episodes: DataFrame, events: DataFrame, prefix: str, lo
     """episode_id, {prefix}_events_pre and {prefix}_active_pairs_pre: events between members in [start - lookback, start), not before 0.
 
     A range join by buckets as long as the look-back: a window touches two of them, so members are joined with events by
-    (bucket, one end) and the rest of the condition is checked on what meets.
+    (bucket, one end) and the rest of the condition is checked on what meets.  The other end is looked up by a second join
+    with members; no row holds a set of members.
     """
     if lookback <= 0:
         raise ValueError("the look-back must be positive")
     bucket = lambda c: F.floor(c / lookback)
     start = F.col("start_time")
-    windows = episodes.select("episode_id", "start_time", F.array_distinct("participant_set").alias("members"), F.greatest(start - lookback, F.lit(0)).alias("since"))
-    placed = windows.withColumn("bucket", F.explode(F.array_distinct(F.array(bucket(F.col("since")), bucket(start))))).withColumn("u", F.explode("members"))
-    met = placed.join(events.withColumn("bucket", bucket(F.col("timestamp"))), ["bucket", "u"]).where("timestamp >= since and timestamp < start_time").where(F.array_contains("members", F.col("v")))
+    each = staged(episodes.select("episode_id", "start_time", F.greatest(start - lookback, F.lit(0)).alias("since"), F.explode(F.array_distinct("participant_set")).alias("u")), "members")
+    placed = each.withColumn("bucket", F.explode(F.array_distinct(F.array(bucket(F.col("since")), bucket(start)))))
+    met = placed.join(events.withColumn("bucket", bucket(F.col("timestamp"))), ["bucket", "u"]).where("timestamp >= since and timestamp < start_time")
     # events of a pair are summed first, so that distinct pairs are rows
     pairs = met.groupBy("episode_id", "u", "v").agg(F.count("*").alias("n"))
-    summed = pairs.groupBy("episode_id").agg(F.sum("n").alias("n"), F.count("*").alias("p"))
+    within = pairs.join(each.select("episode_id", F.col("u").alias("v")), ["episode_id", "v"], "left_semi")
+    summed = within.groupBy("episode_id").agg(F.sum("n").alias("n"), F.count("*").alias("p"))
     return episodes.select("episode_id").join(summed, "episode_id", "left").select("episode_id", F.coalesce("n", F.lit(0)).alias(f"{prefix}_events_pre"), F.coalesce("p", F.lit(0)).alias(f"{prefix}_active_pairs_pre"))
 
 

@@ -29,6 +29,33 @@ def test_window_edges_and_pairs(spark):
     assert [(r.calls_events_pre, r.calls_active_pairs_pre) for r in out] == [(1, 1), (3, 1)]
 
 
+def _joined_types(df):
+    """Types of the columns that go into joins."""
+    left, out = [df._jdf.queryExecution().optimizedPlan()], set()
+    while left:
+        plan = left.pop()
+        kids = [plan.children().apply(i) for i in range(plan.children().size())]
+        left += kids
+        if plan.nodeName() == "Join":
+            out |= {k.output().apply(i).dataType().simpleString() for k in kids for i in range(k.output().size())}
+    return out
+
+
+def test_communication_joins_no_sets(spark):
+    draw = random.Random(3)
+    calls = [(draw.randrange(400), *draw.sample(range(12), 2)) for _ in range(300)]
+    eps = [(i, draw.randrange(400), draw.sample(range(12), draw.randrange(1, 9)) * 2) for i in range(40)]
+    made = spark.createDataFrame(eps, "episode_id long, start_time long, participant_set array<long>")
+    events = features.prepare_events(spark.createDataFrame(calls, "timestamp long, a long, b long"), "a", "b")
+    out = features.communication_before(made, events, "x", 100)
+    wanted = {}
+    for i, start, members in eps:
+        met = [frozenset(ab) for t, *ab in calls if max(start - 100, 0) <= t < start and set(ab) <= set(members)]
+        wanted[i] = (len(met), len(set(met)))
+    assert {r[0]: (r[1], r[2]) for r in out.collect()} == wanted and any(n > p for n, p in wanted.values())
+    assert not any("array" in t for t in _joined_types(out))
+
+
 def test_bad_timestamps_raise(spark):
     with pytest.raises(ValueError):
         features.prepare_events(spark.createDataFrame([(-1, 1, 2)], "timestamp long, a long, b long"), "a", "b")
