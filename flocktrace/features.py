@@ -37,16 +37,18 @@ def canonical_pairs(edges: DataFrame, a: str = "user_a", b: str = "user_b") -> D
 def internal_edges(episodes: DataFrame, friends: DataFrame, id_col: str = "episode_id", set_col: str = "participant_set") -> DataFrame:
     """id, internal_fb_edges and internal_fb_density of every episode.
 
-    Edges meet episodes at one end by a join, and the other end is looked up in the episode's members, so no pair of
-    members is made.
+    Edges meet members at one end by a join, and the other end is looked up by a second one, so no pair of members is made
+    and no row holds a set of members.
     """
     members = episodes.select(id_col, F.array_distinct(set_col).alias("members"))
-    each = members.select(id_col, "members", F.explode("members").alias("u"))
-    found = each.join(canonical_pairs(friends), "u").where(F.array_contains("members", F.col("v"))).groupBy(id_col).agg(F.count("*").alias("n"))
-    n = F.size("members").cast("long")
+    each = staged(members.select(id_col, F.explode("members").alias("u")), "members")
+    met = each.join(canonical_pairs(friends), "u").select(id_col, "v")
+    found = met.join(each.select(id_col, F.col("u").alias("v")), [id_col, "v"], "left_semi").groupBy(id_col).agg(F.count("*").alias("n_edges"))
+    sizes = members.select(id_col, F.size("members").cast("long").alias("n_members"))
+    n = F.col("n_members")
     possible = n * (n - 1) / 2
-    edges = F.coalesce("n", F.lit(0))
-    return members.join(found, id_col, "left").select(id_col, edges.alias("internal_fb_edges"), F.when(possible > 0, edges / possible).otherwise(F.lit(0.0)).alias("internal_fb_density"))
+    edges = F.coalesce("n_edges", F.lit(0))
+    return sizes.join(found, id_col, "left").select(id_col, edges.alias("internal_fb_edges"), F.when(possible > 0, edges / possible).otherwise(F.lit(0.0)).alias("internal_fb_density"))
 
 
 def prepare_events(events: DataFrame, left: str, right: str) -> DataFrame:

@@ -56,6 +56,17 @@ def test_communication_joins_no_sets(spark):
     assert not any("array" in t for t in _joined_types(out))
 
 
+def test_internal_edges_join_no_sets(spark):
+    draw = random.Random(4)
+    edges = [tuple(draw.choices(range(-1, 12), k=2)) for _ in range(60)]
+    eps = [(i, draw.choices(range(12), k=draw.randrange(0, 9))) for i in range(40)]
+    out = features.internal_edges(spark.createDataFrame(eps, "episode_id long, participant_set array<long>"), spark.createDataFrame(edges, "user_a long, user_b long"))
+    pairs = {frozenset(e) for e in edges if min(e) >= 0 and e[0] != e[1]}
+    wanted = {i: (n := sum(p <= set(m) for p in pairs), pytest.approx(n / max(1, len(set(m)) * (len(set(m)) - 1) / 2))) for i, m in eps}
+    assert {r[0]: (r[1], r[2]) for r in out.collect()} == wanted and any(n > 1 for n, _ in wanted.values())
+    assert not any("array" in t for t in _joined_types(out))
+
+
 def test_bad_timestamps_raise(spark):
     with pytest.raises(ValueError):
         features.prepare_events(spark.createDataFrame([(-1, 1, 2)], "timestamp long, a long, b long"), "a", "b")
