@@ -5,6 +5,7 @@ import math
 import random
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 from flocktrace import anomaly, cluster, config, engine, metrics, nullmodel, prepare, quality, registry, scaling
@@ -187,3 +188,37 @@ def test_shuffles_are_those_made_one_by_one(spark):
     eps = spark.createDataFrame([(0, [1, 2, 3]), (1, [2, 3, 4]), (2, [1, 3, 4]), (3, [5, 6])], "episode_id long, participant_set array<long>")
     sets = lambda n, seed: {(r.perm_id, r.txn_id, tuple(r["items"])) for r in nullmodel.shuffled_sets(eps, n, seed).collect()}
     assert sets(3, 42) == {(p, t, i) for p in range(3) for _, t, i in sets(1, 42 + p)}
+
+
+def test_shuffled_support_is_that_of_the_sets(spark, monkeypatch):
+    draw = random.Random(8)
+    eps = [(i, draw.choices([*range(90), None], k=draw.randrange(0, 30))) for i in range(300)]
+    made = spark.createDataFrame(eps, "episode_id long, participant_set array<long>")
+    cohorts = spark.createDataFrame([(f"c{i}", draw.sample(range(90), 1 + i % 3)) for i in range(60)] + [("none", []), ("far", [1, 1000]), ("null", [1, None])], "cohort_id string, members array<long>")
+    told = lambda df: {(r.cohort_id, r.perm_id): r.support for r in df.collect()}
+    by_hand = told(nullmodel.contained_support(nullmodel.shuffled_sets(made, 4, 9), cohorts))
+    # supports are counted without a set being written or joined
+    monkeypatch.setattr(nullmodel, "contained_support", None)
+    assert told(nullmodel.shuffled_support(made, cohorts, 4, 9)) == by_hand and len(by_hand) > 100
+
+
+def test_shuffled_sets_keep_sizes_and_participants(spark, monkeypatch):
+    eps = spark.createDataFrame([(i, [i % 7, 10 + i % 5, 20]) for i in range(70)], "episode_id long, participant_set array<long>")
+    for most in (nullmodel.MOST_MEMBERS, 3):
+        monkeypatch.setattr(nullmodel, "MOST_MEMBERS", most)
+        sets = nullmodel.shuffled_sets(eps, 20, 1).collect()
+        assert len({(r.perm_id, r.txn_id) for r in sets}) == len(sets) == 1400
+        assert all(list(r["items"]) == sorted(set(r["items"])) and 1 <= len(r["items"]) <= 3 for r in sets)
+        # a third of all places is held by 20: an episode lacks it with a chance near 8 in 27
+        assert 0.25 < sum(20 not in r["items"] for r in sets) / 1400 < 0.34
+
+
+@pytest.mark.parametrize("n", [1, 7, 65_536, 65_537, 70_001])
+def test_permuted_is_a_permutation_in_parts(n):
+    whole = nullmodel.permuted(np.arange(n), n, 3, 1)
+    assert (np.sort(whole) == np.arange(n)).all()
+    assert (nullmodel.permuted(np.arange(n // 2, n), n, 3, 1) == whole[n // 2 :]).all()
+    if n > 100:
+        assert abs(np.corrcoef(np.arange(n), whole)[0, 1]) < 0.02
+        assert abs(np.corrcoef(whole[:-1], whole[1:])[0, 1]) < 0.02
+        assert (nullmodel.permuted(np.arange(n), n, 3, 2) == whole).mean() < 0.001
