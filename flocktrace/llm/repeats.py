@@ -17,7 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, checked, dropped, lean, staged
@@ -189,12 +189,13 @@ def _pieces(texts: DataFrame, least: int, anchor: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([_same(batch.column(0), i, n), _same(batch.column(1), i, n), h, lo, pa.array(place.to_numpy() - lo.to_numpy()), pa.array([text[a : b + least] for a, b in zip(los, his, strict=True)], pa.binary())], names=["doc_id", "tag", "h", "at", "pos", "piece"])
 
     picked = texts.mapInArrow(lean(pick), f"{key}, h long, place int, lo int, hi int")
-    often = staged(picked.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "often")
-    kept = staged(picked.join(checked(often), "h", "left_semi").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("h", "place", "lo", "hi")).alias("parts")), "kept")
+    # counted where they are dealt by anchor, so that anchors are picked and moved once, whatever their number
+    often = picked.withColumn("c", F.count("*").over(Window.partitionBy("h"))).where("c > 1")
+    kept = staged(often.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("h", "place", "lo", "hi")).alias("parts")), "kept")
     some = texts.alias("t").join(checked(kept.select("doc_id", "tag")).alias("k"), _alike("t", "k"), "left_semi")
     joined = some.alias("t").join(kept.alias("k"), _alike("t", "k")).select("t.doc_id", "t.tag", "text", "parts")
     pieces = staged(joined.mapInArrow(lean(cut), f"{key}, h long, at int, pos int, piece binary"), "pieces")
-    dropped(often, kept)
+    dropped(kept)
     return pieces
 
 
@@ -235,23 +236,29 @@ def _halved(crowded: DataFrame, least: int) -> DataFrame:
 
 
 def _shares(texts: DataFrame, least: int, anchor: int, most_pieces: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct pieces with their share, and the copies of pieces."""
+    """Distinct pieces with their anchor and share, and the copies of pieces.  Pieces that are alone with their anchor come along: to sort them out here would move all of them once more."""
     pieces = _pieces(texts, least, anchor).withColumns({"lo": F.lit(0), "hi": F.lit(least - anchor + 1)})
     ordinary, copies = [], []
     while True:
         distinct, same = _deduplicated(pieces)
         dropped(pieces)
         copies.append(same)
-        counts = staged(distinct.groupBy("h").agg(F.count("*").alias("c"), F.max(F.col("hi") - F.col("lo")).alias("span")).where("c > 1"), "counts")
+        counts = distinct.groupBy("h").agg(F.count("*").alias("c"), F.max(F.col("hi") - F.col("lo")).alias("span"))
         # a single place of the anchor leaves one window, the same in all
-        crowd = F.col("c") > F.when(F.col("span") > 1, F.lit(most_pieces)).otherwise(F.lit(1 << 62))
-        told = counts.agg(F.coalesce(F.sum(F.when(~crowd, F.col("c"))), F.lit(0)).alias("n"), F.coalesce(F.bool_or(crowd), F.lit(False)).alias("crowded")).first()
-        shares = max(1, -(-told["n"] // SHARE))
-        mine = distinct.join(checked(counts.where(~crowd).select("h")), "h", "left_semi")
-        ordinary.append(mine.select(F.concat(F.lit(f"{len(ordinary)} "), F.pmod(F.xxhash64("h", F.lit(3)), F.lit(shares))).alias("share"), "doc_id", "tag", "at", "piece"))
-        if not told["crowded"]:
+        crowd = staged(counts.where((F.col("c") > most_pieces) & (F.col("span") > 1)).select("h"), "crowd")
+        crowded = not crowd.isEmpty()
+        mine = distinct.join(checked(crowd), "h", "left_anti") if crowded else distinct
+        shares = max(1, -(-distinct.count() // SHARE))
+        ordinary.append(mine.select(F.concat(F.lit(f"{len(ordinary)} "), F.pmod(F.xxhash64("h", F.lit(3)), F.lit(shares))).alias("share"), "h", "doc_id", "tag", "at", "piece"))
+        if not crowded:
             return reduce(DataFrame.unionByName, ordinary), reduce(DataFrame.unionByName, copies)
-        pieces = staged(_halved(distinct.join(checked(counts.where(crowd).select("h")), "h", "left_semi"), least), "halved")
+        pieces = staged(_halved(distinct.join(checked(crowd), "h", "left_semi"), least), "halved")
+
+
+def _met(rows: pa.Table) -> pa.Table:
+    """The pieces of a share that are not alone with their anchor."""
+    _, inverse, counts = np.unique(rows["h"].to_numpy(), return_inverse=True, return_counts=True)
+    return rows.filter(pa.array(counts[inverse] > 1))
 
 
 def _is_first():
@@ -271,6 +278,7 @@ def repeat_groups(texts: DataFrame, least: int = LEAST, anchor: int = ANCHOR) ->
     id_type = texts.schema["doc_id"].dataType.simpleString()
 
     def share(rows: pa.Table) -> pa.Table:
+        rows = _met(rows)
         ids, tags, ats = rows["doc_id"].to_pylist(), rows["tag"].to_pylist(), rows["at"].to_pylist()
         lengths, lists = [], []
         for length, found in maximal_repeats(rows["piece"].to_pylist(), least):
@@ -292,6 +300,7 @@ def later_spans(texts: DataFrame, least: int = LEAST, anchor: int = ANCHOR, most
     ordinary, copies = _shares(texts, least, anchor, most_pieces)
 
     def share(rows: pa.Table) -> pa.Table:
+        rows = _met(rows)
         ids, tags, ats = rows["doc_id"].to_pylist(), rows["tag"].to_pylist(), rows["at"].to_pylist()
         places = [_place(*x) for x in zip(ids, tags, ats, strict=True)]
         array = SuffixArray(rows["piece"].to_pylist(), places, least)

@@ -438,3 +438,21 @@ def test_learned_list_equals_plain_covering(spark):
 def test_digest_of_decoded(spark):
     out = bpe.decode(bpe.encode(docs(spark, ["déjà vu"]), BYTE_BPE), BYTE_BPE).first()
     assert hashlib.sha256(out.decoded.encode()).hexdigest() == hashlib.sha256("déjà vu".encode()).hexdigest()
+
+
+def test_repeats_pick_anchors_once_and_move_pieces_once(spark, monkeypatch):
+    draw = random.Random(11)
+    passage = lambda: "".join(draw.choices("abcdefgh ", k=300))
+    shared = [passage() for _ in range(4)]
+    texts = [passage() + shared[i % 4] + passage() for i in range(24)]
+    # as with large tables, nothing is small enough to be broadcast
+    monkeypatch.setattr(repeats, "checked", lambda small: small)
+    plans, stage = [], repeats.staged
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(repeats, "staged", lambda df, name: (plans.append(plan(df)), stage(df, name))[1])
+    identified = repeats._identified(repeats.bounded(docs(spark, texts)), "doc_id", "text")
+    ordinary, _ = repeats._shares(identified, repeats.LEAST, repeats.ANCHOR, repeats.MOST_PIECES)
+    assert sum("place#" in p and "MapInArrow" in p for p in plans) == 1
+    assert "Join" not in plan(ordinary)
+    got = repeats.without(repeats.spans(docs(spark, texts))).orderBy("doc_id").collect()
+    assert [r.n_removed >= 300 for r in got] == [i >= 4 for i in range(24)]
