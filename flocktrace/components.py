@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import dropped, staged
+from .storage import dropped, shuffled, staged
 
 MOST_ROUNDS = 60
 
@@ -19,11 +19,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         seen = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = seen.groupBy("u").agg(F.min("v").alias("m"))
-        joined = seen.join(least, "u").where(F.col("v") > F.col("u"))
+        joined = seen.join(shuffled(least), "u").where(F.col("v") > F.col("u"))
         moved = joined.select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
     else:
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        joined = edges.join(least, "u")
+        joined = edges.join(shuffled(least), "u")
         moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
     return moved.where(F.col("u") != F.col("v")).distinct()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import dropped, running_totals, staged
+from .storage import dropped, running_totals, shuffled, staged
 
 MOST_ROUNDS = 200
 
@@ -24,7 +24,7 @@ def candidate_links(rows: DataFrame, theta: float, max_gap: int) -> DataFrame:
     each = rows.select("pos", "slot_id", F.size("participant_set").alias("n"), F.explode("participant_set").alias("member"))
     left = each.select(F.col("pos").alias("i"), F.col("n").alias("n_i"), "member", F.explode(F.sequence(F.lit(0), F.lit(max_gap))).alias("gap"), "slot_id").withColumn("slot_id", F.col("slot_id") + 1 + F.col("gap"))
     right = each.select(F.col("pos").alias("j"), F.col("n").alias("n_j"), "member", "slot_id")
-    shared = left.join(right, ["slot_id", "member"]).groupBy("i", "j", "gap", "n_i", "n_j").agg(F.count("*").alias("shared"))
+    shared = left.join(shuffled(right), ["slot_id", "member"]).groupBy("i", "j", "gap", "n_i", "n_j").agg(F.count("*").alias("shared"))
     jac = F.col("shared") / (F.col("n_i") + F.col("n_j") - F.col("shared"))
     return shared.select("i", "j", jac.alias("jac"), F.col("gap").cast("long").alias("gap")).where(F.col("jac") >= theta)
 
@@ -42,7 +42,7 @@ def accept_links(links: DataFrame, theta: float, max_gap: int) -> DataFrame:
         ranked = left.withColumns({"ri": F.row_number().over(Window.partitionBy("i").orderBy(*order)), "rj": F.row_number().over(Window.partitionBy("j").orderBy(*order))})
         new = staged(ranked.where("ri = 1 and rj = 1").select("i", "j"), "accepted")
         taken = new if taken is None else taken.unionByName(new)
-        rest = staged(left.join(new.select("i"), "i", "left_anti").join(new.select("j"), "j", "left_anti"), "links")
+        rest = staged(left.join(shuffled(new.select("i")), "i", "left_anti").join(shuffled(new.select("j")), "j", "left_anti"), "links")
         dropped(left)
         left = rest
         if left.isEmpty():
@@ -52,13 +52,13 @@ def accept_links(links: DataFrame, theta: float, max_gap: int) -> DataFrame:
 
 def chains(rows: DataFrame, accepted: DataFrame) -> DataFrame:
     """pos, root and step of every row: the first row of its chain, and how many links after it.  Pointers are doubled."""
-    start = rows.select("pos").join(accepted.select(F.col("j").alias("pos"), F.col("i").alias("before")), "pos", "left")
+    start = rows.select("pos").join(shuffled(accepted.select(F.col("j").alias("pos"), F.col("i").alias("before"))), "pos", "left")
     now = staged(start.select("pos", F.coalesce("before", "pos").alias("root"), F.when(F.col("before").isNotNull(), 1).otherwise(0).cast("long").alias("step")), "pointers")
     moving = now.where("root <> pos").count()
     while moving:
         ahead = now.select(F.col("pos").alias("root"), F.col("root").alias("next"), F.col("step").alias("more"))
-        further = staged(now.join(ahead, "root").select("pos", F.col("next").alias("root"), (F.col("step") + F.col("more")).alias("step")), "pointers")
-        moving = further.join(now.select("pos", F.col("root").alias("old")), "pos").where("root <> old").count()
+        further = staged(now.join(shuffled(ahead), "root").select("pos", F.col("next").alias("root"), (F.col("step") + F.col("more")).alias("step")), "pointers")
+        moving = further.join(shuffled(now.select("pos", F.col("root").alias("old"))), "pos").where("root <> old").count()
         dropped(now)
         now = further
     return now
@@ -66,7 +66,7 @@ def chains(rows: DataFrame, accepted: DataFrame) -> DataFrame:
 
 def assemble(rows: DataFrame, chained: DataFrame, slot: int = 300) -> DataFrame:
     """One row for each chain, numbered in the order of first rows, with its span, members, medians and hours."""
-    joined = rows.join(chained, "pos")
+    joined = rows.join(shuffled(chained), "pos")
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("step", F.col(c).alias("v")))), lambda x: x["v"])
     grouped = joined.groupBy("root").agg(
         F.min("slot_id").alias("first_slot"),

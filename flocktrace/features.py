@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .schemas import require_columns, require_unique
-from .storage import staged
+from .storage import shuffled, staged
 
 
 def structural(episodes: DataFrame, slot: int = 300) -> DataFrame:
@@ -42,13 +42,13 @@ def internal_edges(episodes: DataFrame, friends: DataFrame, id_col: str = "episo
     """
     members = episodes.select(id_col, F.array_distinct(set_col).alias("members"))
     each = staged(members.select(id_col, F.explode("members").alias("u")), "members")
-    met = each.join(canonical_pairs(friends), "u").select(id_col, "v")
-    found = met.join(each.select(id_col, F.col("u").alias("v")), [id_col, "v"], "left_semi").groupBy(id_col).agg(F.count("*").alias("n_edges"))
+    met = each.join(shuffled(canonical_pairs(friends)), "u").select(id_col, "v")
+    found = met.join(shuffled(each.select(id_col, F.col("u").alias("v"))), [id_col, "v"], "left_semi").groupBy(id_col).agg(F.count("*").alias("n_edges"))
     sizes = members.select(id_col, F.size("members").cast("long").alias("n_members"))
     n = F.col("n_members")
     possible = n * (n - 1) / 2
     edges = F.coalesce("n_edges", F.lit(0))
-    return sizes.join(found, id_col, "left").select(id_col, edges.alias("internal_fb_edges"), F.when(possible > 0, edges / possible).otherwise(F.lit(0.0)).alias("internal_fb_density"))
+    return sizes.join(shuffled(found), id_col, "left").select(id_col, edges.alias("internal_fb_edges"), F.when(possible > 0, edges / possible).otherwise(F.lit(0.0)).alias("internal_fb_density"))
 
 
 def prepare_events(events: DataFrame, left: str, right: str) -> DataFrame:
@@ -72,12 +72,12 @@ def communication_before(episodes: DataFrame, events: DataFrame, prefix: str, lo
     start = F.col("start_time")
     each = staged(episodes.select("episode_id", "start_time", F.greatest(start - lookback, F.lit(0)).alias("since"), F.explode(F.array_distinct("participant_set")).alias("u")), "members")
     placed = each.withColumn("bucket", F.explode(F.array_distinct(F.array(bucket(F.col("since")), bucket(start)))))
-    met = placed.join(events.withColumn("bucket", bucket(F.col("timestamp"))), ["bucket", "u"]).where("timestamp >= since and timestamp < start_time")
+    met = placed.join(shuffled(events.withColumn("bucket", bucket(F.col("timestamp")))), ["bucket", "u"]).where("timestamp >= since and timestamp < start_time")
     # events of a pair are summed first, so that distinct pairs are rows
     pairs = met.groupBy("episode_id", "u", "v").agg(F.count("*").alias("n"))
-    within = pairs.join(each.select("episode_id", F.col("u").alias("v")), ["episode_id", "v"], "left_semi")
+    within = pairs.join(shuffled(each.select("episode_id", F.col("u").alias("v"))), ["episode_id", "v"], "left_semi")
     summed = within.groupBy("episode_id").agg(F.sum("n").alias("n"), F.count("*").alias("p"))
-    return episodes.select("episode_id").join(summed, "episode_id", "left").select("episode_id", F.coalesce("n", F.lit(0)).alias(f"{prefix}_events_pre"), F.coalesce("p", F.lit(0)).alias(f"{prefix}_active_pairs_pre"))
+    return episodes.select("episode_id").join(shuffled(summed), "episode_id", "left").select("episode_id", F.coalesce("n", F.lit(0)).alias(f"{prefix}_events_pre"), F.coalesce("p", F.lit(0)).alias(f"{prefix}_active_pairs_pre"))
 
 
 def pair_normalized(features: DataFrame) -> DataFrame:
@@ -99,10 +99,10 @@ def assemble(episodes: DataFrame, friends: DataFrame, calls: DataFrame, sms: Dat
     from .prepare import split_calls
 
     lookback = int(params["communication_lookback_hours"] * 3600)
-    out = require_unique(structural(episodes, slot), "episode_id").join(internal_edges(episodes, friends), "episode_id", "left")
+    out = require_unique(structural(episodes, slot), "episode_id").join(shuffled(internal_edges(episodes, friends)), "episode_id", "left")
     completed, missed = split_calls(calls)
     for events, a, b, prefix in ((completed, "caller", "callee", "calls"), (missed, "caller", "callee", "missed_calls"), (sms, "sender", "recipient", "sms")):
-        out = out.join(communication_before(episodes, prepare_events(events, a, b), prefix, lookback), "episode_id", "left")
+        out = out.join(shuffled(communication_before(episodes, prepare_events(events, a, b), prefix, lookback)), "episode_id", "left")
         out = out.withColumn(f"log_{prefix}_events_pre", F.log1p(f"{prefix}_events_pre"))
     out = out.withColumns({
         "prehistory_available_hours": F.least(F.greatest("start_time", F.lit(0)), F.lit(lookback)) / 3600,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import running_totals, staged
+from .storage import running_totals, shuffled, staged
 
 
 def slot_components(contacts: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def slot_components(contacts: DataFrame) -> DataFrame:
     node = lambda c: F.struct(F.col("slot_id").alias("slot"), F.col(c).alias("member"))
     pairs = contacts.select("slot_id", F.least("user_a", "user_b").alias("a"), F.greatest("user_a", "user_b").alias("b")).distinct()
     found = connected_components(pairs.select(node("a").alias("u"), node("b").alias("v")))
-    loops = pairs.where("a = b").select(node("a").alias("node")).distinct().join(found, "node", "left_anti").select("node", F.col("node").alias("component"))
+    loops = pairs.where("a = b").select(node("a").alias("node")).distinct().join(shuffled(found), "node", "left_anti").select("node", F.col("node").alias("component"))
     return found.unionByName(loops).select(F.col("node.slot").alias("slot_id"), F.col("node.member").alias("member"), F.col("component.member").alias("component"))
 
 
@@ -31,9 +31,9 @@ def gatherings(contacts: DataFrame, min_size: int = 3, position: str | None = No
     first = F.struct(F.col(position)) if position else F.struct("timestamp", "user_a", "user_b", "rssi")
     members = staged(slot_components(contacts), "members")
     sets = members.groupBy("slot_id", "component").agg(F.array_sort(F.collect_list("member")).alias("participant_set")).where(F.size("participant_set") >= min_size)
-    placed = contacts.withColumn("first_row", first).join(members.withColumnRenamed("member", "user_a"), ["slot_id", "user_a"])
+    placed = contacts.withColumn("first_row", first).join(shuffled(members.withColumnRenamed("member", "user_a")), ["slot_id", "user_a"])
     spans = placed.groupBy("slot_id", "component").agg(F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time"), F.expr("percentile(rssi, 0.5)").alias("median_rssi"), F.min("first_row").alias("first_row"))
-    rows = sets.join(spans, ["slot_id", "component"]).drop("component")
+    rows = sets.join(shuffled(spans), ["slot_id", "component"]).drop("component")
     numbered = running_totals(rows, [F.col("slot_id"), F.col("first_row")], {"number": F.lit(1).cast("long")}, "gatherings")
     return numbered.select("slot_id", (F.col("number") - 1).alias("gathering_id"), "participant_set", "start_time", "end_time", "median_rssi")
 

@@ -59,6 +59,15 @@ def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return out
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df for a join that shuffles both sides, whatever Spark takes its size to be.
+
+    Spark takes a table for as large as its files, and an exploded one too.  Files compress, and hold many members in a
+    row, so a join by such an estimate sends far more than spark.sql.autoBroadcastJoinThreshold through the driver.
+    """
+    return df.hint("merge")
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes staged tables that nothing reads any more."""
     for table in tables:

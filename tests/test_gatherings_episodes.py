@@ -1,10 +1,12 @@
 """Filters, components, links and chains on hand-made tables, and against brute force on random ones."""
 
 import random
+import re
+from pathlib import Path
 
 import pytest
 
-from flocktrace import components, episodes, graph, prepare, sources
+from flocktrace import components, episodes, graph, prepare, registry, sources
 
 SCANS = "timestamp long, user_a long, user_b long, rssi long"
 
@@ -94,3 +96,28 @@ def test_long_chain(spark):
     sets = [(s, frozenset({1, 2, 3})) for s in range(40)]
     (e,) = episodes.build_episodes(_gatherings(spark, sets)).collect()
     assert e.gathering_ids == list(range(40)) and e.n_slots == 40
+
+
+@pytest.fixture
+def sized_by_files(spark):
+    """Broadcasts only by what Spark takes a table's size to be before it runs, up to Spark's own bound."""
+    kept = {"spark.sql.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in kept}
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test tables")
+def test_episode_features_sends_no_table_by_the_size_of_its_files(spark, sized_by_files):
+    ran = spark._jsparkSession.sharedState().statusStore().executionsList
+    seen = {ran().apply(i).executionId() for i in range(ran().size())}
+    registry.QUERIES["episode_features"](spark, "/root/testdata/sf0.001").collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    found = ran()
+    plans = [e.physicalPlanDescription() for e in (found.apply(i) for i in range(found.size())) if e.executionId() not in seen]
+    sent = [keys for p in plans for keys in re.findall(r"\(\d+\) Broadcast(?:HashJoin|NestedLoopJoin)[^\n]*\n(?:Left keys \[\d+\]: ([^\n]*))?", p)]
+    # running totals send one row for each range
+    assert len(sent) > 2 and all("_range" in keys for keys in sent), sent
