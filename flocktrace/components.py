@@ -8,22 +8,26 @@ from pyspark.sql import functions as F
 from .storage import dropped, shuffled, staged
 
 MOST_ROUNDS = 60
+#: Edges up to which a round's joins may broadcast; larger rounds shuffle.
+MOST_SENT = 65_536
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, many: bool) -> DataFrame:
     """One operation on edges (u > v): every node links its neighbours to the least node it sees.
 
     Large stars move neighbours greater than the node, small stars those below it and the node itself.  The least node is
     found by an aggregate that is combined before the shuffle, and joined back, so that Spark may split a hub's rows.
+    many: the edges are too many to be broadcast, whatever the size of their files.
     """
+    whole = shuffled if many else lambda df: df
     if large:
         seen = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = seen.groupBy("u").agg(F.min("v").alias("m"))
-        joined = seen.join(shuffled(least), "u").where(F.col("v") > F.col("u"))
+        joined = seen.join(whole(least), "u").where(F.col("v") > F.col("u"))
         moved = joined.select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
     else:
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        joined = edges.join(shuffled(least), "u")
+        joined = edges.join(whole(least), "u")
         moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
     return moved.where(F.col("u") != F.col("v")).distinct()
 
@@ -42,8 +46,10 @@ def connected_components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFr
     now = staged(ends.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     state = _state(now)
     for _ in range(MOST_ROUNDS):
-        big = staged(_star(now, True), "large")
-        small = staged(_star(big, False), "small")
+        # a large star makes no more edges than it is given
+        many = state[0] > MOST_SENT
+        big = staged(_star(now, True, many), "large")
+        small = staged(_star(big, False, many), "small")
         dropped(now, big)
         now, before, state = small, state, _state(small)
         if state == before:
